@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clauseloom.operators.clauses import clause_rows, find_clauses, indexable
 from clauseloom.operators.ingest import load_contracts, screen
 from clauseloom.operators.layout import spread
+from clauseloom.sources.stages import stage
 from clauseloom.taxonomy import CLAUSE_TYPES, SAMPLE_QUERIES
 
 # Every how many documents a clause type is appended.
@@ -72,6 +73,16 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("item_id", F.concat_ws(":", "contract_id", "clause_type"))
 
 
+def stored_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts as a stage table, for work that reads them more than once."""
+    return stage(contracts(spark, sf_dir), "contracts")
+
+
+def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses found as a stage table."""
+    return stage(items(spark, sf_dir), "items")
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's answers: clauses and text heads; some contracts failed, at various attempts."""
     found = find_clauses(contracts(spark, sf_dir))

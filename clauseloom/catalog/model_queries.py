@@ -8,6 +8,7 @@ from clauseloom.catalog import ctes as C
 from clauseloom.catalog import fixture
 from clauseloom.catalog.registry import query
 from clauseloom.operators import display, metrics, prompts, summary
+from clauseloom.operators.clauses import find_clauses
 from clauseloom.taxonomy import CLAUSE_NAMES
 
 _MENTIONED = " + ".join(
@@ -134,7 +135,7 @@ def _(spark, sf_dir):
 
 @query("summaries", C.sql("SELECT contract_id, summary, words FROM summaries", "summaries"))
 def _(spark, sf_dir):
-    return summary.summarize(fixture.contracts(spark, sf_dir))
+    return summary.summarize(fixture.stored_contracts(spark, sf_dir))
 
 
 @query(
@@ -146,7 +147,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return summary.length_check(summary.summarize(fixture.contracts(spark, sf_dir))).select(
+    return summary.length_check(summary.summarize(fixture.stored_contracts(spark, sf_dir))).select(
         "contract_id", "words", "in_range"
     )
 
@@ -161,7 +162,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return metrics.summary_quality(summary.length_check(summary.summarize(fixture.contracts(spark, sf_dir))))
+    return metrics.summary_quality(summary.length_check(summary.summarize(fixture.stored_contracts(spark, sf_dir))))
 
 
 @query(
@@ -175,8 +176,8 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    found = fixture.wide(spark, sf_dir)
-    scores = summary.completeness(summary.summarize(fixture.contracts(spark, sf_dir)), found)
+    contracts = fixture.stored_contracts(spark, sf_dir)
+    scores = summary.completeness(summary.summarize(contracts), find_clauses(contracts))
     return scores.withColumn("completeness", F.round("completeness", 6))
 
 

@@ -26,8 +26,8 @@ def _label_queries(spark, sf_dir):
     return dense.unit_vectors(means, "label", "vector").withColumnRenamed("item_id", "query_id")
 
 
-def _sample_hits(spark, sf_dir, k=5):
-    return sparse.search(fixture.sample_queries(spark), fixture.items(spark, sf_dir), k)
+def _sample_hits(spark, items, k=5):
+    return sparse.search(fixture.sample_queries(spark), items, k)
 
 
 @query(
@@ -120,7 +120,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     asked = spark.createDataFrame([(c.name, c.exemplar) for c in CLAUSE_TYPES], "query_id string, text string")
-    hits = sparse.above(sparse.search(asked, fixture.items(spark, sf_dir), 20), 0.5)
+    hits = sparse.above(sparse.search(asked, fixture.stored_items(spark, sf_dir), 20), 0.5)
     return hits.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -184,12 +184,12 @@ def _(spark, sf_dir):
     "term_weights", C.sql("SELECT term, df, round(idf, 6) AS idf FROM item_idf", "item_idf")
 )
 def _(spark, sf_dir):
-    return sparse.term_weights(fixture.items(spark, sf_dir)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return sparse.term_weights(fixture.stored_items(spark, sf_dir)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("postings", C.sql("SELECT item_id, term, round(weight, 6) AS weight FROM postings", "postings"))
 def _(spark, sf_dir):
-    items = fixture.items(spark, sf_dir)
+    items = fixture.stored_items(spark, sf_dir)
     return sparse.postings(items, sparse.term_weights(items)).select(
         "item_id", "term", F.round("weight", 6).alias("weight")
     )
@@ -206,7 +206,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return _sample_hits(spark, sf_dir).withColumn("rank", F.col("rank").cast("long"))
+    return _sample_hits(spark, fixture.stored_items(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
@@ -221,7 +221,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     asked = fixture.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    hits = sparse.search(asked, fixture.items(spark, sf_dir), 5)
+    hits = sparse.search(asked, fixture.stored_items(spark, sf_dir), 5)
     return hits.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -237,8 +237,8 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    items = fixture.items(spark, sf_dir)
-    hits = sparse.attach(_sample_hits(spark, sf_dir, 3), items, bounded=True)
+    items = fixture.stored_items(spark, sf_dir)
+    hits = sparse.attach(_sample_hits(spark, items, 3), items, bounded=True)
     return hits.select(
         "query_id", F.col("rank").cast("long").alias("rank"), "score", "contract_id", "clause_type", "filename",
         "clause",
@@ -258,6 +258,6 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    items = fixture.items(spark, sf_dir)
-    hits = sparse.attach(_sample_hits(spark, sf_dir, 2), items, bounded=True)
+    items = fixture.stored_items(spark, sf_dir)
+    hits = sparse.attach(_sample_hits(spark, items, 2), items, bounded=True)
     return display.hit_lines(hits).withColumn("rank", F.col("rank").cast("long"))

@@ -40,28 +40,30 @@ def number_rows(
     retried tasks agree. ``order_by`` should end in a unique column: it makes the numbers repeatable and keeps a
     frequent leading value from filling one bucket.
     """
-    key = F.struct(*[F.col(c) for c in order_by])
-    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(sample_size)
+    # Behind the barrier the key is built once per row, not once per comparison.
+    keyed = df.withColumn("_key", F.struct(*[F.col(c) for c in order_by])).transform(row_barrier, "_key")
+    sample = keyed.select(F.col("_key").alias("k")).orderBy(F.xxhash64("k"), "k").limit(sample_size)
     bounds = (
         sample.select("k", F.ntile(buckets).over(Window.orderBy("k")).alias("b"))
         .groupBy("b")
         .agg(F.min("k").alias("k"))
         .agg(F.sort_array(F.collect_list("k")).alias("ks"))
     )
-    bucketed = df.withColumn("_bounds", bounds.scalar()).withColumn(
-        "_bucket", F.size(F.filter("_bounds", lambda b: b <= key))
+    bucketed = (
+        keyed.withColumn("_bounds", bounds.scalar())
+        .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b <= F.col("_key"))))
+        .drop("_bounds")
     )
-    bucketed = bucketed.drop("_bounds")
     sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order_by))
+    local = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key"))
     # ``offsets`` holds at most ``buckets`` + 1 rows.
     return (
         bucketed.withColumn("_local", local)
         .join(F.broadcast(offsets), "_bucket")
         .withColumn(name, F.col("_before") + F.col("_local"))
-        .drop("_bucket", "_local", "_before")
+        .drop("_key", "_bucket", "_local", "_before")
     )
 
 
@@ -70,19 +72,38 @@ def up_to(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
+def hot_keys(counts: DataFrame, key: str, by: str, limit: int = 1_000) -> DataFrame:
+    """The ``limit`` most frequent keys of a (key, count) table.
+
+    Any key left out holds at most 1/``limit`` of all rows, so treating only these keys specially is enough.
+    """
+    return counts.orderBy(F.desc(by), key).limit(limit).select(key)
+
+
 def salted_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str], salts: int = 16, how: str = "inner"
+    left: DataFrame, right: DataFrame, on: str, spread_by: Sequence[str], hot: DataFrame, salts: int = 64,
+    how: str = "inner",
 ) -> DataFrame:
-    """Join where ``left`` may hold very many rows of one key and ``right`` holds each key once.
+    """Join on a key of which some values are very frequent in ``left``.
 
-    Left rows get a salt from the columns in ``spread_by``; each right row is repeated once per salt. A hot key is
-    then shared by ``salts`` tasks. Salts are hashes, not random numbers, so a retried task repeats them.
+    ``hot`` lists those values; it comes from ``hot_keys``, so its length is bounded and it can be broadcast. Left
+    rows with a hot key get one of ``salts`` salts, hashed from ``spread_by`` so that a retried task repeats it, and
+    right rows with a hot key are repeated once per salt. All other rows are joined as they are.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-    salted_right = right.withColumn("_salt", F.explode(up_to(salts)))
-    return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
+    marked = F.broadcast(hot.select(F.col(on), F.lit(True).alias("_hot")))
+    none = F.lit(0).cast("long")
+    salted_left = left.join(marked, on, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(none)
+    )
+    salted_right = right.join(marked, on, "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot"), up_to(salts)).otherwise(F.array(none)))
+    )
+    # The right side is a per-key table of unknown size: hashed per partition, never broadcast on an estimate.
+    return salted_left.drop("_hot").join(
+        salted_right.drop("_hot").hint("shuffle_hash"), [on, "_salt"], how
+    ).drop("_salt")
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -115,9 +115,7 @@ def processing_rate(rows: DataFrame, stamp: str = "processed_at") -> DataFrame:
 
 def windowed_rate(rows: DataFrame, stamp: str, width: str = "1 minute", slide: str | None = None) -> DataFrame:
     """Rows per tumbling (or, with ``slide``, sliding) time window; works on batch and streaming tables."""
-    span = F.window(F.col(stamp).cast("timestamp"), width, slide) if slide else F.window(
-        F.col(stamp).cast("timestamp"), width
-    )
+    span = F.window(stamp, width, slide) if slide else F.window(stamp, width)
     return rows.groupBy(span.alias("span")).agg(F.count("*").alias("rows")).select(
         F.col("span.start").alias("start"), F.col("span.end").alias("end"), "rows"
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions import text as T
-from clauseloom.operators.layout import salted_join, top_per_group
+from clauseloom.operators.layout import hot_keys, salted_join, top_per_group
 from clauseloom.operators.summary import document_frequency, inverse_frequency
 
 # Largest query batch, in (query, term) rows, that is broadcast.
@@ -31,7 +31,8 @@ def _unit(weighted: DataFrame, key: str) -> DataFrame:
 def postings(items: DataFrame, weights: DataFrame, key: str = "item_id", text: str = "clause") -> DataFrame:
     """(item_id, term, weight): tf-idf weights scaled to unit length per item. This table is the index."""
     counted = _term_counts(items, key, text)
-    weighted = salted_join(counted, weights.select("term", "idf"), ["term"], [key]).withColumn(
+    hot = hot_keys(weights, "term", "df")
+    weighted = salted_join(counted, weights.select("term", "idf"), "term", [key], hot).withColumn(
         "w", F.col("n") * F.col("idf")
     )
     return _unit(weighted, key)
@@ -41,9 +42,10 @@ def query_postings(queries: DataFrame, weights: DataFrame, total: Column) -> Dat
     """(query_id, term, weight) of query texts; terms the index has never seen count as the rarest."""
     counted = _term_counts(queries, "query_id", "text")
     unseen = inverse_frequency(F.lit(0.0), total)
-    weighted = salted_join(counted, weights.select("term", "idf"), ["term"], ["query_id"], how="left").withColumn(
-        "w", F.col("n") * F.coalesce("idf", unseen)
-    )
+    hot = hot_keys(counted.groupBy("term").agg(F.count("*").alias("df")), "term", "df")
+    weighted = salted_join(
+        counted, weights.select("term", "idf"), "term", ["query_id"], hot, how="left"
+    ).withColumn("w", F.col("n") * F.coalesce("idf", unseen))
     return _unit(weighted, "query_id")
 
 
@@ -59,7 +61,8 @@ def search(
 
     ``queries`` is (query_id, text), ``items`` is (item_id, clause). Stored ``weights`` and ``index`` tables are used
     if given. Only postings that share a term with a query are scored. A query batch of checked size is broadcast;
-    a larger one is joined with salts, so a term in a third of all items is shared by many tasks.
+    a larger one is joined with salts, so a term in a third of all items is shared by many tasks. ``items`` is read
+    several times: pass a stored table (see ``stages.stage``).
     """
     weights = term_weights(items) if weights is None else weights
     index = postings(items, weights) if index is None else index
@@ -69,7 +72,7 @@ def search(
     if size <= max_terms:
         matched = index.join(F.broadcast(asked), "term")
     else:
-        matched = salted_join(index, asked, ["term"], ["item_id"])
+        matched = salted_join(index, asked, "term", ["item_id"], hot_keys(weights, "term", "df"))
     scored = matched.groupBy("query_id", "item_id").agg(
         F.round(F.sum(F.col("weight") * F.col("asked")), 6).alias("score")
     )

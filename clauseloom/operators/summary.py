@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import text as T
 from clauseloom.operators.clauses import mentions
-from clauseloom.operators.layout import salted_join
+from clauseloom.operators.layout import hot_keys, salted_join
 from clauseloom.taxonomy import CLAUSE_TYPES
 
 MIN_WORDS = 100
@@ -43,26 +43,27 @@ def summarize(contracts: DataFrame, max_words: int = MAX_WORDS, hit_bonus: float
 
     A sentence scores the mean inverse document frequency of its terms plus ``hit_bonus`` per clause type it
     mentions. Sentences are taken by score while their words add up to at most ``max_words``, then put back into
-    document order. Expects normalised text.
+    document order. Expects normalised text, from a stored table (see ``stages.stage``): it is read three times.
     """
     n_contracts = contracts.agg(F.count("*")).scalar()
-    idf = document_frequency(contracts, "text").select(
-        "term", inverse_frequency(F.col("df"), n_contracts).alias("idf")
-    )
+    frequency = document_frequency(contracts, "text")
+    idf = frequency.select("term", inverse_frequency(F.col("df"), n_contracts).alias("idf"))
     sentences = contracts.select(
         "contract_id", F.posexplode(_short_sentences(max_words)).alias("pos", "sentence")
     )
     hits = reduce(lambda a, b: a + b, [mentions("sentence", c.keywords).cast("int") for c in CLAUSE_TYPES])
-    tokens = sentences.select(
+    # Per-sentence values are computed before the terms are exploded, so once per sentence and not once per term.
+    measured = sentences.select(
         "contract_id",
         "pos",
         T.word_count("sentence").alias("words"),
         (hits * F.lit(hit_bonus)).alias("bonus"),
-        F.explode(T.terms("sentence")).alias("term"),
+        "sentence",
     )
+    tokens = measured.select("contract_id", "pos", "words", "bonus", F.explode(T.terms("sentence")).alias("term"))
     # Words like "the" hold a large share of all tokens: their rows are split over several tasks.
     scored = (
-        salted_join(tokens, idf, ["term"], ["contract_id", "pos"])
+        salted_join(tokens, idf, "term", ["contract_id", "pos"], hot_keys(frequency, "term", "df"))
         .groupBy("contract_id", "pos", "words", "bonus")
         .agg(F.avg("idf").alias("mean_idf"))
         .withColumn("score", F.round(F.col("mean_idf") + F.col("bonus"), 6))
@@ -73,14 +74,12 @@ def summarize(contracts: DataFrame, max_words: int = MAX_WORDS, hit_bonus: float
         scored.withColumn("running", running)
         .filter(F.col("running") <= max_words)
         .groupBy("contract_id")
-        .agg(F.sort_array(F.collect_list("pos")).alias("chosen"), F.sum("words").alias("words"))
-    )
-    texts = contracts.select("contract_id", "text").join(chosen, "contract_id")
-    return texts.withColumn("parts", _short_sentences(max_words)).select(
-        "contract_id",
-        F.array_join(F.transform("chosen", lambda p: F.get("parts", p)), " ").alias("summary"),
-        "words",
+        .agg(F.collect_list("pos").alias("chosen"), F.sum("words").alias("words"))
     )
+    # At most ``max_words`` positions are chosen, for a sentence has at least one word.
+    picked = F.filter(_short_sentences(max_words), lambda _, i: F.array_contains("chosen", i))
+    texts = contracts.select("contract_id", "text").join(chosen.hint("shuffle_hash"), "contract_id")
+    return texts.select("contract_id", F.array_join(picked, " ").alias("summary"), "words")
 
 
 def length_check(summaries: DataFrame, low: int = MIN_WORDS, high: int = MAX_WORDS) -> DataFrame:
