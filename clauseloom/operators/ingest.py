@@ -13,7 +13,7 @@ from clauseloom.operators.layout import number_rows, row_barrier
 from clauseloom.options import IngestOptions
 
 # Up to this many rows an ordered limit plus one small window is cheaper than distributed numbering.
-_SMALL_LISTING = 100_000
+SMALL_LISTING = 100_000
 
 
 def screen(documents: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:
@@ -67,7 +67,7 @@ def supported(documents: DataFrame, formats: Sequence[str] = IngestOptions.suppo
 
 def first_documents(documents: DataFrame, n: int, unique: str) -> DataFrame:
     """The first ``n`` documents of the listing (format, file name, ``unique``), taken before any screening."""
-    if n <= _SMALL_LISTING:
+    if n <= SMALL_LISTING:
         return documents.orderBy(format_rank("filename"), "filename", unique).limit(n)
     return number_listing(documents, unique).filter(F.col("row_no") <= n).drop("row_no")
 
@@ -83,7 +83,7 @@ def assign_contract_ids(documents: DataFrame, unique: str, max_contracts: int |
 
     Later rejects leave gaps in the sequence. With ``max_contracts`` only the head of the listing is kept.
     """
-    if max_contracts is not None and max_contracts <= _SMALL_LISTING:
+    if max_contracts is not None and max_contracts <= SMALL_LISTING:
         head = first_documents(documents, max_contracts, unique)
         order = Window.orderBy(format_rank("filename"), "filename", unique)
         numbered = head.withColumn("row_no", F.row_number().over(order))

@@ -17,6 +17,8 @@ class IngestOptions:
     max_text_length: int = 50_000
     chunk_size: int = 4_000
     remove_page_numbers: bool = True
+    # True: contract_001, contract_002, … in listing order. False: a digest of the path, which needs no ordering.
+    sequential_ids: bool = True
     supported_formats: tuple[str, ...] = ("pdf", "docx", "txt")
 
     def __post_init__(self) -> None:

@@ -39,18 +39,29 @@ def load(
     """Documents with ``contract_id``, ``filename`` and raw ``text``.
 
     ``source`` is a folder of files or a table. A table without ``contract_id`` must have a unique ``path``; contracts
-    are then numbered in listing order. Only the listing is sorted; texts are extracted after it is cut.
+    then get one. Only the listing is ordered; file contents are never shuffled, and texts of files beyond
+    ``max_contracts`` are not extracted.
     """
     limit = options.ingest.max_contracts
     if isinstance(source, str):
-        listed = file_source.read_files(spark, source)
-        named = ingest.assign_contract_ids(listed.select("path", "filename"), "path", limit)
-        chosen = listed.join(named.select("path", "contract_id"), "path")
-        texts = file_source.extract_texts(chosen.select("path", "filename", "content"), extractors)
-        return texts.join(named.select("path", "contract_id"), "path")
-    if "contract_id" not in source.columns:
-        return ingest.assign_contract_ids(source, "path", limit)
-    return source if limit is None else ingest.first_documents(source, limit, "contract_id")
+        documents = file_source.read_files(spark, source)
+    elif "contract_id" in source.columns:
+        return source if limit is None else ingest.first_documents(source, limit, "contract_id")
+    else:
+        documents = source
+
+    names = documents.select("path", "filename")
+    sequential = options.ingest.sequential_ids
+    if sequential:
+        names = ingest.assign_contract_ids(names, "path", limit)
+    elif limit is not None:
+        names = ingest.first_documents(names, limit, "path")
+    names = names.drop("filename")
+    if limit is not None:
+        small = limit <= ingest.SMALL_LISTING
+        documents = documents.join(F.broadcast(names.select("path")) if small else names.select("path"), "path", "left_semi")
+    texts = file_source.extract_texts(documents, extractors) if isinstance(source, str) else documents
+    return texts.join(names, "path") if sequential else ingest.stable_ids(texts)
 
 
 def _ask(contracts: DataFrame, model: prompts.Model, options: Options, store) -> DataFrame:
@@ -96,11 +107,12 @@ def run(
 
     responses = None
     if model is None:
-        found = clauses.find_clauses(contracts.select("contract_id", "filename", "text"))
-        long = store(clauses.clause_rows(found), "clauses", "clause_type")
-        shown = clauses.with_sentinels(found).drop("text", "filename")
+        texts = contracts.select("contract_id", "filename", "text")
+        found = store(clauses.find_clauses(texts).drop("text"), "found")
+        long = clauses.clause_rows(found)
+        shown = clauses.with_sentinels(found).drop("filename")
         summaries = summary.summarize(contracts).select("contract_id", "summary")
-        wide = shown.join(summaries.hint("shuffle_hash"), "contract_id", "left")
+        wide = shown.join(summaries, "contract_id", "left")
     else:
         responses = _ask(contracts, model, options, store)
         results = store(prompts.task_results(prompts.tasks(contracts.select("contract_id")), responses), "answers")
@@ -108,8 +120,9 @@ def run(
         long = results.filter(F.col("task") != "summary").join(names, "contract_id").select(
             "contract_id", "filename", F.col("task").alias("clause_type"), F.col("value").alias("clause"), "status"
         )
-        long = store(long, "clauses", "clause_type")
         wide = prompts.wide_results(results)
+    if output.stage_path or model is not None:
+        long = store(long, "clauses", "clause_type")
 
     rows = store(result_sink.result_rows(contracts, wide), "results")
     if output.csv_path:
