@@ -69,6 +69,11 @@ def _probe_mask(matrix: np.ndarray, centers: np.ndarray, probes: int) -> np.ndar
     return mask
 
 
+def _hits(rows: list[tuple]) -> pd.DataFrame:
+    # Object columns: Arrow then converts to the declared types, also when there are no rows.
+    return pd.DataFrame(rows, columns=["query_id", "item_id", "score"], dtype=object)
+
+
 def _local_best(
     frames: Iterable[pd.DataFrame], query_ids: list, matrix: np.ndarray, k: int, mask: np.ndarray | None
 ) -> pd.DataFrame:
@@ -88,7 +93,7 @@ def _local_best(
                 merged = best[q] + [(-float(row[i]), ids[i]) for i in keep]
                 best[q] = sorted(merged)[:k]
     rows = [(qid, item, -negative) for qid, hits in zip(query_ids, best) for negative, item in hits]
-    return pd.DataFrame(rows, columns=["query_id", "item_id", "score"])
+    return _hits(rows)
 
 
 def _search(
@@ -137,7 +142,7 @@ def _search(
 
         def pair(query_part: pd.DataFrame, item_part: pd.DataFrame) -> pd.DataFrame:
             if not len(query_part) or not len(item_part):
-                return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+                return _hits([])
             m = np.stack(query_part["vector"].to_numpy())
             allowed = None if centers is None else _probe_mask(m, centers, probes)
             return _local_best([item_part], query_part["query_id"].tolist(), m, k, allowed)

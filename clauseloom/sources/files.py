@@ -111,9 +111,8 @@ def extract_texts(files: DataFrame, extractors: Mapping[str, Sequence[Extractor]
 def read_text_files(spark: SparkSession, folder: str) -> DataFrame:
     """Plain-text files of a folder, each as one row (path, filename, text), read by Spark itself."""
     texts = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", file_glob(["txt"]))
-        .text(folder)
+        spark.read.option("pathGlobFilter", file_glob(["txt"]))
+        .text(folder, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
     return texts.select("path", T.file_name("path").alias("filename"), "text")
