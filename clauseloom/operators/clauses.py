@@ -44,37 +44,51 @@ def _contains_any(lowered: Column, keywords: Sequence[str]) -> Column:
 
 def mentions(text: Column | str, keywords: Sequence[str]) -> Column:
     """Whether the text holds one of the keywords. The plain substring test settles most texts before the regex."""
-    lowered = F.lower(F.col(text) if isinstance(text, str) else text)
-    return _contains_any(lowered, keywords) & lowered.rlike(keyword_pattern(keywords))
+    return mentions_lowered(F.lower(F.col(text) if isinstance(text, str) else text), keywords)
 
 
-def hit_sentences(sentences: Column | str, clause: ClauseType) -> Column:
-    """The sentences that mention the clause type, trimmed, in document order."""
-    s = F.col(sentences) if isinstance(sentences, str) else sentences
-    return F.transform(F.filter(s, lambda x: mentions(x, clause.keywords)), lambda x: F.trim(x))
+def mentions_lowered(lowered: Column, keywords: Sequence[str]) -> Column:
+    """``mentions`` for a text that is in lower case already."""
+    return _contains_any(lowered, keywords) & lowered.rlike(keyword_pattern(keywords))
 
 
 def with_sentences(contracts: DataFrame) -> DataFrame:
-    """Add the ``sentences`` array; texts that hold no keyword at all get an empty one without being split."""
-    every = [k for c in CLAUSE_TYPES for k in c.keywords]
-    relevant = _contains_any(F.lower("text"), every)
-    return contracts.withColumn(
-        "sentences", F.when(relevant, T.sentences("text")).otherwise(F.array().cast("array<string>"))
+    """Add the arrays ``sentences`` and ``lowered``, and ``may_<type>``: whether a keyword occurs as a substring.
+
+    A text without any keyword is not split; the flags spare the regex work of the types that cannot occur.
+    """
+    lowered = contracts.withColumn("lowered", F.lower("text"))
+    flags = {f"may_{c.name}": _contains_any(F.col("lowered"), c.keywords) for c in CLAUSE_TYPES}
+    relevant = reduce(lambda a, b: a | b, [F.col(f) for f in flags])
+    flagged = lowered.withColumns(flags)
+    split = F.when(relevant, T.sentences("text")).otherwise(F.array().cast("array<string>"))
+    return flagged.withColumn("sentences", split).withColumn(
+        "lowered", F.transform("sentences", lambda s: F.lower(s))
     )
 
 
+SENTENCE_COLUMNS = ("sentences", "lowered", *(f"may_{c.name}" for c in CLAUSE_TYPES))
+
+
+def _hits(clause: ClauseType) -> Column:
+    """The sentences that mention the clause type as (pos, sentence), trimmed, in document order."""
+    numbered = F.transform("sentences", lambda s, i: F.struct(i.alias("pos"), F.trim(s).alias("sentence")))
+    found = F.filter(numbered, lambda x: mentions_lowered(F.get("lowered", x["pos"]), clause.keywords))
+    return F.when(F.col(f"may_{clause.name}"), found).otherwise(F.array().cast("array<struct<pos:int,sentence:string>>"))
+
+
 def with_hits(contracts: DataFrame) -> DataFrame:
-    """Add ``<type>_hits``, the array of hit sentences, for each clause type."""
+    """Add ``<type>_hits``, the array of hit sentences with their positions, for each clause type."""
     split = with_sentences(contracts)
-    hits = {f"{c.name}_hits": hit_sentences("sentences", c) for c in CLAUSE_TYPES}
-    return split.withColumns(hits).drop("sentences")
+    return split.withColumns({f"{c.name}_hits": _hits(c) for c in CLAUSE_TYPES}).drop(*SENTENCE_COLUMNS)
 
 
 def find_clauses(contracts: DataFrame) -> DataFrame:
     """Add one column per clause type: its sentences in document order and original wording, null if absent."""
     found = with_hits(contracts)
     joined = {
-        c.column: F.when(F.size(f"{c.name}_hits") > 0, F.array_join(f"{c.name}_hits", " ")) for c in CLAUSE_TYPES
+        c.column: F.when(F.size(f"{c.name}_hits") > 0, F.array_join(F.col(f"{c.name}_hits")["sentence"], " "))
+        for c in CLAUSE_TYPES
     }
     return found.withColumns(joined).drop(*[f"{c.name}_hits" for c in CLAUSE_TYPES])
 
@@ -88,12 +102,14 @@ def sentence_rows(contracts: DataFrame, id_column: str = "contract_id") -> DataF
 
 def hit_rows(contracts: DataFrame, id_column: str = "contract_id") -> DataFrame:
     """One row per (contract, clause type, sentence) hit."""
-    rows = with_sentences(contracts).select(id_column, F.posexplode("sentences").alias("pos", "sentence"))
-    named = F.array(*[F.when(mentions("sentence", c.keywords), F.lit(c.name)) for c in CLAUSE_TYPES])
+    # Only the hits leave the row: sentences without one are never exploded.
+    per_type = [
+        F.struct(F.lit(c.name).alias("clause_type"), F.col(f"{c.name}_hits").alias("hits")) for c in CLAUSE_TYPES
+    ]
     return (
-        rows.withColumn("clause_type", F.explode(F.array_compact(named)))
-        .withColumn("sentence", F.trim("sentence"))
-        .select(id_column, "clause_type", "pos", "sentence")
+        with_hits(contracts)
+        .select(id_column, F.inline(F.array(*per_type)))
+        .select(id_column, "clause_type", F.inline("hits"))
     )
 
 

@@ -35,14 +35,17 @@ def number_rows(
 ) -> DataFrame:
     """Number all rows 1, 2, 3, … in the order of ``order_by`` without sorting them in one task.
 
-    A hash-chosen sample of keys (at most ``sample_size`` rows, so bounded) yields bucket bounds; rows are numbered
-    inside their bucket and shifted by the size of the buckets before it. The bounds depend on the data only, so
-    retried tasks agree. ``order_by`` should end in a unique column: it makes the numbers repeatable and keeps a
-    frequent leading value from filling one bucket.
+    A sample of about ``sample_size`` distinct keys, chosen by hash, yields bucket bounds; all rows are numbered inside
+    their bucket and shifted by the size of the buckets before it. The bounds depend on the data only, so retried
+    tasks agree. ``order_by`` should end in a unique column: it makes the numbers repeatable and keeps a frequent
+    leading value from filling one bucket.
     """
     # Behind the barrier the key is built once per row, not once per comparison.
     keyed = df.withColumn("_key", F.struct(*[F.col(c) for c in order_by])).transform(row_barrier, "_key")
-    sample = keyed.select(F.col("_key").alias("k")).orderBy(F.xxhash64("k"), "k").limit(sample_size)
+    every = F.greatest(F.expr("1L"), df.agg(F.count("*")).scalar() / F.lit(sample_size)).cast("long")
+    sample = (
+        keyed.select(F.col("_key").alias("k")).filter(F.pmod(F.xxhash64("k"), every) == 0).distinct()
+    )
     bounds = (
         sample.select("k", F.ntile(buckets).over(Window.orderBy("k")).alias("b"))
         .groupBy("b")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions import text as T
-from clauseloom.operators.clauses import mentions, with_sentences
+from clauseloom.operators.clauses import mentions_lowered, with_sentences
 from clauseloom.taxonomy import CLAUSE_TYPES, ClauseType
 
 _SPANS = "array<struct<pos:int,first:int,last:int>>"
@@ -57,10 +57,12 @@ def _spans(clause: ClauseType, merge: bool) -> Column:
             )
             overlaps = F.coalesce(previous["last"] >= first, F.lit(False))
             grown = F.when(overlaps, F.concat(F.slice(acc["spans"], 1, count - 1), F.array(longer))).otherwise(grown)
-        spans = F.when(mentions(sentence, clause.keywords), grown).otherwise(acc["spans"])
+        hit = mentions_lowered(F.get("lowered", acc["pos"]), clause.keywords)
+        spans = F.when(hit, grown).otherwise(acc["spans"])
         return F.struct((acc["pos"] + 1).alias("pos"), end.alias("offset"), spans.alias("spans"))
 
-    return F.aggregate("sentences", start, step, lambda acc: acc["spans"])
+    spans = F.aggregate("sentences", start, step, lambda acc: acc["spans"])
+    return F.when(F.col(f"may_{clause.name}"), spans).otherwise(F.array().cast(_SPANS))
 
 
 def _tag(spans: str, name: str) -> Column:

@@ -118,10 +118,12 @@ def pending_tasks(task_rows: DataFrame, responses: DataFrame, max_attempts: int
     tried = responses.groupBy("contract_id", "task").agg(
         F.max("attempt").alias("_tries"), F.bool_or(F.col("status") != "error").alias("_done")
     )
-    finished = tried.filter(F.col("_done") | (F.col("_tries") >= max_attempts))
-    open_tasks = task_rows.join(finished, ["contract_id", "task"], "left_anti")
-    return open_tasks.join(tried, ["contract_id", "task"], "left").select(
-        "contract_id", "task", (F.coalesce("_tries", F.lit(0)) + 1).alias("attempt")
+    tries, done = F.coalesce("_tries", F.lit(0)), F.coalesce("_done", F.lit(False))
+    return (
+        task_rows.select("contract_id", "task")
+        .join(tried, ["contract_id", "task"], "left")
+        .filter(~done & (tries < max_attempts))
+        .select("contract_id", "task", (tries + 1).alias("attempt"))
     )
 
 
