@@ -18,8 +18,12 @@ def _col(c: Column | str) -> Column:
 
 
 def collapse_whitespace(text: Column | str) -> Column:
-    """Turn every run of Unicode white space into one space."""
-    return F.regexp_replace(_col(text), f"[{WHITESPACE}]+", " ")
+    """Turn every run of Unicode white space into one space.
+
+    The pattern skips lone spaces: they would only be replaced by themselves, once per word.
+    """
+    changing = f"[{WHITESPACE}&&[^ ]][{WHITESPACE}]*+| [{WHITESPACE}]++"
+    return F.regexp_replace(_col(text), changing, " ")
 
 
 def strip_symbols(text: Column | str) -> Column:

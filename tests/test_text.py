@@ -1,6 +1,7 @@
 """Text functions against a plain-Python model."""
 
 import re
+import unicodedata
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -64,9 +65,13 @@ def test_page_numbers_can_be_kept(spark):
     assert apply(spark, ["x Page 3"], T.normalize_text("text", remove_page_numbers=False)) == [("x Page 3",)]
 
 
-# Assigned characters only: engines know different Unicode versions.
+# Characters that both engines know: Python's tables are newer than those of the JVM, which takes letters added to
+# Unicode since (U+0870, for one) for symbols.
+_known = st.characters(max_codepoint=0x2FFF, exclude_categories=("Cs", "Cn")).filter(
+    lambda c: unicodedata.ucd_3_2_0.category(c) != "Cn"
+)
 _texts = st.lists(
-    st.text(st.characters(max_codepoint=0x2FFF, exclude_categories=("Cs", "Cn")), max_size=40)
+    st.text(_known, max_size=40)
     | st.text("Pp aAgGeE0123 \n.-", max_size=20),
     min_size=20,
     max_size=60,
