@@ -75,12 +75,35 @@ def up_to(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
+def frequent(counts: DataFrame, by: str, limit: int) -> DataFrame:
+    """Rows of a per-key table whose count ``by`` is at least 1/``limit`` of the sum of all counts.
+
+    There can be at most ``limit`` of them, so the result may be broadcast, and a key left out holds less than that
+    share of all rows. A filter finds them: no sort, no single task.
+    """
+    return counts.filter(F.col(by) * limit >= counts.agg(F.sum(by)).scalar())
+
+
 def hot_keys(counts: DataFrame, key: str, by: str, limit: int = 1_000) -> DataFrame:
-    """The ``limit`` most frequent keys of a (key, count) table.
+    """The keys of ``frequent``: at most ``limit``."""
+    return frequent(counts, by, limit).select(key)
 
-    Any key left out holds at most 1/``limit`` of all rows, so treating only these keys specially is enough.
+
+def lookup_join(left: DataFrame, right: DataFrame, on: str, by: str, limit: int = 100_000, how: str = "inner") -> DataFrame:
+    """Add the columns of ``right``, which holds each key once with its count ``by``, to the rows of ``left``.
+
+    The frequent keys, at most ``limit``, are broadcast: their rows, which are most rows when keys are words, stay
+    where they are and no hot key is ever shuffled. Only rows with rare keys are shuffled to the rest of ``right``.
     """
-    return counts.orderBy(F.desc(by), key).limit(limit).select(key)
+    if how not in ("inner", "left"):
+        raise ValueError("how must be inner or left")
+    looked_up = left.join(F.broadcast(frequent(right, by, limit).withColumn("_found", F.lit(True))), on, "left")
+    columns = [on, *[c for c in left.columns if c != on], *[c for c in right.columns if c != on]]
+    near = looked_up.filter(F.col("_found")).select(*columns)
+    rest = looked_up.filter(F.col("_found").isNull()).select(*left.columns)
+    # Of unknown size, so hashed per partition and never broadcast on an estimate.
+    far = rest.join(right.hint("shuffle_hash"), on, how).select(*columns)
+    return near.unionByName(far)
 
 
 def salted_join(

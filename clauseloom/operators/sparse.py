@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions import text as T
-from clauseloom.operators.layout import hot_keys, salted_join, top_per_group
+from clauseloom.operators.layout import hot_keys, lookup_join, salted_join, top_per_group
 from clauseloom.operators.summary import document_frequency, inverse_frequency
 
 # Largest query batch, in (query, term) rows, that is broadcast.
@@ -31,10 +31,7 @@ def _unit(weighted: DataFrame, key: str) -> DataFrame:
 def postings(items: DataFrame, weights: DataFrame, key: str = "item_id", text: str = "clause") -> DataFrame:
     """(item_id, term, weight): tf-idf weights scaled to unit length per item. This table is the index."""
     counted = _term_counts(items, key, text)
-    hot = hot_keys(weights, "term", "df")
-    weighted = salted_join(counted, weights.select("term", "idf"), "term", [key], hot).withColumn(
-        "w", F.col("n") * F.col("idf")
-    )
+    weighted = lookup_join(counted, weights, "term", "df").withColumn("w", F.col("n") * F.col("idf"))
     return _unit(weighted, key)
 
 
@@ -42,10 +39,9 @@ def query_postings(queries: DataFrame, weights: DataFrame, total: Column) -> Dat
     """(query_id, term, weight) of query texts; terms the index has never seen count as the rarest."""
     counted = _term_counts(queries, "query_id", "text")
     unseen = inverse_frequency(F.lit(0.0), total)
-    hot = hot_keys(counted.groupBy("term").agg(F.count("*").alias("df")), "term", "df")
-    weighted = salted_join(
-        counted, weights.select("term", "idf"), "term", ["query_id"], hot, how="left"
-    ).withColumn("w", F.col("n") * F.coalesce("idf", unseen))
+    weighted = lookup_join(counted, weights, "term", "df", how="left").withColumn(
+        "w", F.col("n") * F.coalesce("idf", unseen)
+    )
     return _unit(weighted, "query_id")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import text as T
 from clauseloom.operators.clauses import mentions
-from clauseloom.operators.layout import hot_keys, salted_join
+from clauseloom.operators.layout import lookup_join
 from clauseloom.taxonomy import CLAUSE_TYPES
 
 MIN_WORDS = 100
@@ -43,11 +43,11 @@ def summarize(contracts: DataFrame, max_words: int = MAX_WORDS, hit_bonus: float
 
     A sentence scores the mean inverse document frequency of its terms plus ``hit_bonus`` per clause type it
     mentions. Sentences are taken by score while their words add up to at most ``max_words``, then put back into
-    document order. Expects normalised text, from a stored table (see ``stages.stage``): it is read three times.
+    document order. Expects normalised text, from a stored table (see ``stages.stage``): it is read several times.
     """
     n_contracts = contracts.agg(F.count("*")).scalar()
     frequency = document_frequency(contracts, "text")
-    idf = frequency.select("term", inverse_frequency(F.col("df"), n_contracts).alias("idf"))
+    idf = frequency.withColumn("idf", inverse_frequency(F.col("df"), n_contracts))
     sentences = contracts.select(
         "contract_id", F.posexplode(_short_sentences(max_words)).alias("pos", "sentence")
     )
@@ -61,9 +61,9 @@ def summarize(contracts: DataFrame, max_words: int = MAX_WORDS, hit_bonus: float
         "sentence",
     )
     tokens = measured.select("contract_id", "pos", "words", "bonus", F.explode(T.terms("sentence")).alias("term"))
-    # Words like "the" hold a large share of all tokens: their rows are split over several tasks.
+    # Most tokens are common words: they are looked up and summed where they are, and only rare ones are shuffled.
     scored = (
-        salted_join(tokens, idf, "term", ["contract_id", "pos"], hot_keys(frequency, "term", "df"))
+        lookup_join(tokens, idf, "term", "df")
         .groupBy("contract_id", "pos", "words", "bonus")
         .agg(F.avg("idf").alias("mean_idf"))
         .withColumn("score", F.round(F.col("mean_idf") + F.col("bonus"), 6))

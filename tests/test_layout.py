@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from clauseloom.operators import ingest
-from clauseloom.operators.layout import hot_keys, number_rows, salted_join, spread, top_per_group
+from clauseloom.operators.layout import frequent, hot_keys, lookup_join, number_rows, salted_join, spread, top_per_group
 
 
 def test_numbers_follow_the_order(spark):
@@ -31,14 +31,26 @@ def test_numbering_an_empty_or_tiny_table(spark):
 def test_salted_join_equals_plain_join(spark):
     left = spark.range(3_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
     right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    hot = hot_keys(left.groupBy("k").agg(F.count("*").alias("n")), "k", "n", 2)
-    assert hot.count() == 2 and hot.first()["k"] == 0
+    hot = hot_keys(left.groupBy("k").agg(F.count("*").alias("n")), "k", "n", 4)
+    assert [r["k"] for r in hot.collect()] == [0]
     for how in ("inner", "left"):
         got = salted_join(left, right, "k", ["id"], hot, salts=8, how=how).select("id", "k", "v")
         want = left.join(right, "k", how).select("id", "k", "v")
         assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
+def test_lookup_join_equals_plain_join(spark):
+    left = spark.range(3_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    right = counts.filter("k < 40").withColumn("v", F.col("k") * 10)
+    for limit in (1, 3, 1_000):
+        assert frequent(counts, "n", limit).count() <= limit
+        for how in ("inner", "left"):
+            got = lookup_join(left, right, "k", "n", limit, how).select("id", "k", "v")
+            want = left.join(right, "k", how).select("id", "k", "v")
+            assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_hot_rows_are_split_over_tasks(spark):
     left = spark.range(2_000).select("id", F.lit("hot").alias("k"))
     right = spark.createDataFrame([("hot", 1)], "k string, v int")
