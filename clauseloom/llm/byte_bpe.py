@@ -5,14 +5,13 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterable
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from clauseloom.llm.common import Memo, batch, blank_nulls, per_batch, require_columns, texts_of
+from clauseloom.llm.common import Memo, batch, blank_nulls, once_per_worker, per_batch, require_columns, texts_of
 from clauseloom.llm.merges import Neighbours, merge
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -109,15 +108,14 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def piece_memo(bpe: ByteBpe) -> Memo:
-    """Piece of text -> its ids; what is missing is encoded on demand."""
-    return Memo(lambda piece: bpe.encode_piece(piece.encode()), MAX_PIECES)
+def compiled(path: str) -> tuple[ByteBpe, Memo]:
+    """One encoder per Python worker and vocabulary file, and a memo from a piece of text to its ids."""
 
+    def build() -> tuple[ByteBpe, Memo]:
+        bpe = ByteBpe(read_ranks(path))
+        return bpe, Memo(lambda piece: bpe.encode_piece(piece.encode()), MAX_PIECES)
 
-@lru_cache(maxsize=2)
-def compiled(path: str) -> ByteBpe:
-    """One encoder per Python worker and vocabulary file."""
-    return ByteBpe(read_ranks(path))
+    return once_per_worker(("bytes", path), build)
 
 
 def encode_text(text: str, pieces: Memo, split: Callable[[str], list[str]]) -> list[int]:
@@ -139,8 +137,8 @@ def encode_and_decode(documents: DataFrame, ranks_path: str, pattern: str) -> Da
     require_columns(documents, "doc_id", "text")
 
     def work() -> Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]:
-        bpe = compiled(ranks_path)
-        pieces, split, name = piece_memo(bpe), regex.compile(pattern).findall, bpe.names.__getitem__
+        bpe, pieces = compiled(ranks_path)
+        split, name = regex.compile(pattern).findall, bpe.names.__getitem__
 
         def step(rows: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
             counts, ids_digests, decoded = [], [], []
@@ -166,7 +164,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def work() -> Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]:
-        pieces, split = piece_memo(compiled(ranks_path)), regex.compile(pattern).findall
+        pieces, split = compiled(ranks_path)[1], regex.compile(pattern).findall
 
         def step(rows: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
             ids = [encode_text(t, pieces, split) for t in texts_of(rows["text"])]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,8 @@ from pyspark.sql.types import StructType
 
 from clauseloom.sources.stages import stage
 
-__all__ = ["table", "stage", "per_batch", "batch", "texts_of", "blank_nulls", "require_columns", "Memo"]
+__all__ = ["table", "stage", "per_batch", "batch", "texts_of", "blank_nulls", "require_columns", "Memo",
+           "once_per_worker", "keep_rows", "raw_hash"]
 
 
 class Memo(dict):
@@ -40,6 +42,20 @@ class Memo(dict):
 
 
 
+def once_per_worker(key: tuple, build: Callable[[], object]) -> object:
+    """What ``build`` makes, made once per Python process: compiled vocabularies outlive the task that made them.
+
+    Functions travel to the workers by value, so a variable of this module would start anew with every task; the
+    store therefore hangs on a module that every process has.
+    """
+    kept = sys.__dict__.setdefault("_clauseloom_kept", {})
+    if key not in kept:
+        if len(kept) >= 4:
+            kept.clear()
+        kept[key] = build()
+    return kept[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -88,3 +104,20 @@ def per_batch(
             yield from step(b)
 
     return df.mapInArrow(run, schema)
+
+
+def keep_rows(documents: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The documents whose (doc_id, text hash) is in ``decisions``; of rows that repeat both, one.
+
+    ``decisions`` has columns doc_id and raw, see ``raw_hash``. All columns of ``documents`` come back. Only here are
+    whole texts shuffled, once; the copies of one row meet where the join has put them.
+    """
+    keyed = documents.withColumn("_raw", raw_hash("text"))
+    chosen = decisions.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_hash")).distinct()
+    met = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_raw") == F.col("_hash")), "left_semi")
+    return met.dropDuplicates(["doc_id", "_raw"]).select(*documents.columns)
+
+
+def raw_hash(text: str) -> F.Column:
+    """A hash of the text as it is, which tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

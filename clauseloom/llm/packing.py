@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from clauseloom.llm.common import Memo, batch, blank_nulls, per_batch, require_columns, stage, texts_of
+from clauseloom.llm.common import Memo, batch, blank_nulls, once_per_worker, per_batch, require_columns, stage, texts_of
 
 WINDOW = 4096
 # Pieces that one task packs. More pieces fill windows better and take more memory (about 60 bytes each).
@@ -68,10 +67,9 @@ class WordIds:
         return b"".join(map(self.words.__getitem__, text.encode().split()))
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     """One per Python worker and vocabulary file."""
-    return WordIds(Tokenizer.from_file(path))
+    return once_per_worker(("words", path), lambda: WordIds(Tokenizer.from_file(path)))
 
 
 def cut(doc_tokens: int, window: int) -> Iterator[tuple[int, int]]:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import lru_cache
 
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from clauseloom.llm.common import Memo, batch, blank_nulls, per_batch, require_columns, texts_of
+from clauseloom.llm.common import Memo, batch, blank_nulls, once_per_worker, per_batch, require_columns, texts_of
 from clauseloom.llm.merges import Neighbours, merge
 
 SPACE = "▁"
@@ -238,10 +237,9 @@ def read_scores(path: str) -> dict[str, float]:
     return {model.id_to_piece(i): model.get_score(i) for i in ordinary}
 
 
-@lru_cache(maxsize=2)
-def compiled(path: str) -> Transducer:
-    """One transducer per Python worker and model file."""
-    return Transducer(read_scores(path))
+def compiled(path: str) -> WordCounts:
+    """One transducer, with its memo, per Python worker and model file."""
+    return once_per_worker(("tokens", path), lambda: WordCounts(Transducer(read_scores(path))))
 
 
 def token_counts(documents: DataFrame, model_path: str, limit: int = OVER_LIMIT) -> DataFrame:
@@ -255,7 +253,7 @@ def token_counts(documents: DataFrame, model_path: str, limit: int = OVER_LIMIT)
     require_columns(documents, "doc_id", "text")
 
     def work() -> Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]:
-        words = WordCounts(compiled(model_path))
+        words = compiled(model_path)
 
         def step(rows: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
             sizes, counts = [], []
