@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseloom.llm import byte_bpe, exact_dedup, packing, simhash, sql, token_counts
+from clauseloom.llm import byte_bpe, exact_dedup, packing, secrets, simhash, sql, token_counts
 from clauseloom.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of secrets in every document."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and their text again."""
     return byte_bpe.encode_and_decode(
@@ -39,5 +44,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_packing, op8_byte_bpe, op9_simhash)}
-ORACLES = {"op3_exact_dedup": sql.EXACT_DEDUP}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_packing, op5_secrets, op8_byte_bpe, op9_simhash)}
+ORACLES = {
+    "op3_exact_dedup": sql.EXACT_DEDUP,
+    "op5_secrets": sql.secrets_sql(secrets.RULES, len(secrets.BASE)),
+}

@@ -7,3 +7,34 @@ WITH d AS (
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.content) AS text_sha256
 FROM d JOIN g USING (content)
 """
+
+
+def _spans_cte(name: str, pattern: str, value: int, least: int, number: int) -> str:
+    """Matches of one rule: the text is cut at them, and lengths add up to places."""
+    keep = f"AND length(regexp_extract(m, '{pattern}', {value})) >= {least}" if least else ""
+    return f"""
+  SELECT doc_id, '{name}' AS kind, {number} AS n, e - length(m) AS s, e FROM (
+    SELECT doc_id, m, sum(length(b) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id ORDER BY pos) AS e
+    FROM (
+      SELECT doc_id, unnest(string_split_regex(text, '{pattern}')) AS b, unnest(regexp_extract_all(text, '{pattern}')) AS m,
+             generate_subscripts(string_split_regex(text, '{pattern}'), 1) AS pos
+      FROM d WHERE regexp_matches(text, '{pattern}')
+    )
+  ) WHERE m IS NOT NULL {keep}"""
+
+
+def secrets_sql(rules: tuple, n_base: int) -> str:
+    """Every rule over every whole text, without an index. ``rules``: (kind, pattern, value, least)."""
+    each = "\n  UNION ALL".join(
+        _spans_cte(r.kind, r.pattern.replace("'", "''"), r.value, r.least, n) for n, r in enumerate(rules)
+    )
+    listed = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, n), '')"
+    base = f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, n) FILTER (n < {n_base}), '')"
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in rules[:n_base])
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({each})
+SELECT d.doc_id, {counts}, sha256({base}) AS base_sha256, {listed} AS spans
+FROM d LEFT JOIN (SELECT doc_id AS id, kind, n, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM found) f ON d.doc_id = f.id
+GROUP BY d.doc_id
+"""
