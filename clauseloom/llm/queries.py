@@ -4,8 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from clauseloom.llm import byte_bpe, exact_dedup, packing, secrets, simhash, sql, token_counts
+from pyspark.sql import functions as F
+
+from clauseloom.llm import (
+    byte_bpe,
+    chat_format,
+    exact_dedup,
+    neighbours,
+    packing,
+    secrets,
+    simhash,
+    sql,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from clauseloom.llm.common import table
 
 
@@ -16,6 +29,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of one whose texts look like control strings, read back from their format."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat_format.digests(chat_format.format_chats(given.unionByName(tricky)))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts, and which document of each stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -31,6 +56,16 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and their text again."""
     return byte_bpe.encode_and_decode(
@@ -44,8 +79,22 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_exact_dedup, op4_packing, op5_secrets, op8_byte_bpe, op9_simhash)}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors of every 50th vector."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_chat_format, op3_exact_dedup, op4_packing, op5_secrets, op6_url_filter, op7_toxicity,
+        op8_byte_bpe, op9_simhash, op10_neighbours,
+    )
+}
 ORACLES = {
+    "op2_chat_format": sql.chats_sql(
+        chat_format.START, chat_format.TEXT, chat_format.NEXT, chat_format.END, chat_format.CONTROLS
+    ),
     "op3_exact_dedup": sql.EXACT_DEDUP,
     "op5_secrets": sql.secrets_sql(secrets.RULES, len(secrets.BASE)),
 }

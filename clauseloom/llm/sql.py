@@ -38,3 +38,27 @@ SELECT d.doc_id, {counts}, sha256({base}) AS base_sha256, {listed} AS spans
 FROM d LEFT JOIN (SELECT doc_id AS id, kind, n, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM found) f ON d.doc_id = f.id
 GROUP BY d.doc_id
 """
+
+
+def chats_sql(start: str, text: str, next_: str, end: str, controls: str) -> str:
+    """The digests of formatted conversations. Escapes add one sign per control string; what is read back is the input."""
+
+    def extra(column: str) -> str:
+        return f"len(regexp_extract_all({column}, '[<\\[]\\\\*(?:{controls})'))"
+
+    return f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), turns AS (
+  SELECT *, role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS same
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(text) + {extra('text')} + CASE WHEN same THEN {len(next_)}
+    ELSE length(role) + {extra('role')} + {len(start) + len(text) + len(end) + 1} END) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
