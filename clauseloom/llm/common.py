@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from clauseloom.sources.stages import stage
 
 __all__ = ["table", "stage", "per_batch", "batch", "texts_of", "blank_nulls", "require_columns", "Memo",
-           "once_per_worker", "keep_rows", "raw_hash"]
+           "once_per_worker", "keep_rows", "raw_hash", "whole_rows"]
 
 
 class Memo(dict):
@@ -109,13 +109,18 @@ def per_batch(
 def keep_rows(documents: DataFrame, decisions: DataFrame) -> DataFrame:
     """The documents whose (doc_id, text hash) is in ``decisions``; of rows that repeat both, one.
 
-    ``decisions`` has columns doc_id and raw, see ``raw_hash``. All columns of ``documents`` come back. Only here are
-    whole texts shuffled, once; the copies of one row meet where the join has put them.
+    ``decisions`` has columns doc_id and raw, see ``raw_hash``. All columns of ``documents`` come back, whatever their
+    names. Only here are whole texts shuffled, once; rows that repeat meet where the join has put them.
     """
-    keyed = documents.withColumn("_raw", raw_hash("text"))
-    chosen = decisions.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_hash")).distinct()
-    met = keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_raw") == F.col("_hash")), "left_semi")
-    return met.dropDuplicates(["doc_id", "_raw"]).select(*documents.columns)
+    keyed = whole_rows(documents, F.col("doc_id").cast("long").alias("id"), raw_hash("text").alias("hash"))
+    chosen = decisions.select("doc_id", "raw").distinct()
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("raw"))
+    return keyed.join(chosen, same, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
+
+
+def whole_rows(documents: DataFrame, *columns: F.Column) -> DataFrame:
+    """(row, further columns): all given columns inside a struct, so that none can clash with an added one."""
+    return documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("row"), *columns)
 
 
 def raw_hash(text: str) -> F.Column:

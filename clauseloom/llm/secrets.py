@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import raw_hash, require_columns, stage
+from clauseloom.llm.common import raw_hash, require_columns, stage, whole_rows
 
 
 class Rule(NamedTuple):
@@ -247,25 +247,22 @@ def mask(documents: DataFrame, rules: tuple[Rule, ...] = RULES, by: str = MASK)
     upto = Window.partitionBy(*ROW).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
     new = F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int")
     islands = (
-        spans(documents, rules).withColumn("_new", new).withColumn("_island", F.sum("_new").over(upto))
-        .groupBy(*ROW, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        .groupBy(F.col("doc_id").alias("_id"), F.col("raw").alias("_hash"))
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_gone"))
+        spans(documents, rules).withColumn("new", new).withColumn("island", F.sum("new").over(upto))
+        .groupBy(*ROW, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        .groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone"))
     )
-    some = documents.filter(touched).withColumn("_raw", raw_hash("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_raw") == F.col("_hash"))
-    kept = F.transform(
-        "_gone",
-        lambda s, i: F.col("text").substr(
-            F.when(i == 0, F.lit(1)).otherwise(F.get("_gone", i - 1)["end"] + 1).cast("int"),
-            (s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get("_gone", i - 1)["end"])).cast("int"),
-        ),
+    some = whole_rows(
+        documents.filter(touched), F.col("doc_id").alias("id"), raw_hash("text").alias("hash"), F.col("text").alias("full")
     )
-    rest = F.col("text").substr((F.element_at("_gone", -1)["end"] + 1).cast("int"), F.length("text"))
-    masked = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
-        F.concat(F.array_join(F.transform(kept, lambda k: F.concat(k, F.lit(by))), ""), rest)
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("raw"))
+    end_before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("gone", i - 1)["end"]).cast("int")
+    kept = F.transform(
+        "gone", lambda s, i: F.concat(F.col("full").substr(end_before(i) + 1, s["start"].cast("int") - end_before(i)), F.lit(by))
     )
-    some = some.join(islands, same, "left").withColumn("text", masked)
+    rest = F.col("full").substr((F.element_at("gone", -1)["end"] + 1).cast("int"), F.length("full"))
+    masked = F.when(F.col("gone").isNull(), F.col("full")).otherwise(F.concat(F.array_join(kept, ""), rest))
+    done = some.join(islands, same, "left").select("row", masked.alias("masked"))
+    row = F.col("row").withField("text", F.col("masked"))
     if "n_chars" in documents.columns:
-        some = some.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return documents.filter(~touched).unionByName(some.select(*documents.columns))
+        row = row.withField("n_chars", F.length("masked").cast(documents.schema["n_chars"].dataType))
+    return documents.filter(~touched).unionByName(done.select(row.alias("row")).select("row.*"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import Memo, require_columns
+from clauseloom.llm.common import Memo, require_columns, whole_rows
 
 WORD = re.compile(r"[^\W\d_]+")
 JAVA_WORD = r"\p{L}+"
@@ -231,17 +231,17 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     return Lexicon(weights, fit_curve([tuple(r) for r in bins]))
 
 
-def scored(documents: DataFrame, lexicon: Lexicon, name: str = "score") -> DataFrame:
-    """The documents with a score from 0 to 1: the curve, straight between its points."""
+def scored(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(row, score): the documents with a score from 0 to 1: the curve, straight between its points."""
     place = F.least(F.log1p(evidence("text", lexicon.weights)) * STEPS, F.lit(float(MAX_BIN)))
     (first, value), *rest = lexicon.curve
     column = F.lit(value)
     low, low_value = first, value
     for high, high_value in rest:
-        along = F.lit(low_value) + (F.col("_place") - low) * ((high_value - low_value) / (high - low))
-        column = F.when(F.col("_place") > low, F.least(along, F.lit(high_value))).otherwise(column)
+        along = F.lit(low_value) + (F.col("place") - low) * ((high_value - low_value) / (high - low))
+        column = F.when(F.col("place") > low, F.least(along, F.lit(high_value))).otherwise(column)
         low, low_value = high, high_value
-    return documents.withColumn("_place", place).withColumn(name, column).drop("_place")
+    return whole_rows(documents, place.alias("place")).select("row", column.alias("score"))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
@@ -254,12 +254,11 @@ def toxicity(documents: DataFrame, labels: DataFrame, cut: float = CUT) -> DataF
     require_columns(documents, "doc_id", "text")
     lexicon = fit(documents, labels)
     rows = scored(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lexicon)
-    return rows.select(
+    return rows.select("row.doc_id", "score").select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted")
     )
 
 
 def clean_documents(documents: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The documents whose score is below ``cut``, with all their columns."""
-    rows = scored(documents, fit(documents, labels), "_score")
-    return rows.filter(F.col("_score") < cut).select(*documents.columns)
+    return scored(documents, fit(documents, labels)).filter(F.col("score") < cut).select("row.*")
