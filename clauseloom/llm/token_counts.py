@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -14,8 +15,9 @@ from clauseloom.llm.merges import Neighbours, merge
 SPACE = "▁"
 CHUNK = 16_384
 # Bounds of what a worker keeps, which cost time when passed and never change a count.
-MAX_STATES = 120_000
-MAX_WORDS = 250_000
+MAX_STATES = 200_000
+MAX_PAIRS = 1_000_000
+MAX_WORDS = 300_000
 OVER_LIMIT = 4096
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -27,15 +29,15 @@ _ARROW = pa.schema(
 class State:
     """A state of the transducer: what of the text so far can still change how it splits into tokens.
 
-    ``tail`` is the longest end of the text that begins some piece. ``live`` holds, for each place in it from which a
-    piece may still grow, (place, last token before it, tokens before it less the tokens now). ``run`` is the length
+    ``live`` holds, for each end of the text that begins some piece, the longest first: (that end, last token before
+    it, tokens before it less the tokens now). ``run`` is the length
     class of the run of spaces that ends here, or 0. ``moves`` maps a character to (next state, tokens emitted).
     """
 
-    __slots__ = ("tail", "live", "run", "moves")
+    __slots__ = ("live", "run", "moves")
 
-    def __init__(self, tail: str, live: tuple, run: int) -> None:
-        self.tail, self.live, self.run = tail, live, run
+    def __init__(self, live: tuple, run: int) -> None:
+        self.live, self.run = live, run
         self.moves: dict[str, tuple[State, int]] = {}
 
 
@@ -64,7 +66,8 @@ class Transducer:
         self.kinds: dict[str, int] = dict.fromkeys((p[:n] for p in self.pieces for n in range(1, len(p))), 1)
         for piece in self.pieces:
             self.kinds[piece] = self.kinds.get(piece, 0) + 2
-        self.neighbours = Neighbours(ranks)
+        self.neighbours = Neighbours(ranks, memo=1)
+        self.pairs: dict[tuple[str, str], bool] = {}
         self._fold_runs(max(map(len, runs), default=1))
         self.reset()
 
@@ -86,20 +89,25 @@ class Transducer:
         """Forget the states built so far."""
         self.states: dict[tuple, State] = {}
         self.runs = [None] + [self._run_state(n) for n in range(1, len(self.run_counts))]
-        self.empty = self._state("", (("", None, 0),), 0)
+        self.empty = self._state((("", None, 0),), 0)
         #: Where a text begins: the library puts a space in front of it.
         self.start = self.runs[1]
 
-    def _state(self, tail: str, live: tuple, run: int) -> State:
-        key = (live, run)
-        found = self.states.get(key)
+    def _state(self, live: tuple, run: int) -> State:
+        found = self.states.get((live, run))
         if found is None:
-            found = self.states[key] = State(tail, live, run)
+            found = self.states[live, run] = State(live, run)
         return found
 
+    def _apart(self, left: str, right: str) -> bool:
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        self.pairs[left, right] = known = self.neighbours.apart(left, right)
+        return known
+
     def _run_state(self, n: int) -> State:
         ahead = self.run_counts[n - 1] - self.run_counts[n]
-        return self._state(SPACE, ((SPACE, None, ahead), ("", SPACE, 0)), n)
+        return self._state(((SPACE, None, ahead), ("", SPACE, 0)), n)
 
     def move(self, state: State, char: str) -> tuple[State, int]:
         """The transition for a character, built when it is first asked for."""
@@ -116,19 +124,19 @@ class Transducer:
         elif char not in self.pieces:  # spelled in bytes; nothing is ever joined with it
             found = self.empty, len(char.encode())
         else:
-            kinds, apart = self.kinds, self.neighbours.apart
-            grown, token, emitted = [], None, 0
+            kind_of, known, grown, token, emitted = self.kinds.get, self.pairs, [], None, 0
             for rest, last, tokens in state.live:
                 rest += char
-                kind = kinds.get(rest)
+                kind = kind_of(rest)
                 if kind is None:
                     continue
-                if kind >= 2 and token is None and (last is None or apart(last, rest)):
-                    token, emitted = rest, tokens + 1
+                if kind >= 2 and token is None:
+                    if last is None or (known[last, rest] if (last, rest) in known else self._apart(last, rest)):
+                        token, emitted = rest, tokens + 1
                 if kind != 2:
                     grown.append((rest, last, tokens))
             live = (*[(rest, last, n - emitted) for rest, last, n in grown], ("", token, 0))
-            found = self._state(live[0][0], live, 0), emitted
+            found = self._state(live, 0), emitted
         state.moves[char] = found
         return found
 
@@ -137,6 +145,7 @@ class Transducer:
         if len(self.states) > MAX_STATES:
             # States in use stay valid on their own; only the table of known ones starts anew.
             self.reset()
+            gc.collect()
         total = 0
         for char in text:
             moves = state.moves
