@@ -6,21 +6,24 @@ import bisect
 import math
 import re
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import Memo, require_columns, whole_rows
+from clauseloom.llm.common import Memo, once_per_worker, require_columns, whole_rows
 
 WORD = re.compile(r"[^\W\d_]+")
 JAVA_WORD = r"\p{L}+"
 HELD_OUT, FOLDS, CUT = 2, 4, 0.3
 # Bounds of what is fitted: labelled documents (chosen by a hash of their id) and terms of the lexicon.
-MAX_LABELLED = 200_000
+MAX_LABELLED = 40_000
 MAX_TERMS = 5_000
 LONGEST_TERM = 40
+# Misspellings are sought of so many terms, the strongest; of all others the exact word counts.
+MAX_FUZZY = 60
 WINDOW = 60
 QUOTED = 0.3
 # Evidence counts in steps of 1/STEPS on a logarithmic scale when scores are fitted.
@@ -43,35 +46,52 @@ class Lexicon(NamedTuple):
 
 
 class Trie:
-    """A lexicon as a trie, searched with the Levenshtein automaton of a word.
+    """The strongest terms of a lexicon as a trie, searched with the Levenshtein automaton of a word.
 
-    A state of the automaton is the row of edit distances between the word's prefixes and the path so far; a path is
-    left as soon as no entry of its row is within the allowed distance.
+    The automaton reads the trie's paths letter by letter and leaves a path as soon as none of its states is alive, that
+    is, when no beginning of the word is within the allowed distance.
     """
 
-    def __init__(self, weights: dict[str, float]) -> None:
+    def __init__(self, weights: dict[str, float], fuzzy: int | None = None) -> None:
         self.root: dict = {}
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
         self.weights = weights
-        for term in weights:
+        # Part of a term -> lengths of the terms that have it at their start, at their end, or at a place inside.
+        self.heads: dict[int, dict[str, set[int]]] = {}
+        self.tails: dict[int, dict[str, set[int]]] = {}
+        self.inner: dict[tuple[int, int], dict[str, set[int]]] = {}
+        # Weights come strongest first.
+        for term in islice((t for t in weights if edits(len(t))), fuzzy):
             node = self.root
             for char in term:
                 node = node.setdefault(char, {})
             node[""] = term
-            # With one edit a word keeps the first or the second half of the term, with two a third of it.
-            for part in range(edits(len(term)) + 1):
-                n = len(term) // (edits(len(term)) + 1)
-                if part == 0:
-                    self.heads.setdefault(n, set()).add(term[:n])
+            # Cut into one part more than edits are allowed, a term keeps at least one part whole.
+            parts, n = edits(len(term)) + 1, len(term)
+            cuts = [n * i // parts for i in range(parts + 1)]
+            for i, (start, end) in enumerate(zip(cuts, cuts[1:])):
+                if i == 0:
+                    table = self.heads.setdefault(end, {})
+                elif end == n:
+                    table = self.tails.setdefault(n - start, {})
                 else:
-                    self.tails.setdefault(n, set()).add(term[part * n : (part + 1) * n])
+                    table = self.inner.setdefault((start, end - start), {})
+                table.setdefault(term[start:end], set()).add(n)
 
     def plausible(self, word: str) -> bool:
-        """Whether the word holds a part that every term within reach of it would leave whole."""
-        return any(word[:n] in heads for n, heads in self.heads.items()) or any(
-            word[i : i + n] in tails for n, tails in self.tails.items() for i in range(max(0, len(word) - n + 1))
-        )
+        """Whether the word has a part, about where it belongs, that a term of about its length would keep whole."""
+        size = len(word)
+        for n, table in self.heads.items():
+            if (lengths := table.get(word[:n])) and any(abs(m - size) <= edits(m) for m in lengths):
+                return True
+        for n, table in self.tails.items():
+            if (lengths := table.get(word[-n:])) and any(abs(m - size) <= edits(m) for m in lengths):
+                return True
+        if size >= 10:  # only longer terms have a part inside
+            for (start, n), table in self.inner.items():
+                for at in range(start - 2, start + 3):
+                    if (lengths := table.get(word[at : at + n])) and any(abs(m - size) <= edits(m) for m in lengths):
+                        return True
+        return False
 
     def nearest(self, word: str) -> tuple[str, int] | None:
         """The term at the smallest distance within its allowance, the heavier of equals, and that distance."""
@@ -80,33 +100,41 @@ class Trie:
         reach = edits(len(word) + 1)
         if not reach or not self.plausible(word):
             return None
+        # The automaton as bits: bit i of row e says that i letters of the word may be read with e edits.
+        size = len(word)
+        places: dict[str, int] = {}
+        for i, char in enumerate(word):
+            places[char] = places.get(char, 0) | 1 << i
+        full = (2 << size) - 1
         best: tuple[int, float, str] | None = None
-        stack = [(self.root, list(range(len(word) + 1)))]
+        stack = [(self.root, 1, 3, 7 if reach > 1 else 0)]
         while stack:
-            node, row = stack.pop()
+            node, zero, one, two = stack.pop()
             for char, child in node.items():
                 if char == "":
-                    if row[-1] <= min(reach, edits(len(child))):
-                        best = min(best or (99, 0.0, ""), (row[-1], -self.weights[child], child))
+                    distance = 0 if zero >> size else 1 if one >> size else 2 if two >> size else 3
+                    if distance <= min(reach, edits(len(child))):
+                        best = min(best or (9, 0.0, ""), (distance, -self.weights[child], child))
                     continue
-                after = [row[0] + 1]
-                for i, own in enumerate(word):
-                    after.append(min(after[-1] + 1, row[i + 1] + 1, row[i] + (own != char)))
-                if min(after) <= reach:
-                    stack.append((child, after))
+                here = places.get(char, 0)
+                zero_ = (zero & here) << 1
+                one_ = ((one & here) << 1 | zero | zero << 1 | zero_ << 1) & full
+                two_ = ((two & here) << 1 | one | one << 1 | one_ << 1) & full if reach > 1 else 0
+                if zero_ or one_ or two_:
+                    stack.append((child, zero_, one_, two_))
         return None if best is None else (best[2], best[0])
 
 
 def edits(length: int) -> int:
     """Edits allowed for a term of a length: short words change their sense too easily."""
-    return 0 if length < 5 else 1 if length < 10 else 2
+    return 0 if length < 5 else 1 if length < 12 else 2
 
 
 class Reader:
     """Reads evidence out of texts."""
 
     def __init__(self, weights: dict[str, float]) -> None:
-        trie = Trie(weights)
+        trie = Trie(weights, MAX_FUZZY)
 
         def weigh(word: str) -> float:
             found = trie.nearest(word) if len(word) <= LONGEST_TERM else None
@@ -143,7 +171,7 @@ def evidence(text: str, weights: dict[str, float]) -> Column:
 
     @F.pandas_udf("double")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader = Reader(weights)
+        reader = once_per_worker(("toxicity", hash(tuple(weights.items()))), lambda: Reader(weights))
         for texts in batches:
             yield pd.Series([reader.evidence(t) if t else 0.0 for t in texts], dtype="float64")
 

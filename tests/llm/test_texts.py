@@ -119,7 +119,8 @@ def test_terms_with_edits_are_found():
     assert trie.nearest("idiot") == ("idiot", 0)
     assert trie.nearest("idioot") == ("idiot", 1)
     assert trie.nearest("idio") == ("idiot", 1)
-    assert trie.nearest("disgastng") == ("disgusting", 2)
+    assert trie.nearest("disgasting") == ("disgusting", 1)
+    assert toxicity.Trie({"disgustingly": 1.0}).nearest("disgastngly") == ("disgustingly", 2)
     assert trie.nearest("scam") is None and trie.nearest("idol") is None
 
 
