@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from clauseloom.taxonomy import CLAUSE_TYPES, SAMPLE_QUERIES, clause_type
+from clauseloom.taxonomy import CLAUSE_TYPES, SAMPLE_QUERIES, TASKS, clause_type, prompt_frame
 
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\p{Z}"
 WORD = r"\p{L}\p{N}_"
 SENTENCE = "[^.!?]+[.!?]*"
 
-PATTERNS = {
-    "termination": rf"(^|[^{WORD}])(terminate|termination|expire|cancel|end($|[^{WORD}]))",
-    "confidentiality": rf"(^|[^{WORD}])(confidential|proprietary|non-disclosure|trade secret)",
-    "liability": rf"(^|[^{WORD}])(liability|liable|damages|limitation|exclude)",
-}
+
+def _pattern(keywords: tuple[str, ...]) -> str:
+    """Keywords with a word boundary on the left; those under five letters need one on the right as well."""
+    each = [f"{k}($|[^{WORD}])" if len(k) < 5 else k for k in keywords]
+    return f"(^|[^{WORD}])({'|'.join(each)})"
+
+
+PATTERNS = {c.name: _pattern(c.keywords) for c in CLAUSE_TYPES}
 
 
 def quote(text: str) -> str:
@@ -54,10 +57,21 @@ def mentions(x: str, kind: str) -> str:
 _T, _C, _L = (quote(". " + clause_type(n).exemplar) for n in ("termination", "confidentiality", "liability"))
 _TYPES = "(VALUES ('termination'), ('confidentiality'), ('liability')) AS kinds(clause_type)"
 _TASKS = (
-    "(VALUES ('termination', 500, 0.1), ('confidentiality', 500, 0.1), ('liability', 500, 0.1), "
-    "('summary', 200, 0.3)) AS settings(task, max_tokens, temperature)"
+    "(VALUES " + ", ".join(f"('{t.name}', {t.max_tokens}, {t.temperature})" for t in TASKS)
+    + ") AS settings(task, max_tokens, temperature)"
 )
 
+
+def _prompts(source: str, text: str, keys: str) -> str:
+    """Prompts of all tasks over a text expression of a table."""
+    frames = {t.name: prompt_frame(t.name) for t in TASKS}
+    return " UNION ALL ".join(
+        f"SELECT {keys}, '{name}' AS task, {quote(system)} AS system, {quote(before)} || {text} || {quote(after)} AS prompt "
+        f"FROM {source}"
+        for name, (system, before, after) in frames.items()
+    )
+
+
 # name -> (names it builds on, body)
 _TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "listing": (
@@ -135,7 +149,7 @@ _TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN doc_id % 11 <> 0 THEN value END AS value
         FROM (SELECT doc_id, contract_id, clause_type AS task, clause AS value FROM clauses
               JOIN contracts USING (contract_id)
-              UNION ALL SELECT doc_id, contract_id, 'summary', substring(text, 1, 200) FROM contracts)""",
+              UNION ALL SELECT doc_id, contract_id, 'summary', text FROM contracts)""",
     ),
     "results": (
         ("tasks", "responses"),
@@ -170,46 +184,27 @@ _TABLES: dict[str, tuple[tuple[str, ...], str]] = {
             for c in CLAUSE_TYPES
         ),
     ),
-    "prompts": (
+    "prompts": (("contracts",), _prompts("contracts", "substring(text, 1, 4000)", "contract_id")),
+    "chunks": (
         ("contracts",),
-        " UNION ALL ".join(
-            f"SELECT contract_id, '{c.name}' AS task, 'You are an expert legal document analyst.' AS system, "
-            + quote(
-                f"You are a legal document analyst. Extract {c.name} clauses from the following contract.\n\n\n"
-                f'Example {c.name} clause:\n"{c.exemplar}"\n\n\n'
-                "Instructions:\n"
-                f"1. Identify and extract the complete {c.name} clause(s) from the contract\n"
-                "2. If multiple clauses exist, combine them coherently\n"
-                f'3. If no {c.name} clause exists, respond with "No {c.name} clause found"\n'
-                "4. Maintain the original legal language and structure\n"
-                "5. Focus on the core obligations and conditions\n\n"
-                "Contract text:\n"
-            )
-            + " || substring(text, 1, 4000) || "
-            + quote(f"\n\n{c.name.capitalize()} clause:")
-            + " AS prompt FROM contracts"
-            for c in CLAUSE_TYPES
-        )
-        + " UNION ALL SELECT contract_id, 'summary', "
-        "'You are an expert legal analyst specializing in contract summarization.', "
-        + quote(
-            "Analyze this legal contract and provide a comprehensive summary in 100-150 words.\n\n"
-            "Focus on:\n"
-            "1. Purpose and nature of the agreement\n"
-            "2. Key obligations of each party\n"
-            "3. Notable risks, penalties, or limitations\n"
-            "4. Important terms and conditions\n\n"
-            "Contract text:\n"
-        )
-        + " || substring(text, 1, 4000) || "
-        + quote("\n\nSummary:")
-        + " FROM contracts",
-    ),
-    "short_sentences": (
+        """SELECT contract_id, CAST(chunk_no AS INTEGER) AS chunk_no, substring(text, chunk_no * 4000 + 1, 4000) AS chunk
+        FROM (SELECT contract_id, text, unnest(range(greatest(1, CAST(ceil(length(text) / 4000.0) AS BIGINT))))
+              AS chunk_no FROM contracts)""",
+    ),
+    "chunk_prompts": (("chunks",), _prompts("chunks", "chunk", "contract_id, chunk_no")),
+    "chunk_answers": (
+        ("chunk_prompts",),
+        """SELECT contract_id, task, chunk_no,
+        CASE WHEN length(prompt) % 7 = 0 THEN 'error' WHEN length(prompt) % 3 = 0 OR length(prompt) % 5 = 0 THEN 'absent'
+             ELSE 'found' END AS status,
+        CASE WHEN length(prompt) % 7 <> 0 AND length(prompt) % 3 <> 0 AND length(prompt) % 5 <> 0
+             THEN 'length ' || length(prompt) END AS value
+        FROM chunk_prompts""",
+    ),
+    "clean_sentences": (
         ("sentences",),
         "SELECT contract_id, pos, array_to_string("
-        "list_slice(list_filter(string_split(sentence, ' '), lambda w: w <> ''), 1, 150), ' ') AS sentence "
-        "FROM sentences",
+        "list_filter(string_split(sentence, ' '), lambda w: w <> ''), ' ') AS sentence FROM sentences",
     ),
     "contract_idf": (
         ("contracts",),
@@ -217,20 +212,22 @@ _TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT DISTINCT contract_id, unnest({term_list("text")}) AS term FROM contracts) GROUP BY term""",
     ),
     "sentence_scores": (
-        ("short_sentences", "contract_idf"),
+        ("clean_sentences", "contract_idf"),
         f"""SELECT s.contract_id, s.pos, {words("any_value(s.sentence)")} AS words,
         round(avg(idf) + {" + ".join(f"CAST({mentions('any_value(s.sentence)', k)} AS INTEGER)" for k in PATTERNS)},
               6) AS score
-        FROM (SELECT contract_id, pos, sentence, unnest({term_list("sentence")}) AS term FROM short_sentences) s
+        FROM (SELECT contract_id, pos, sentence, unnest({term_list("sentence")}) AS term FROM clean_sentences) s
         JOIN contract_idf USING (term) GROUP BY s.contract_id, s.pos""",
     ),
     "summaries": (
-        ("sentence_scores", "short_sentences"),
-        """SELECT contract_id, string_agg(sentence, ' ' ORDER BY pos) AS summary,
-        CAST(sum(words) AS BIGINT) AS words
-        FROM (SELECT *, sum(words) OVER (PARTITION BY contract_id ORDER BY score DESC, pos
-                ROWS UNBOUNDED PRECEDING) AS running FROM sentence_scores)
-        JOIN short_sentences USING (contract_id, pos) WHERE running <= 150 GROUP BY contract_id""",
+        ("sentence_scores", "clean_sentences", "contracts"),
+        """SELECT c.contract_id, coalesce(string_agg(t.sentence, ' ' ORDER BY t.pos), '') AS summary,
+        CAST(coalesce(sum(s.words), 0) AS BIGINT) AS words
+        FROM contracts c LEFT JOIN (
+          SELECT *, sum(words) OVER by_score AS running, row_number() OVER by_score AS place FROM sentence_scores
+          WINDOW by_score AS (PARTITION BY contract_id ORDER BY score DESC, pos ROWS UNBOUNDED PRECEDING)
+        ) s ON s.contract_id = c.contract_id AND (s.running <= 150 OR s.place = 1)
+        LEFT JOIN clean_sentences t ON t.contract_id = s.contract_id AND t.pos = s.pos GROUP BY c.contract_id""",
     ),
     "item_terms": (
         ("items",),
@@ -280,19 +277,40 @@ _TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "label_hits": (
         ("label_queries", "units"),
         """SELECT q.label AS query_id, u.vec_id AS item_id, round(list_inner_product(q.v, u.v), 6) AS score,
-        row_number() OVER (PARTITION BY q.label ORDER BY round(list_inner_product(q.v, u.v), 6) DESC, u.vec_id)
+        row_number() OVER (PARTITION BY q.label ORDER BY round(list_inner_product(q.v, u.v), 12) DESC, u.vec_id)
           AS rank
         FROM label_queries q CROSS JOIN units u""",
     ),
+    "exact_hits": (
+        ("units",),
+        """SELECT q.vec_id AS query_id, u.vec_id AS item_id, list_inner_product(q.v, u.v) AS score,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.v, u.v), 12) DESC, u.vec_id) AS rank
+        FROM (SELECT * FROM units WHERE vec_id % 25 = 0) q CROSS JOIN units u""",
+    ),
+    "near_cells": (
+        ("units", "label_queries"),
+        """SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY
+          list_inner_product(c, c) - 2 * list_inner_product(v, c), cell) AS place
+        FROM units CROSS JOIN (SELECT v AS c, row_number() OVER (ORDER BY label) - 1 AS cell FROM label_queries)""",
+    ),
+    "cell_hits": (
+        ("units", "near_cells"),
+        """SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, item_id) AS rank
+        FROM (SELECT q.vec_id AS query_id, u.vec_id AS item_id, list_inner_product(q.v, u.v) AS score
+              FROM (SELECT * FROM units WHERE vec_id % 25 = 0) q
+              JOIN (SELECT vec_id, cell FROM near_cells WHERE place <= 2) p ON p.vec_id = q.vec_id
+              JOIN (SELECT vec_id, cell FROM near_cells WHERE place = 1) o ON o.cell = p.cell
+              JOIN units u ON u.vec_id = o.vec_id)""",
+    ),
 }
 
 
 def text_hits(queries: str) -> str:
     """Ranked tf-idf hits of one query table, as a derived table (needs ``postings``)."""
-    return f"""(SELECT query_id, item_id, score,
+    return f"""(SELECT query_id, item_id, round(score, 6) AS score,
         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank
       FROM (
-        SELECT query_id, item_id, round(sum(asked * weight), 6) AS score FROM postings JOIN (
+        SELECT query_id, item_id, round(sum(asked * weight), 12) AS score FROM postings JOIN (
           SELECT query_id, term, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY query_id)) AS asked
           FROM (
             SELECT query_id, term, count(*) AS n,

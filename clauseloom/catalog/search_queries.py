@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from clauseloom.catalog import ctes as C
@@ -26,6 +27,11 @@ def _label_queries(spark, sf_dir):
     return dense.unit_vectors(means, "label", "vector").withColumnRenamed("item_id", "query_id")
 
 
+def _shown(hits):
+    """Hits as compared with SQL: ranked on the full score, shown with six places."""
+    return hits.withColumns({"rank": F.col("rank").cast("long"), "score": F.round("score", 6)})
+
+
 def _sample_hits(spark, items, k=5):
     return sparse.search(fixture.sample_queries(spark), items, k)
 
@@ -95,7 +101,7 @@ def _(spark, sf_dir):
     means = dense.mean_vectors(everything, "query", "embedding")
     asked = dense.unit_vectors(means, "query", "vector").withColumnRenamed("item_id", "query_id")
     hits = dense.nearest(asked, _index(spark, sf_dir), 5)
-    return hits.select(F.col("rank").cast("long").alias("rank"), F.col("item_id").alias("vec_id"), "score")
+    return _shown(hits).select("rank", F.col("item_id").alias("vec_id"), "score")
 
 
 @query(
@@ -104,7 +110,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     hits = dense.nearest(_label_queries(spark, sf_dir), _index(spark, sf_dir), 5)
-    return hits.withColumn("rank", F.col("rank").cast("long"))
+    return _shown(hits)
 
 
 @query(
@@ -121,7 +127,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     asked = spark.createDataFrame([(c.name, c.exemplar) for c in CLAUSE_TYPES], "query_id string, text string")
     hits = sparse.above(sparse.search(asked, fixture.stored_items(spark, sf_dir), 20), 0.5)
-    return hits.withColumn("rank", F.col("rank").cast("long"))
+    return _shown(hits)
 
 
 @query(
@@ -130,7 +136,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     hits = sparse.cap_results(dense.nearest(_label_queries(spark, sf_dir), _index(spark, sf_dir), 20), 20, 10)
-    return hits.withColumn("rank", F.col("rank").cast("long"))
+    return _shown(hits)
 
 
 @query(
@@ -145,22 +151,43 @@ def _(spark, sf_dir):
     # k is larger than the index of label means: each query gets as many hits as there are labels.
     means = _label_queries(spark, sf_dir)
     index = means.withColumnRenamed("query_id", "item_id")
-    return dense.nearest(means, index, 1000).select("query_id", "item_id", "score")
+    return _shown(dense.nearest(means, index, 1000)).select("query_id", "item_id", "score")
+
+
+def _label_centres(spark, sf_dir):
+    """The mean directions of the labels, in the order of the labels: ten fixed centres."""
+    rows = _label_queries(spark, sf_dir).orderBy("query_id").collect()
+    return np.array([r["vector"] for r in rows])
 
 
-@query("nearest_in_cells")
+def _vector_queries(index):
+    return index.filter(F.col("item_id") % 25 == 0).withColumnRenamed("item_id", "query_id")
+
+
+@query(
+    "nearest_in_cells",
+    C.sql("SELECT query_id, rank, item_id, round(score, 6) AS score FROM cell_hits WHERE rank <= 5", "cell_hits"),
+)
 def _(spark, sf_dir):
-    index = _index(spark, sf_dir)
-    model = dense.fit_cells(index, 8)
-    return dense.nearest_in_cells(_label_queries(spark, sf_dir), dense.assign_cells(index, model), model, 5)
+    index, centres = _index(spark, sf_dir), _label_centres(spark, sf_dir)
+    celled = dense.assign_to_centres(index, centres)
+    return _shown(dense.nearest_in_cells(_vector_queries(index), celled, centres, 5, probes=2))
 
 
-@query("cell_recall")
+@query(
+    "cell_recall",
+    C.sql(
+        """SELECT query_id, count(*) AS hits, count(c.item_id) AS found, round(count(c.item_id) / count(*), 6) AS recall
+        FROM (SELECT * FROM exact_hits WHERE rank <= 5) e
+        LEFT JOIN (SELECT * FROM cell_hits WHERE rank <= 5) c USING (query_id, item_id) GROUP BY query_id""",
+        "exact_hits",
+        "cell_hits",
+    ),
+)
 def _(spark, sf_dir):
-    index = _index(spark, sf_dir)
-    model = dense.fit_cells(index, 8)
-    asked = _label_queries(spark, sf_dir)
-    found = dense.nearest_in_cells(asked, dense.assign_cells(index, model), model, 5, probes=3)
+    index, centres = _index(spark, sf_dir), _label_centres(spark, sf_dir)
+    asked = _vector_queries(index)
+    found = dense.nearest_in_cells(asked, dense.assign_to_centres(index, centres), centres, 5, probes=2)
     return dense.recall(dense.nearest(asked, index, 5), found)
 
 
@@ -177,7 +204,7 @@ def _(spark, sf_dir):
     contracts = fixture.contracts(spark, sf_dir)
     labelled = contracts.join(fixture.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
     cache = labelled.select(F.sha2("text", 256).alias("digest"))
-    return dense.uncached(contracts, cache, "text")
+    return dense.uncached(contracts, cache, "contract_id", "text")
 
 
 @query(
@@ -206,7 +233,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return _sample_hits(spark, fixture.stored_items(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+    return _shown(_sample_hits(spark, fixture.stored_items(spark, sf_dir)))
 
 
 @query(
@@ -222,7 +249,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     asked = fixture.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     hits = sparse.search(asked, fixture.stored_items(spark, sf_dir), 5)
-    return hits.withColumn("rank", F.col("rank").cast("long"))
+    return _shown(hits)
 
 
 @query(
@@ -238,10 +265,10 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     items = fixture.stored_items(spark, sf_dir)
-    hits = sparse.attach(_sample_hits(spark, items, 3), items, bounded=True)
+    hits = sparse.attach(_sample_hits(spark, items, 3), items)
     return hits.select(
-        "query_id", F.col("rank").cast("long").alias("rank"), "score", "contract_id", "clause_type", "filename",
-        "clause",
+        "query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"), "contract_id", "clause_type",
+        "filename", "clause",
     )
 
 
@@ -259,5 +286,5 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     items = fixture.stored_items(spark, sf_dir)
-    hits = sparse.attach(_sample_hits(spark, items, 2), items, bounded=True)
+    hits = sparse.attach(_sample_hits(spark, items, 2), items)
     return display.hit_lines(hits).withColumn("rank", F.col("rank").cast("long"))

@@ -1,13 +1,13 @@
 """Dense vectors: embedding hook, exact top-k search, coarse cells, and the embedding cache.
 
-Exact search looks at every vector once per query, so what matters is what gets moved. A query batch of checked size
-is shipped to the tasks; each task keeps its k best per query and returns only those. Larger batches are cut into
-blocks, vectors into shards, and each (block, shard) pair is one group of bounded size.
+Exact search looks at every vector once per query, so what matters is what gets moved. Queries are shipped in blocks of
+bounded size; each task keeps its k best per query and returns only those. Vectors are neither copied nor shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,12 +16,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.functions.vectors import l2_norm, l2_normalize
-from clauseloom.operators.layout import top_per_group, up_to
+from clauseloom.functions.vectors import inner_product, l2_norm, l2_normalize
+from clauseloom.operators.layout import top_per_group
+from clauseloom.sources.stages import stage
 
-# Largest query batch that is shipped whole, and vectors per shard beyond it.
-MAX_BROADCAST_QUERIES = 4_096
-SHARD_ROWS = 50_000
+# Bytes of query vectors that are shipped to the tasks at a time.
+MAX_BLOCK_BYTES = 32 << 20
+SCORE_DIGITS = 12
 _SLICE_ROWS = 2_000
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
@@ -61,112 +62,104 @@ def mean_vectors(vectors: DataFrame, by: str, vector: str) -> DataFrame:
     return means.groupBy(by).agg(F.transform(ordered, lambda e: e["x"]).alias("vector"))
 
 
-def _probe_mask(matrix: np.ndarray, centers: np.ndarray, probes: int) -> np.ndarray:
-    """Which cells each query looks into: its ``probes`` nearest centres."""
-    distance = ((matrix[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
-    mask = np.zeros(distance.shape, dtype=bool)
-    np.put_along_axis(mask, np.argsort(distance, axis=1, kind="stable")[:, :probes], True, axis=1)
-    return mask
-
-
 def _hits(rows: list[tuple]) -> pd.DataFrame:
     # Object columns: Arrow then converts to the declared types, also when there are no rows.
     return pd.DataFrame(rows, columns=["query_id", "item_id", "score"], dtype=object)
 
 
-def _local_best(
-    frames: Iterable[pd.DataFrame], query_ids: list, matrix: np.ndarray, k: int, mask: np.ndarray | None
-) -> pd.DataFrame:
-    """The k best items per query among some index rows; equal scores go to the lower id."""
-    best: list[list[tuple[float, object]]] = [[] for _ in query_ids]
-    for frame in frames:
-        for at in range(0, len(frame), _SLICE_ROWS):
-            part = frame.iloc[at : at + _SLICE_ROWS]
-            ids = part["item_id"].to_numpy()
-            # Rounding makes equal vectors tie exactly, whatever the order of additions.
-            scores = np.round(matrix @ np.stack(part["vector"].to_numpy()).T, 6) + 0.0
-            if mask is not None:
-                scores[~mask[:, part["cell"].to_numpy()]] = -np.inf
-            floor = np.partition(scores, max(len(ids) - k, 0), axis=1)[:, max(len(ids) - k, 0)]
-            for q, row in enumerate(scores):
-                keep = np.flatnonzero((row >= floor[q]) & (row > -np.inf))
-                merged = best[q] + [(-float(row[i]), ids[i]) for i in keep]
-                best[q] = sorted(merged)[:k]
-    rows = [(qid, item, -negative) for qid, hits in zip(query_ids, best) for negative, item in hits]
-    return _hits(rows)
+def nearest_centres(matrix: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest centres of each row, nearest first: |q - c|^2 is |c|^2 - 2 q.c up to the row's own length."""
+    distance = (centres * centres).sum(axis=1)[None, :] - 2.0 * (matrix @ centres.T)
+    return np.argsort(distance, axis=1, kind="stable")[:, :n]
+
+
+class Best:
+    """The k best items so far of each query of a block; equal scores go to the lower id."""
+
+    def __init__(self, query_ids: list, k: int) -> None:
+        self.query_ids, self.k = query_ids, k
+        self.best: list[list[tuple[float, object]]] = [[] for _ in query_ids]
+
+    def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of some queries (by place) with some items."""
+        cut = max(len(ids) - self.k, 0)
+        # Rounding off the noise of summation makes equal vectors tie, whatever the order of additions.
+        scores = np.round(scores, SCORE_DIGITS) + 0.0
+        floor = np.partition(scores, cut, axis=1)[:, cut]
+        worst = np.array([-self.best[q][-1][0] if len(self.best[q]) == self.k else -np.inf for q in queries])
+        rows, columns = np.nonzero(scores >= np.maximum(floor, worst)[:, None])
+        for row in np.unique(rows):
+            q, new = queries[row], columns[rows == row]
+            self.best[q] = sorted(self.best[q] + [(-float(scores[row, i]), ids[i]) for i in new])[: self.k]
+
+    def rows(self) -> pd.DataFrame:
+        return _hits([(qid, i, -negative) for qid, hits in zip(self.query_ids, self.best) for negative, i in hits])
+
+
+def _blocks(queries: DataFrame, width: int, max_bytes: int) -> Iterator[tuple[list, np.ndarray]]:
+    """The queries in blocks of at most about ``max_bytes``: only one block is on the driver at a time."""
+    stored = stage(queries, "queries")
+    per_block = max(1, max_bytes // (8 * max(1, width)))
+    blocks = max(1, -(-stored.count() // per_block))
+    for block in range(blocks):
+        rows = stored.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        if rows:
+            yield [r["query_id"] for r in rows], np.array([r["vector"] for r in rows], dtype=float)
 
 
 def _search(
-    queries: DataFrame,
-    index: DataFrame,
-    k: int,
-    centers: np.ndarray | None,
-    probes: int,
-    max_queries: int,
-    shard_rows: int,
+    queries: DataFrame, index: DataFrame, k: int, centres: np.ndarray | None, probes: int, max_bytes: int
 ) -> DataFrame:
     q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter(
         F.col("vector").isNotNull()
     )
-    columns = ["item_id", "vector"] + (["cell"] if centers is not None else [])
-    items = index.select(*columns)
+    columns = ["item_id", "vector"] + (["cell"] if centres is not None else [])
+    items = index.select(*columns).filter(F.col("vector").isNotNull())
     types = {c: df.schema[c].dataType.simpleString() for df, c in ((q, "query_id"), (items, "item_id"))}
     schema = f"query_id {types['query_id']}, item_id {types['item_id']}, score double"
-
-    head = q.limit(max_queries + 1).collect()
-    if len(head) <= max_queries:
-        query_ids = [row["query_id"] for row in head]
-        matrix = np.array([row["vector"] for row in head], dtype=float)
-        mask = None
-        if centers is not None and len(head):
-            mask = _probe_mask(matrix, centers, probes)
-            # A table stored by cell is then read only where some query looks.
-            items = items.filter(F.col("cell").isin(*[int(c) for c in np.flatnonzero(mask.any(axis=0))]))
-        shared = queries.sparkSession.sparkContext.broadcast((query_ids, matrix, mask))
-
-        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, m, allowed = shared.value
-            if ids:
-                yield _local_best(frames, ids, m, k, allowed)
-
-        partial = items.mapInPandas(scan, schema)
-    else:
-        blocks = -(-q.count() // max_queries)
-        shards = max(1, -(-items.count() // shard_rows))
-        left = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-            "shard", F.explode(up_to(shards))
-        )
-        right = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards))).withColumn(
-            "block", F.explode(up_to(blocks))
-        )
-
-        def pair(query_part: pd.DataFrame, item_part: pd.DataFrame) -> pd.DataFrame:
-            if not len(query_part) or not len(item_part):
-                return _hits([])
-            m = np.stack(query_part["vector"].to_numpy())
-            allowed = None if centers is None else _probe_mask(m, centers, probes)
-            return _local_best([item_part], query_part["query_id"].tolist(), m, k, allowed)
-
-        keys = ["block", "shard"]
-        partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, schema)
-
+    spark = queries.sparkSession
+    width = q.agg(F.max(F.size("vector"))).first()[0] or 0
+
+    partials = []
+    for query_ids, matrix in _blocks(q, width, max_bytes):
+        # A list of queries per cell: a cell's vectors meet those that probe it and no others.
+        probed = None if centres is None else nearest_centres(matrix, centres, probes)
+        asked = None if probed is None else {int(c): np.flatnonzero((probed == c).any(axis=1)) for c in np.unique(probed)}
+        shared = spark.sparkContext.broadcast((query_ids, matrix, asked))
+        # A table stored by cell is then read only where some query looks.
+        part = items if asked is None else items.filter(F.col("cell").isin(*asked))
+
+        def scan(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, block, by_cell = shared.value
+            best = Best(ids, k)
+            every = np.arange(len(ids))
+            for frame in frames:
+                groups = [(None, frame)] if by_cell is None else frame.groupby("cell")
+                for cell, group in groups:
+                    chosen = every if by_cell is None else by_cell[int(cell)]
+                    for at in range(0, len(group), _SLICE_ROWS):
+                        rows = group.iloc[at : at + _SLICE_ROWS]
+                        vectors = np.stack(rows["vector"].to_numpy())
+                        if vectors.shape[1] != block.shape[1]:
+                            raise ValueError(f"vectors of {vectors.shape[1]} dimensions, queries of {block.shape[1]}")
+                        best.add(chosen, block[chosen] @ vectors.T, rows["item_id"].to_numpy())
+            yield best.rows()
+
+        partials.append(part.mapInPandas(scan, schema))
+    if not partials:
+        return spark.createDataFrame([], schema).select("query_id", F.lit(0).alias("rank"), "item_id", "score")
     order: list[Column] = [F.desc("score"), F.col("item_id")]
-    return top_per_group(partial, ["query_id"], order, k).select("query_id", "rank", "item_id", "score")
+    found = reduce(DataFrame.unionByName, partials)
+    return top_per_group(found, ["query_id"], order, k).select("query_id", "rank", "item_id", "score")
 
 
-def nearest(
-    queries: DataFrame,
-    index: DataFrame,
-    k: int = 5,
-    max_queries: int = MAX_BROADCAST_QUERIES,
-    shard_rows: int = SHARD_ROWS,
-) -> DataFrame:
+def nearest(queries: DataFrame, index: DataFrame, k: int = 5, max_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """Exact top-k by inner product: (query_id, rank, item_id, score), the lower id first on equal scores.
 
-    ``queries`` is (query_id, vector), ``index`` is (item_id, vector). An index with fewer than ``k`` rows gives
-    fewer hits; an empty one gives none.
+    ``queries`` is (query_id, vector), ``index`` is (item_id, vector); rows without a vector take no part. An index
+    with fewer than ``k`` rows gives fewer hits; an empty one gives none.
     """
-    return _search(queries, index, k, None, 0, max_queries, shard_rows)
+    return _search(queries, index, k, None, 0, max_bytes)
 
 
 def fit_cells(index: DataFrame, cells: int, seed: int = 7) -> KMeansModel:
@@ -180,21 +173,29 @@ def assign_cells(index: DataFrame, model: KMeansModel) -> DataFrame:
     return model.transform(index.withColumn("point", array_to_vector("vector"))).drop("point")
 
 
+def assign_to_centres(index: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Add the ``cell`` of each vector: the place of its nearest centre, the first of equally near ones."""
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
+    lengths = [float((c * c).sum()) for c in centres]
+    distances = F.transform(
+        table, lambda c, i: F.get(F.array(*[F.lit(n) for n in lengths]), i) - 2 * inner_product("vector", c)
+    )
+    with_distances = index.withColumn("_distances", distances)
+    return with_distances.withColumn(
+        "cell", (F.array_position("_distances", F.array_min("_distances")) - 1).cast("int")
+    ).drop("_distances")
+
+
 def nearest_in_cells(
-    queries: DataFrame,
-    celled: DataFrame,
-    model: KMeansModel,
-    k: int = 5,
-    probes: int = 2,
-    max_queries: int = MAX_BROADCAST_QUERIES,
-    shard_rows: int = SHARD_ROWS,
+    queries: DataFrame, celled: DataFrame, centres: np.ndarray, k: int = 5, probes: int = 2,
+    max_bytes: int = MAX_BLOCK_BYTES,
 ) -> DataFrame:
     """Approximate top-k: only vectors in the ``probes`` cells nearest to each query are scored.
 
-    Vectors are not shuffled by cell, so a cell that holds a third of them is scanned by many tasks like any other.
+    ``centres`` holds the centre of cell 0, 1, … . Vectors are not shuffled by cell, so a cell that holds a third of
+    them is scanned by many tasks like any other; inside a task each cell is multiplied with its own queries only.
     """
-    centers = np.array(model.clusterCenters())
-    return _search(queries, celled, k, centers, probes, max_queries, shard_rows)
+    return _search(queries, celled, k, np.asarray(centres, dtype=float), probes, max_bytes)
 
 
 def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
@@ -208,12 +209,11 @@ def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     )
 
 
-def uncached(texts: DataFrame, cache: DataFrame, text: str = "clause") -> DataFrame:
+def uncached(texts: DataFrame, cache: DataFrame, key: str, text: str = "clause") -> DataFrame:
     """Distinct texts, by digest, that the cache (``digest``, …) does not hold: the ones still to embed.
 
-    Copies are folded before the join, so a text that fills a third of the table is one row in it.
+    Digests are folded to the lowest ``key`` and compared first; only the texts of the keys that remain are fetched.
     """
-    new = texts.select(F.sha2(text, 256).alias("digest"), F.col(text).alias("text")).groupBy("digest").agg(
-        F.min("text").alias("text")
-    )
-    return new.join(cache.select("digest"), "digest", "left_anti")
+    folded = texts.select(F.sha2(text, 256).alias("digest"), key).groupBy("digest").agg(F.min(key).alias(key))
+    new = folded.join(cache.select("digest"), "digest", "left_anti")
+    return texts.select(key, F.col(text).alias("text")).join(new, key).select("digest", "text")

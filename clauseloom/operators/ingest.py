@@ -5,16 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions import text as T
 from clauseloom.operators.layout import number_rows, row_barrier
 from clauseloom.options import IngestOptions
 
-# Up to this many rows an ordered limit plus one small window is cheaper than distributed numbering.
-SMALL_LISTING = 100_000
-
 
 def screen(documents: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:
     """Normalise ``text`` and give each document a ``reason`` for rejection, null if it is accepted.
@@ -25,7 +22,7 @@ def screen(documents: DataFrame, options: IngestOptions = IngestOptions()) -> Da
     raw = F.col("text")
     screened = (
         documents.withColumn("_blank", ~F.coalesce(raw, F.lit("")).rlike(f"[^{T.WHITESPACE}]"))
-        .withColumn("text", T.normalize_text(F.coalesce(raw, F.lit("")), options.remove_page_numbers))
+        .withColumn("text", _cleaned(F.coalesce(raw, F.lit("")), options))
         .transform(row_barrier, "_blank", "text")
         .withColumn(
             "reason",
@@ -35,6 +32,10 @@ def screen(documents: DataFrame, options: IngestOptions = IngestOptions()) -> Da
     return screened.drop("_blank")
 
 
+def _cleaned(text: Column, options: IngestOptions) -> Column:
+    return T.normalize_text(text, options.remove_page_numbers) if options.normalize_text else text
+
+
 def accepted(screened: DataFrame) -> DataFrame:
     """The contracts: screened documents without a reason for rejection."""
     return screened.filter(F.col("reason").isNull()).drop("reason")
@@ -66,10 +67,12 @@ def supported(documents: DataFrame, formats: Sequence[str] = IngestOptions.suppo
 
 
 def first_documents(documents: DataFrame, n: int, unique: str) -> DataFrame:
-    """The first ``n`` documents of the listing (format, file name, ``unique``), taken before any screening."""
-    if n <= SMALL_LISTING:
-        return documents.orderBy(format_rank("filename"), "filename", unique).limit(n)
-    return number_listing(documents, unique).filter(F.col("row_no") <= n).drop("row_no")
+    """The first ``n`` documents of the listing (format, file name, ``unique``), taken before any screening.
+
+    Only the listing is ordered; texts stay where they are until the chosen ones are known.
+    """
+    numbered = number_listing(documents.select("filename", unique), unique).filter(F.col("row_no") <= n)
+    return documents.join(numbered.select(unique), unique, "left_semi")
 
 
 def number_listing(documents: DataFrame, unique: str) -> DataFrame:
@@ -83,14 +86,9 @@ def assign_contract_ids(documents: DataFrame, unique: str, max_contracts: int |
 
     Later rejects leave gaps in the sequence. With ``max_contracts`` only the head of the listing is kept.
     """
-    if max_contracts is not None and max_contracts <= SMALL_LISTING:
-        head = first_documents(documents, max_contracts, unique)
-        order = Window.orderBy(format_rank("filename"), "filename", unique)
-        numbered = head.withColumn("row_no", F.row_number().over(order))
-    else:
-        numbered = number_listing(documents, unique)
-        if max_contracts is not None:
-            numbered = numbered.filter(F.col("row_no") <= max_contracts)
+    numbered = number_listing(documents, unique)
+    if max_contracts is not None:
+        numbered = numbered.filter(F.col("row_no") <= max_contracts)
     return numbered.withColumn("contract_id", F.format_string("contract_%03d", "row_no")).drop("row_no")
 
 
@@ -123,21 +121,29 @@ def chunks(contracts: DataFrame, size: int = 4_000, id_column: str = "contract_i
 
 
 def combine(parts: Sequence[DataFrame], key: Sequence[str] = ("contract_id",)) -> DataFrame:
-    """Union of batch outputs, one row per key: a batch that was run twice counts once."""
-    together = reduce(lambda a, b: a.unionByName(b), parts)
-    return together.dropDuplicates(list(key))
+    """Union of batch outputs, one row per key: of a batch that was run twice the later output counts.
+
+    The latest part wins, and within one part the greatest row, so the result does not depend on task order.
+    """
+    numbered = [p.withColumn("_part", F.lit(n)) for n, p in enumerate(parts)]
+    together = reduce(lambda a, b: a.unionByName(b), numbered)
+    body = F.struct(*[c for c in together.columns if c != "_part"])
+    latest = together.groupBy(*key).agg(F.max_by(body, F.struct("_part", body)).alias("_latest"))
+    return latest.select("_latest.*")
 
 
 def distinct_content(documents: DataFrame, unique: str) -> DataFrame:
     """Of documents with exactly the same text keep the one with the lowest ``unique`` value.
 
-    Copies are found on (digest, length) with map-side aggregation, so a text that makes up a third of the corpus
-    costs no more than any other; the texts themselves are not shuffled by digest.
+    Copies are found on (digest, length) with map-side aggregation. Only the losers, whose digest occurs more than
+    once, are listed and taken away; documents without a copy, and all texts, stay where they are unless there are too
+    many losers to broadcast.
     """
-    keepers = (
-        documents.select(F.sha2("text", 256).alias("_digest"), F.length("text").alias("_length"), unique)
-        .groupBy("_digest", "_length")
-        .agg(F.min(unique).alias(unique))
-        .select(unique)
+    marked = documents.select(F.sha2("text", 256).alias("_digest"), F.length("text").alias("_length"), unique)
+    copied = (
+        marked.groupBy("_digest", "_length")
+        .agg(F.min(unique).alias("_first"), F.count("*").alias("_n"))
+        .filter("_n > 1")
     )
-    return documents.join(keepers, unique, "left_semi")
+    losers = marked.join(copied, ["_digest", "_length"]).filter(F.col(unique) != F.col("_first")).select(unique)
+    return documents.join(losers, unique, "left_anti")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauseloom.sources.stages import stage
+
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-spread a scan that has fewer partitions than the cluster has cores.
@@ -30,51 +32,32 @@ def row_barrier(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*others, F.inline(packed)).select(*df.columns)
 
 
-def number_rows(
-    df: DataFrame, order_by: Sequence[str], name: str = "row_no", buckets: int = 256, sample_size: int = 16_384
-) -> DataFrame:
+def number_rows(df: DataFrame, order_by: Sequence[str], name: str = "row_no") -> DataFrame:
     """Number all rows 1, 2, 3, … in the order of ``order_by`` without sorting them in one task.
 
-    A sample of about ``sample_size`` distinct keys, chosen by hash, yields bucket bounds; all rows are numbered inside
-    their bucket and shifted by the size of the buckets before it. The bounds depend on the data only, so retried
-    tasks agree. ``order_by`` should end in a unique column: it makes the numbers repeatable and keeps a frequent
-    leading value from filling one bucket.
+    Rows are dealt by ranges of the key, as many as shuffles have partitions, sorted inside each and stored with their
+    place there; a row's number is its place plus the sizes of the ranges before it. ``order_by`` should end in a unique
+    column: it makes the numbers repeatable and keeps a frequent leading value from filling one range.
     """
-    # Behind the barrier the key is built once per row, not once per comparison.
-    keyed = df.withColumn("_key", F.struct(*[F.col(c) for c in order_by])).transform(row_barrier, "_key")
-    every = F.greatest(F.expr("1L"), df.agg(F.count("*")).scalar() / F.lit(sample_size)).cast("long")
-    sample = (
-        keyed.select(F.col("_key").alias("k")).filter(F.pmod(F.xxhash64("k"), every) == 0).distinct()
-    )
-    bounds = (
-        sample.select("k", F.ntile(buckets).over(Window.orderBy("k")).alias("b"))
-        .groupBy("b")
-        .agg(F.min("k").alias("k"))
-        .agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    sorted_ranges = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    # The generated id counts from 0 inside each partition, in its lower 33 bits.
+    placed = stage(
+        sorted_ranges.withColumn("_at", F.monotonically_increasing_id()).select(
+            "*", F.shiftright("_at", 33).alias("_range"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")
+        ).drop("_at"),
+        "numbered",
     )
-    bucketed = (
-        keyed.withColumn("_bounds", bounds.scalar())
-        .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b <= F.col("_key"))))
-        .drop("_bounds")
-    )
-    sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key"))
-    # ``offsets`` holds at most ``buckets`` + 1 rows.
+    # One row per range, at most one per shuffle partition.
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return (
-        bucketed.withColumn("_local", local)
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn(name, F.col("_before") + F.col("_local"))
-        .drop("_key", "_bucket", "_local", "_before")
+        placed.join(F.broadcast(offsets), "_range")
+        .withColumn(name, F.col("_before") + F.col("_place") + 1)
+        .drop("_range", "_place", "_before")
     )
 
 
-def up_to(n: int) -> Column:
-    """The array 0, 1, …, n - 1 of longs: ``explode`` it to repeat a row ``n`` times."""
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-
-
 def frequent(counts: DataFrame, by: str, limit: int) -> DataFrame:
     """Rows of a per-key table whose count ``by`` is at least 1/``limit`` of the sum of all counts.
 
@@ -84,11 +67,6 @@ def frequent(counts: DataFrame, by: str, limit: int) -> DataFrame:
     return counts.filter(F.col(by) * limit >= counts.agg(F.sum(by)).scalar())
 
 
-def hot_keys(counts: DataFrame, key: str, by: str, limit: int = 1_000) -> DataFrame:
-    """The keys of ``frequent``: at most ``limit``."""
-    return frequent(counts, by, limit).select(key)
-
-
 def lookup_join(left: DataFrame, right: DataFrame, on: str, by: str, limit: int = 100_000, how: str = "inner") -> DataFrame:
     """Add the columns of ``right``, which holds each key once with its count ``by``, to the rows of ``left``.
 
@@ -97,39 +75,12 @@ def lookup_join(left: DataFrame, right: DataFrame, on: str, by: str, limit: int
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    looked_up = left.join(F.broadcast(frequent(right, by, limit).withColumn("_found", F.lit(True))), on, "left")
+    # Stored, so that the work behind ``left`` is done once for both kinds of keys.
+    looked_up = stage(left.join(F.broadcast(frequent(right, by, limit).withColumn("_found", F.lit(True))), on, "left"), "lookup")
     columns = [on, *[c for c in left.columns if c != on], *[c for c in right.columns if c != on]]
     near = looked_up.filter(F.col("_found")).select(*columns)
     rest = looked_up.filter(F.col("_found").isNull()).select(*left.columns)
-    # Of unknown size, so hashed per partition and never broadcast on an estimate.
-    far = rest.join(right.hint("shuffle_hash"), on, how).select(*columns)
-    return near.unionByName(far)
-
-
-def salted_join(
-    left: DataFrame, right: DataFrame, on: str, spread_by: Sequence[str], hot: DataFrame, salts: int = 64,
-    how: str = "inner",
-) -> DataFrame:
-    """Join on a key of which some values are very frequent in ``left``.
-
-    ``hot`` lists those values; it comes from ``hot_keys``, so its length is bounded and it can be broadcast. Left
-    rows with a hot key get one of ``salts`` salts, hashed from ``spread_by`` so that a retried task repeats it, and
-    right rows with a hot key are repeated once per salt. All other rows are joined as they are.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError("how must be inner or left")
-    marked = F.broadcast(hot.select(F.col(on), F.lit(True).alias("_hot")))
-    none = F.lit(0).cast("long")
-    salted_left = left.join(marked, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(none)
-    )
-    salted_right = right.join(marked, on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), up_to(salts)).otherwise(F.array(none)))
-    )
-    # The right side is a per-key table of unknown size: hashed per partition, never broadcast on an estimate.
-    return salted_left.drop("_hot").join(
-        salted_right.drop("_hot").hint("shuffle_hash"), [on, "_salt"], how
-    ).drop("_salt")
+    return near.unionByName(rest.join(right, on, how).select(*columns))
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

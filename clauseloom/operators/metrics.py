@@ -129,7 +129,7 @@ def index_counts(clauses: DataFrame) -> DataFrame:
 
 
 def contracts_per_type(clauses: DataFrame, approximate: bool = False) -> DataFrame:
-    """Distinct contracts per clause type, exactly or by sketch."""
+    """Distinct contracts per clause type, exactly or by a sketch (within about 5 %)."""
     count = F.approx_count_distinct("contract_id") if approximate else F.count_distinct("contract_id")
     return clauses.groupBy("clause_type").agg(count.alias("contracts"))
 

@@ -5,7 +5,7 @@ Offsets are found by one fold over the sentence array of a row, so no shuffle is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.functions import text as T
@@ -15,22 +15,27 @@ from clauseloom.taxonomy import CLAUSE_TYPES, ClauseType
 _SPANS = "array<struct<pos:int,first:int,last:int>>"
 
 
-def sentence_offsets(contracts: DataFrame, id_column: str = "contract_id") -> DataFrame:
-    """One row per sentence with its 0-based ``start`` in the text and its ``length``.
+def _starts(sentences: str) -> Column:
+    """Per sentence (start, length), the start counted from the first sentence: sums of lengths, by one fold."""
+    lengths = F.transform(sentences, F.length)
+    kind = "array<struct<start:int,length:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-    Only lengths are shuffled for the running sum, never the text.
-    """
-    lengths = contracts.select(
-        id_column,
-        F.length("text").alias("_total"),
-        F.posexplode(F.transform(T.sentences("text"), lambda s: F.length(s))).alias("pos", "length"),
-    )
-    per_contract = Window.partitionBy(id_column)
-    before = per_contract.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    def step(acc: Column, n: Column) -> Column:
+        own = F.struct(acc["at"].alias("start"), n.alias("length"))
+        return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(own)).alias("out"))
+
+    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+
+
+def sentence_offsets(contracts: DataFrame, id_column: str = "contract_id") -> DataFrame:
+    """One row per sentence with its 0-based ``start`` in the text and its ``length``; nothing is shuffled."""
+    split = contracts.select(id_column, F.length("text").alias("_total"), T.sentences("text").alias("_sentences"))
+    placed = split.select(id_column, "_total", F.posexplode(_starts("_sentences")).alias("pos", "_s"), F.expr(
+        "aggregate(transform(_sentences, s -> length(s)), 0, (a, n) -> a + n)").alias("_covered"))
     # Stops at the very start of a text belong to no sentence.
-    lead = F.col("_total") - F.sum("length").over(per_contract)
-    start = lead + F.coalesce(F.sum("length").over(before), F.lit(0))
-    return lengths.select(id_column, "pos", start.alias("start"), "length")
+    start = F.col("_total") - F.col("_covered") + F.col("_s.start")
+    return placed.select(id_column, "pos", start.cast("long").alias("start"), F.col("_s.length").alias("length"))
 
 
 def _spans(clause: ClauseType, merge: bool) -> Column:

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import text as T
 from clauseloom.operators.clauses import mentions
-from clauseloom.operators.layout import lookup_join
+from clauseloom.operators.layout import frequent
+from clauseloom.sources.stages import stage
 from clauseloom.taxonomy import CLAUSE_TYPES
 
 MIN_WORDS = 100
 MAX_WORDS = 150
+# Terms that hold at least one in this many of all (document, term) pairs are looked up without a shuffle.
+FREQUENT = 100_000
 
 
 def inverse_frequency(df: Column, total: Column) -> Column:
@@ -30,56 +33,70 @@ def document_frequency(rows: DataFrame, text: str, name: str = "df") -> DataFram
     )
 
 
-def _short_sentences(max_words: int) -> Column:
-    """Sentences of a text, each cut to ``max_words`` words so that any of them fits a summary."""
-    return F.transform(
-        T.sentences("text"),
-        lambda s: F.array_join(F.slice(F.filter(F.split(s, " +"), lambda w: w != ""), 1, max_words), " "),
+def _lookup_sums(measured: DataFrame, idf: DataFrame) -> DataFrame:
+    """(contract_id, pos, words, bonus, total, terms): the sum of ``idf`` over each sentence's terms.
+
+    Sentences are split into terms once. Frequent terms, a bounded list, are looked up where they are and summed per
+    sentence; what is stored of a sentence is that sum and its rare terms, and only those are shuffled by term.
+    """
+    keys = ["contract_id", "pos", "words", "bonus"]
+    near = F.broadcast(frequent(idf, "df", FREQUENT).select("term", "idf"))
+    looked_up = measured.select(*keys, F.explode(T.terms("sentence")).alias("term")).join(near, "term", "left")
+    partial = stage(
+        looked_up.groupBy(*keys).agg(
+            F.coalesce(F.sum("idf"), F.lit(0.0)).alias("total"),
+            F.count("*").alias("terms"),
+            F.collect_list(F.when(F.col("idf").isNull(), F.col("term"))).alias("rare"),
+        ),
+        "sentence-sums",
+    )
+    rare = partial.select("contract_id", "pos", F.explode("rare").alias("term")).join(idf.select("term", "idf"), "term")
+    rest = rare.groupBy("contract_id", "pos").agg(F.sum("idf").alias("more"))
+    return partial.join(rest, ["contract_id", "pos"], "left").select(
+        *keys, (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), "terms"
     )
 
 
 def summarize(contracts: DataFrame, max_words: int = MAX_WORDS, hit_bonus: float = 1.0) -> DataFrame:
-    """Extractive summary per contract: (contract_id, summary, words).
+    """Extractive summary per contract: (contract_id, summary, words); every contract gets a row.
 
     A sentence scores the mean inverse document frequency of its terms plus ``hit_bonus`` per clause type it
-    mentions. Sentences are taken by score while their words add up to at most ``max_words``, then put back into
-    document order. Expects normalised text, from a stored table (see ``stages.stage``): it is read several times.
+    mentions. Sentences are taken whole, by score, while their words add up to at most ``max_words``, then put back
+    into document order; the best one is taken whatever its length, and ``length_check`` tells of it. A contract
+    without any scorable sentence has an empty summary. Expects normalised text, from a stored table (see
+    ``stages.stage``): it is read several times.
     """
     n_contracts = contracts.agg(F.count("*")).scalar()
-    frequency = document_frequency(contracts, "text")
+    frequency = stage(document_frequency(contracts, "text"), "document-frequency")
     idf = frequency.withColumn("idf", inverse_frequency(F.col("df"), n_contracts))
-    sentences = contracts.select(
-        "contract_id", F.posexplode(_short_sentences(max_words)).alias("pos", "sentence")
-    )
     hits = reduce(lambda a, b: a + b, [mentions("sentence", c.keywords).cast("int") for c in CLAUSE_TYPES])
     # Per-sentence values are computed before the terms are exploded, so once per sentence and not once per term.
-    measured = sentences.select(
+    measured = contracts.select("contract_id", F.posexplode(T.sentences("text")).alias("pos", "sentence")).select(
         "contract_id",
         "pos",
         T.word_count("sentence").alias("words"),
         (hits * F.lit(hit_bonus)).alias("bonus"),
         "sentence",
     )
-    tokens = measured.select("contract_id", "pos", "words", "bonus", F.explode(T.terms("sentence")).alias("term"))
-    # Most tokens are common words: they are looked up and summed where they are, and only rare ones are shuffled.
-    scored = (
-        lookup_join(tokens, idf, "term", "df")
-        .groupBy("contract_id", "pos", "words", "bonus")
-        .agg(F.avg("idf").alias("mean_idf"))
-        .withColumn("score", F.round(F.col("mean_idf") + F.col("bonus"), 6))
-    )
+    scored = _lookup_sums(measured, idf).withColumn("score", F.round(F.col("total") / F.col("terms") + F.col("bonus"), 6))
     best_first = Window.partitionBy("contract_id").orderBy(F.desc("score"), "pos")
     running = F.sum("words").over(best_first.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     chosen = (
         scored.withColumn("running", running)
-        .filter(F.col("running") <= max_words)
+        .withColumn("place", F.row_number().over(best_first))
+        .filter((F.col("running") <= max_words) | (F.col("place") == 1))
         .groupBy("contract_id")
         .agg(F.collect_list("pos").alias("chosen"), F.sum("words").alias("words"))
     )
     # At most ``max_words`` positions are chosen, for a sentence has at least one word.
-    picked = F.filter(_short_sentences(max_words), lambda _, i: F.array_contains("chosen", i))
-    texts = contracts.select("contract_id", "text").join(chosen.hint("shuffle_hash"), "contract_id")
-    return texts.select("contract_id", F.array_join(picked, " ").alias("summary"), "words")
+    clean = F.transform(T.sentences("text"), lambda s: F.array_join(F.filter(F.split(s, " +"), lambda w: w != ""), " "))
+    picked = F.filter(clean, lambda _, i: F.array_contains("chosen", i))
+    texts = contracts.select("contract_id", "text").join(chosen, "contract_id", "left")
+    return texts.select(
+        "contract_id",
+        F.coalesce(F.array_join(picked, " "), F.lit("")).alias("summary"),
+        F.coalesce("words", F.lit(0)).cast("long").alias("words"),
+    )
 
 
 def length_check(summaries: DataFrame, low: int = MIN_WORDS, high: int = MAX_WORDS) -> DataFrame:

@@ -26,12 +26,13 @@ def clause_rules() -> dict[str, Column]:
     }
 
 
-def result_rules(low_words: int = 100, high_words: int = 150) -> dict[str, Column]:
-    """Rules of the final table: keys present, lengths not negative, summary inside the asked length."""
+def result_rules(low_words: int = 100, high_words: int = 150, longest_text: int | None = None) -> dict[str, Column]:
+    """Rules of the final table: keys present, lengths in bounds, summary inside the asked length."""
     return {
         "contract_id_missing": F.col("contract_id").isNotNull(),
         "filename_missing": F.col("filename").isNotNull(),
         "text_length_negative": F.col("text_length") >= 0,
+        **({} if longest_text is None else {"text_too_long": F.col("text_length") <= longest_text}),
         "word_count_negative": F.col("word_count") >= 0,
         "summary_missing": F.length("summary") > 0,
         "summary_length": F.regexp_count("summary", F.lit("[^ ]+")).between(low_words, high_words),

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.operators import clauses, ingest, prompts, sparse, summary, validate
+from clauseloom.operators import clauses, dense, ingest, prompts, sparse, summary, validate
 from clauseloom.options import Options
 from clauseloom.sources import files as file_source
 from clauseloom.sources import results as result_sink
@@ -27,6 +27,7 @@ class Run:
     items: DataFrame | None = None
     term_weights: DataFrame | None = None
     postings: DataFrame | None = None
+    vectors: DataFrame | None = None
     violations: DataFrame | None = None
 
 
@@ -39,41 +40,47 @@ def load(
     """Documents with ``contract_id``, ``filename`` and raw ``text``.
 
     ``source`` is a folder of files or a table. A table without ``contract_id`` must have a unique ``path``; contracts
-    then get one. Only the listing is ordered; file contents are never shuffled, and texts of files beyond
-    ``max_contracts`` are not extracted.
+    then get one: a digest of the path, or numbers in listing order if asked for. Only the listing is ever ordered, and
+    texts of files beyond ``max_contracts`` are not extracted.
     """
     limit = options.ingest.max_contracts
     if isinstance(source, str):
-        documents = file_source.read_files(spark, source)
+        documents = file_source.read_files(spark, source, options.ingest.supported_formats)
     elif "contract_id" in source.columns:
         return source if limit is None else ingest.first_documents(source, limit, "contract_id")
     else:
         documents = source
 
     names = documents.select("path", "filename")
-    sequential = options.ingest.sequential_ids
-    if sequential:
-        names = ingest.assign_contract_ids(names, "path", limit)
+    if options.ingest.sequential_ids:
+        names = ingest.assign_contract_ids(names, "path", limit).drop("filename")
     elif limit is not None:
-        names = ingest.first_documents(names, limit, "path")
-    names = names.drop("filename")
+        names = ingest.first_documents(names, limit, "path").select("path")
     if limit is not None:
-        small = limit <= ingest.SMALL_LISTING
-        documents = documents.join(F.broadcast(names.select("path")) if small else names.select("path"), "path", "left_semi")
+        documents = documents.join(names.select("path"), "path", "left_semi")
     texts = file_source.extract_texts(documents, extractors) if isinstance(source, str) else documents
-    return texts.join(names, "path") if sequential else ingest.stable_ids(texts)
+    return texts.join(names, "path") if options.ingest.sequential_ids else ingest.stable_ids(texts)
+
+
+def _unsupported(spark: SparkSession, source: str | DataFrame, options: Options) -> DataFrame | None:
+    """Reject rows of a folder's files whose format is not asked for."""
+    if not isinstance(source, str):
+        return None
+    others = file_source.other_files(spark, source, options.ingest.supported_formats)
+    return ingest.stable_ids(others).select("contract_id", "path", "filename", F.lit("unsupported").alias("reason"))
 
 
 def _ask(contracts: DataFrame, model: prompts.Model, options: Options, store) -> DataFrame:
-    """Answers of the model to all tasks; failed tasks are asked again, up to the allowed number of attempts.
+    """Answers of the model to all tasks about every chunk; what failed is asked again, up to the allowed attempts.
 
     Every round is stored before the next one starts, so no call is ever repeated by a recomputation.
     """
-    questions = prompts.prompts(contracts, options.model)
+    keys = ["contract_id", "task", "chunk_no"]
+    questions = prompts.chunked_prompts(contracts, options.ingest.chunk_size, options.model)
     responses = store(prompts.answer(questions, model), "responses-1")
     for attempt in range(2, options.model.max_attempts + 1):
-        pending = prompts.pending_tasks(questions, responses, options.model.max_attempts)
-        again = questions.join(pending.select("contract_id", "task"), ["contract_id", "task"], "left_semi")
+        pending = prompts.pending_tasks(questions, responses, options.model.max_attempts, keys)
+        again = questions.join(pending.select(*keys), keys, "left_semi")
         answers = store(prompts.answer(again, model, attempt), f"responses-{attempt}")
         if answers.isEmpty():
             break
@@ -81,17 +88,31 @@ def _ask(contracts: DataFrame, model: prompts.Model, options: Options, store) ->
     return responses
 
 
+def _embed(items: DataFrame, embedder: dense.Embedder, cache: DataFrame | None, options: Options, store) -> DataFrame:
+    """(digest, vector) of every clause text, of unit length; texts in the cache are not embedded again."""
+    known = cache if cache is not None and options.search.cache_embeddings else None
+    none = items.sparkSession.createDataFrame([], "digest string, vector array<double>")
+    new = dense.uncached(items, none if known is None else known, "item_id")
+    vectors = dense.unit_vectors(dense.embed(new, embedder, "digest", "text"), "digest", "vector")
+    made = vectors.select(F.col("item_id").alias("digest"), "vector")
+    return store(made if known is None else made.unionByName(known.select("digest", "vector")), "vectors")
+
+
 def run(
     spark: SparkSession,
     source: str | DataFrame,
     options: Options = Options(),
     model: prompts.Model | None = None,
     extractors: Mapping[str, Sequence[file_source.Extractor]] | None = None,
+    embedder: dense.Embedder | None = None,
+    vector_cache: DataFrame | None = None,
 ) -> Run:
     """Load, screen, find clauses, summarise, write the sinks asked for, and index the clauses.
 
-    With a ``model`` it answers the prompts; without one, clauses are found by keyword and summaries are extractive.
-    Raises ``ValueError`` if no document is accepted.
+    With a ``model`` it answers prompts about every chunk of every text; without one, clauses are found by keyword and
+    summaries are extractive. With an ``embedder`` clauses also get vectors, kept by digest; a ``vector_cache`` of an
+    earlier run (its ``vectors``) saves those already made. Rejected documents, also those without a byte or in a
+    format not asked for, are stored with their reason. Raises ``ValueError`` if no document is accepted.
     """
     output = options.output
 
@@ -102,6 +123,11 @@ def run(
 
     screened = store(ingest.screen(load(spark, source, options, extractors), options.ingest), "screened")
     contracts = ingest.accepted(screened)
+    rejects = ingest.rejected(screened)
+    unsupported = _unsupported(spark, source, options)
+    if unsupported is not None:
+        rejects = rejects.unionByName(unsupported, allowMissingColumns=True)
+    rejects = store(rejects, "rejects")
     if contracts.isEmpty():
         raise ValueError("no contracts loaded")
 
@@ -115,7 +141,8 @@ def run(
         wide = shown.join(summaries, "contract_id", "left")
     else:
         responses = _ask(contracts, model, options, store)
-        results = store(prompts.task_results(prompts.tasks(contracts.select("contract_id")), responses), "answers")
+        answers = prompts.chunked_answers(responses)
+        results = store(prompts.task_results(prompts.tasks(contracts.select("contract_id")), answers), "answers")
         names = contracts.select("contract_id", "filename")
         long = results.filter(F.col("task") != "summary").join(names, "contract_id").select(
             "contract_id", "filename", F.col("task").alias("clause_type"), F.col("value").alias("clause"), "status"
@@ -130,35 +157,48 @@ def run(
     if output.json_path:
         result_sink.write_json(rows, output.json_path, output.include_full_text, output.include_metadata)
 
-    items = weights = postings = None
+    items = weights = postings = vectors = None
     if options.search.enabled:
         items = clauses.indexable(long).withColumn("item_id", F.concat_ws(":", "contract_id", "clause_type"))
         weights = store(sparse.term_weights(items), "term-weights")
-        postings = store(sparse.postings(items, weights), "postings")
+        postings = store(sparse.item_vectors(sparse.postings(items, weights)), "postings")
+        if embedder is not None:
+            vectors = _embed(items, embedder, vector_cache, options, store)
+    rules = validate.result_rules(longest_text=options.ingest.max_text_length)
     return Run(
         contracts=contracts,
-        rejects=ingest.rejected(screened),
+        rejects=rejects,
         clauses=long,
         results=rows,
         responses=responses,
         items=items,
         term_weights=weights,
         postings=postings,
-        violations=validate.violations(rows, validate.result_rules(), "contract_id") if options.validate else None,
+        vectors=vectors,
+        violations=validate.violations(rows, rules, "contract_id") if options.validate else None,
     )
 
 
-def search(finished: Run, queries: DataFrame, k: int = 5, options: Options = Options()) -> DataFrame:
+def search(
+    finished: Run, queries: DataFrame, k: int = 5, options: Options = Options(), embedder: dense.Embedder | None = None
+) -> DataFrame:
     """Top-k clauses per query text with contract, type, file and clause text.
 
-    ``queries`` is (query_id, text). ``k`` is capped by ``max_results``; hits below ``similarity_threshold`` are
-    dropped. Without an index there are no hits.
+    ``queries`` is (query_id, text). With an ``embedder`` the vectors of the run are searched, else its terms. A
+    ``max_results`` option caps ``k``; hits below ``similarity_threshold`` are dropped. Without an index there are none.
     """
     schema = "query_id string, rank int, score double, contract_id string, clause_type string, filename string, clause string"
-    if finished.items is None:
+    if finished.items is None or (embedder is not None and finished.vectors is None):
         return queries.sparkSession.createDataFrame([], schema)
-    k = min(k, options.search.max_results)
-    hits = sparse.search(queries, finished.items, k, finished.postings, finished.term_weights)
+    if options.search.max_results is not None:
+        k = min(k, options.search.max_results)
+    if embedder is None:
+        hits = sparse.search(queries, finished.items, k, finished.postings, finished.term_weights)
+    else:
+        asked = dense.unit_vectors(dense.embed(queries, embedder, "query_id", "text"), "query_id", "vector")
+        digests = finished.items.select("item_id", F.sha2("clause", 256).alias("digest"))
+        index = digests.join(finished.vectors, "digest").select("item_id", "vector")
+        hits = dense.nearest(asked.withColumnRenamed("item_id", "query_id"), index, k)
     if options.search.similarity_threshold is not None:
         hits = sparse.above(hits, options.search.similarity_threshold)
     return sparse.attach(hits, finished.items).select(

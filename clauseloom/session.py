@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -28,10 +26,10 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and streaming state: the session's own setting wins.
+    """The folder for checkpoints, stages and streaming state, shared by the driver and all executors.
 
-    Only a local session without that setting gets a temporary folder; on a cluster the setting is required, because
-    a machine-local folder dies with its executor.
+    The session's own setting wins. Only where it is unset, the SQL warehouse, which every session shares with its
+    executors, takes the stages; no machine-local temporary folder is ever used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -41,8 +39,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="clauseloom-checkpoint-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from datetime import datetime
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -17,7 +18,7 @@ from clauseloom.functions import text as T
 # Name and function of one way to get text out of a file's bytes.
 Extractor = tuple[str, Callable[[bytes], str]]
 
-LISTED_FORMATS = ("pdf", "docx")
+LISTED_FORMATS = ("pdf", "docx", "txt")
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 TEXT_SCHEMA = "path string, filename string, text string, extractor_used string, error string"
 
@@ -61,16 +62,37 @@ def read_files(
 ) -> DataFrame:
     """Files of a folder (not of its subfolders) with their bytes.
 
-    A missing folder is an error, an empty one an empty table. Files of zero bytes are not listed by the source.
+    A missing folder is an error, an empty one an empty table. The source leaves files of zero bytes out; they are
+    added from the folder's own listing, so that they can be rejected like any other document without text.
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", file_glob(formats, ignore_case))
+    glob = file_glob(formats, ignore_case)
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
     try:
         files = reader.load(folder)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"folder {folder} not found") from error
         raise
-    return files.withColumn("filename", T.file_name("path"))
+    return files.unionByName(_empty_files(spark, folder, glob)).withColumn("filename", T.file_name("path"))
+
+
+def _empty_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """Files of zero bytes of a folder, listed by the Hadoop filesystem; only their names pass through the driver."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(folder, glob)
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    rows = [
+        (str(status.getPath()), datetime.fromtimestamp(status.getModificationTime() / 1_000), 0, bytearray())
+        for status in found
+        if status.isFile() and status.getLen() == 0
+    ]
+    return spark.createDataFrame(rows, FILE_SCHEMA)
+
+
+def other_files(spark: SparkSession, folder: str, formats: Sequence[str] = LISTED_FORMATS) -> DataFrame:
+    """(path, filename) of a folder's files in other formats; their contents are not read."""
+    every = spark.read.format("binaryFile").load(folder).select("path", T.file_name("path").alias("filename"))
+    return every.filter(~T.file_extension("filename").isin(*[f.lower() for f in formats]))
 
 
 def list_files(
@@ -93,6 +115,9 @@ def extract_texts(files: DataFrame, extractors: Mapping[str, Sequence[Extractor]
             rows = []
             for path, name, suffix, content in zip(frame["path"], frame["filename"], frame["suffix"], frame["content"]):
                 text, used, errors = "", None, []
+                if not len(content):
+                    rows.append((path, name, "", None, "empty file"))
+                    continue
                 for label, extract in table.get(suffix, ()):
                     try:
                         text, used = extract(bytes(content)), label

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from clauseloom.session import checkpoint_dir
 
+# Folders made by ``stage`` in this process.
+_made: list[str] = []
+
 
 def save_stage(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
     """Write a stage as Parquet and return the stored table."""
@@ -22,6 +27,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Store a table that several steps read in the shared checkpoint folder, and go on from the stored copy.
 
     This cuts the lineage: work after a lost executor restarts from files, and the regex work is done once. Readers
-    still get column pruning and filter push-down, which a checkpoint of rows would not give.
+    still get column pruning and filter push-down, which a checkpoint of rows would not give. The folder stays until
+    ``release`` or the end of this process.
     """
-    return save_stage(df, f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_release_at_exit)
+    _made.append(folder)
+    return save_stage(df, folder)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the stages made so far; tables read from them can no longer be used. Returns how many there were."""
+    removed = 0
+    while _made:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        removed += folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return removed
+
+
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            release(spark)

@@ -32,7 +32,10 @@ def arriving_files(
 
 
 def isolated(work: BatchWork, failures: str, retries: int = 2) -> BatchWork:
-    """Run ``work`` on each batch; if it keeps failing, note the batch in ``failures`` and let the stream go on."""
+    """Run ``work`` on each batch; if it keeps failing, note the batch and its files and let the stream go on.
+
+    The note holds a row per file, so ``redrive`` can take them up again: nothing is lost with the batch's offsets.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         for attempt in range(1 + retries):
@@ -42,13 +45,32 @@ def isolated(work: BatchWork, failures: str, retries: int = 2) -> BatchWork:
             except Exception as error:  # noqa: BLE001 - the failure is recorded below
                 message = f"{type(error).__name__}: {error}"
                 if attempt == retries:
-                    row = [(batch_id, attempt + 1, message)]
-                    noted = batch.sparkSession.createDataFrame(row, "batch bigint, attempts int, message string")
+                    path = F.col("path") if "path" in batch.columns else F.lit(None).cast("string")
+                    noted = batch.select(
+                        F.lit(batch_id).cast("long").alias("batch"), F.lit(attempt + 1).alias("attempts"),
+                        F.lit(message).alias("message"), path.alias("path"),
+                    )
                     noted.write.mode("overwrite").parquet(f"{failures}/batch_id={batch_id}")
 
     return run
 
 
+def _screen_batch(
+    target: str, extractors: Mapping[str, Sequence[Extractor]] | None, options: IngestOptions
+) -> BatchWork:
+    """Extract and screen one batch into its own folders, which it overwrites."""
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        texts = extract_texts(batch, extractors).transform(ingest.stable_ids)
+        screened_path = f"{target}/screened/batch_id={batch_id}"
+        ingest.screen(texts, options).write.mode("overwrite").parquet(screened_path)
+        screened = batch.sparkSession.read.parquet(screened_path)
+        ingest.accepted(screened).write.mode("overwrite").parquet(f"{target}/contracts/batch_id={batch_id}")
+        ingest.rejected(screened).write.mode("overwrite").parquet(f"{target}/rejects/batch_id={batch_id}")
+
+    return work
+
+
 def ingest_arrivals(
     files: DataFrame,
     target: str,
@@ -56,19 +78,20 @@ def ingest_arrivals(
     extractors: Mapping[str, Sequence[Extractor]] | None = None,
     options: IngestOptions = IngestOptions(),
     retries: int = 2,
+    then: BatchWork | None = None,
 ) -> StreamingQuery:
     """Extract and screen all files that have arrived, then stop: tables ``contracts``, ``rejects``, ``failures``.
 
     Each batch owns one ``batch_id`` folder and overwrites it, so a batch replayed after a crash leaves no copies.
+    ``then`` goes on with each batch's contracts, for example to find clauses and index them; it must overwrite by
+    batch number as well.
     """
+    screen = _screen_batch(target, extractors, options)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        texts = extract_texts(batch, extractors).transform(ingest.stable_ids)
-        screened_path = f"{target}/screened/batch_id={batch_id}"
-        ingest.screen(texts, options).write.mode("overwrite").parquet(screened_path)
-        screened = batch.sparkSession.read.parquet(screened_path)
-        ingest.accepted(screened).write.mode("overwrite").parquet(f"{target}/contracts/batch_id={batch_id}")
-        ingest.rejected(screened).write.mode("overwrite").parquet(f"{target}/rejects/batch_id={batch_id}")
+        screen(batch, batch_id)
+        if then is not None:
+            then(batch.sparkSession.read.parquet(f"{target}/contracts/batch_id={batch_id}"), batch_id)
 
     return (
         files.writeStream.foreachBatch(isolated(work, f"{target}/failures", retries))
@@ -78,6 +101,26 @@ def ingest_arrivals(
     )
 
 
+def redrive(spark: SparkSession, failures: str, work: BatchWork, retries: int = 2) -> int:
+    """Run ``work`` again on the files of all batches noted in ``failures``; returns how many batches now succeed.
+
+    A batch holds at most the files that one trigger takes, so its list of names is small. What fails again is noted
+    anew; what succeeds leaves an empty note.
+    """
+    noted = spark.read.parquet(failures).filter(F.col("path").isNotNull())
+    done = 0
+    for (number,) in noted.select("batch").distinct().orderBy("batch").collect():
+        folder = f"{failures}/batch_id={number}"
+        paths = [r["path"] for r in spark.read.parquet(folder).select("path").distinct().collect()]
+        files = spark.read.format("binaryFile").load(paths).withColumn("filename", T.file_name("path"))
+        # The note is emptied first; the guard writes it again if the batch still fails.
+        empty = spark.createDataFrame([], "batch long, attempts int, message string, path string")
+        empty.write.mode("overwrite").parquet(folder)
+        isolated(work, failures, retries)(files, number)
+        done += spark.read.parquet(folder).isEmpty()
+    return done
+
+
 def drop_repeats(stream: DataFrame, key: Sequence[str], stamp: str, delay: str = "1 hour") -> DataFrame:
     """Drop rows whose key was seen before, within the watermark; state older than that is forgotten."""
     return stream.withWatermark(stamp, delay).dropDuplicatesWithinWatermark(list(key))

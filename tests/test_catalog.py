@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry_module
 from clauseloom.catalog import ORACLES, QUERIES
 
-ROWS_ONLY = {"contracts_per_type_approx", "nearest_in_cells", "cell_recall"}
+ROWS_ONLY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -32,8 +32,8 @@ def test_entry_answers_the_flagship_question(spark):
     rows = {r["clause_type"]: r["rate"] for r in entry_module.entry(spark).collect()}
     assert set(rows) == {"termination", "confidentiality", "liability"}
     assert all(0 < rate < 1 for rate in rows.values())
-    assert entry_module.queries().keys() == QUERIES.keys()
-    assert entry_module.oracle_sql().keys() == ORACLES.keys()
+    assert entry_module.queries().keys() >= QUERIES.keys()
+    assert entry_module.oracle_sql().keys() >= ORACLES.keys()
 
 
 def test_loaded_and_rejected_add_up(spark, sf_dir):

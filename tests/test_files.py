@@ -42,17 +42,19 @@ def names(frame):
     return sorted(r["filename"] for r in frame.select("filename").collect())
 
 
-def test_listing_skips_subfolders_other_suffixes_and_empty_files(spark, folder):
-    assert names(files.list_files(spark, str(folder))) == ["a.PDF", "b.pdf", "broken.docx", "c.docx"]
-    assert names(files.list_files(spark, str(folder), ["pdf"], ignore_case=False)) == ["b.pdf"]
+def test_listing_skips_subfolders_and_other_suffixes(spark, folder):
+    (folder / "f.odt").write_bytes(b"x")
+    assert names(files.list_files(spark, str(folder))) == ["a.PDF", "b.pdf", "broken.docx", "c.docx", "d.txt", "zero.pdf"]
+    assert names(files.other_files(spark, str(folder))) == ["f.odt"]
+    assert names(files.list_files(spark, str(folder), ["pdf"], ignore_case=False)) == ["b.pdf", "zero.pdf"]
     assert names(files.list_files(spark, str(folder), ["txt"])) == ["d.txt"]
 
 
 def test_listing_does_not_read_contents(spark, folder):
     plan = files.list_files(spark, str(folder))._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[-1]
+    assert "content" not in plan.split("ReadSchema: ")[1].split("\n")[0]
     counts = {r["extension"]: r["files"] for r in metrics.extension_counts(files.list_files(spark, str(folder))).collect()}
-    assert counts == {"pdf": 2, "docx": 2}
+    assert counts == {"pdf": 3, "docx": 2, "txt": 1}
 
 
 def test_missing_folder_is_an_error_and_empty_folder_is_empty(spark, tmp_path):

@@ -3,14 +3,14 @@
 from pyspark.sql import functions as F
 
 from clauseloom.operators import ingest
-from clauseloom.operators.layout import frequent, hot_keys, lookup_join, number_rows, salted_join, spread, top_per_group
+from clauseloom.operators.layout import frequent, lookup_join, number_rows, spread, top_per_group
 
 
 def test_numbers_follow_the_order(spark):
     frame = spark.range(5_000).select(
         F.concat(F.lit("f"), (F.col("id") * 7919 % 5000).cast("string")).alias("name"), "id"
     )
-    rows = number_rows(frame, ["name", "id"], buckets=37, sample_size=200).collect()
+    rows = number_rows(frame, ["name", "id"]).collect()
     assert [r["row_no"] for r in sorted(rows, key=lambda r: (r["name"], r["id"]))] == list(range(1, 5_001))
 
 
@@ -18,7 +18,7 @@ def test_numbers_hold_when_one_name_fills_a_third(spark):
     frame = spark.range(3_000).select(
         F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("name"), "id"
     )
-    rows = number_rows(frame, ["name", "id"], buckets=16, sample_size=300).collect()
+    rows = number_rows(frame, ["name", "id"]).collect()
     assert [r["row_no"] for r in sorted(rows, key=lambda r: (r["name"], r["id"]))] == list(range(1, 3_001))
 
 
@@ -28,17 +28,6 @@ def test_numbering_an_empty_or_tiny_table(spark):
     assert number_rows(frame.filter("id > 5"), ["name", "id"]).count() == 0
 
 
-def test_salted_join_equals_plain_join(spark):
-    left = spark.range(3_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
-    right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    hot = hot_keys(left.groupBy("k").agg(F.count("*").alias("n")), "k", "n", 4)
-    assert [r["k"] for r in hot.collect()] == [0]
-    for how in ("inner", "left"):
-        got = salted_join(left, right, "k", ["id"], hot, salts=8, how=how).select("id", "k", "v")
-        want = left.join(right, "k", how).select("id", "k", "v")
-        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
-
-
 def test_lookup_join_equals_plain_join(spark):
     left = spark.range(3_000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
     counts = left.groupBy("k").agg(F.count("*").alias("n"))
@@ -51,18 +40,6 @@ def test_lookup_join_equals_plain_join(spark):
             assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
-def test_hot_rows_are_split_over_tasks(spark):
-    left = spark.range(2_000).select("id", F.lit("hot").alias("k"))
-    right = spark.createDataFrame([("hot", 1)], "k string, v int")
-    joined = salted_join(left, right, "k", ["id"], right.select("k"), salts=16)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        tasks = {r["p"] for r in joined.select(F.spark_partition_id().alias("p")).collect()}
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert len(tasks) > 4
-
-
 def test_top_per_group_prunes_before_the_shuffle(spark):
     frame = spark.range(1_000).select((F.col("id") % 2).alias("g"), "id")
     top = top_per_group(frame, ["g"], [F.desc("id")], 3)
@@ -109,3 +86,10 @@ def test_copies_are_dropped_but_the_first(spark):
     texts = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, "copy").otherwise(F.col("id").cast("string")).alias("text"))
     kept = sorted(r["id"] for r in ingest.distinct_content(texts, "id").collect())
     assert kept == sorted([0] + [i for i in range(300) if i % 3])
+
+
+def test_the_latest_batch_counts(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "contract_id string, v int")
+    new = spark.createDataFrame([("a", 2), ("a", 3)], "contract_id string, v int")
+    assert sorted(tuple(r) for r in ingest.combine([old, new]).collect()) == [("a", 3), ("b", 1)]
+    assert sorted(tuple(r) for r in ingest.combine([new, old]).collect()) == [("a", 1), ("b", 1)]

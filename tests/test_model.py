@@ -1,5 +1,7 @@
 """Prompts, the model hook, retries and the whole job."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,11 +21,11 @@ def contracts(spark, n=2):
 
 def test_every_type_has_an_example_in_its_prompt():
     for c in CLAUSE_TYPES:
-        assert c.exemplar in prompt_frame(c.name)[1] and c.exemplar in prompt_frame(c.name, "detailed")[1]
+        own = {c.name: ("A system line.", "Find it.")}
+        assert c.exemplar in prompt_frame(c.name)[1] and c.exemplar in prompt_frame(c.name, own)[1]
+        assert prompt_frame(c.name, own)[0] == "A system line."
     with pytest.raises(KeyError):
         prompt_frame("payment")
-    with pytest.raises(ValueError):
-        prompt_frame("summary", "chatty")
 
 
 def test_prompt_contents(spark):
@@ -42,18 +44,30 @@ def test_prompt_holds_at_most_4000_characters_of_text(spark):
     assert {r["prompt"].count("z") - r["prompt"].replace("z" * 4_000, "").count("z") for r in prompts.prompts(frame).collect()} == {4_000}
 
 
-def test_detailed_prompts(spark):
-    rows = {r["task"]: r for r in prompts.prompts(contracts(spark, 1), ModelOptions(prompt_style="detailed")).collect()}
-    assert "Notice requirements" in rows["termination"]["prompt"] and "indemnification" in rows["liability"]["system"]
+def test_own_prompts(spark):
+    own = ModelOptions(library={"termination": ("You know endings.", "Quote the notice requirements.")})
+    rows = {r["task"]: r for r in prompts.prompts(contracts(spark, 1), own).collect()}
+    assert "notice requirements" in rows["termination"]["prompt"] and rows["termination"]["system"] == "You know endings."
+    assert rows["liability"]["prompt"] == prompts.prompts(contracts(spark, 1)).filter("task = 'liability'").first()["prompt"]
+
+
+def test_every_part_of_a_long_text_is_asked_about(spark):
+    frame = spark.createDataFrame([("c", "z" * 9_500), ("d", "")], "contract_id string, text string")
+    rows = prompts.chunked_prompts(frame, 4_000, names=["summary"]).orderBy("contract_id", "chunk_no").collect()
+    assert [(r["contract_id"], r["chunk_no"]) for r in rows] == [("c", 0), ("c", 1), ("c", 2), ("d", 0)]
+    assert "".join(r["prompt"] for r in rows).count("z" * 1_000) == 9
 
 
 def test_answers_keep_going_when_a_call_fails(spark):
-    def model(request):
+    def one(request):
         if request["task"] == "liability":
             raise RuntimeError("rate limit")
         if request["task"] == "confidentiality":
-            return "No confidentiality clause found"
-        return f"  {request['task']} answer\n"
+            return " no confidentiality clause FOUND. "
+        return f"  {request['task']} answer\n" if request["task"] == "termination" else None
+
+    def model(requests):
+        return [one(r) for r in requests]
 
     rows = prompts.answer(prompts.prompts(contracts(spark)), model).collect()
     got = {(r["contract_id"], r["task"]): (r["status"], r["value"], r["message"]) for r in rows}
@@ -61,6 +75,25 @@ def test_answers_keep_going_when_a_call_fails(spark):
     assert got["c0", "termination"] == ("found", "termination answer", None)
     assert got["c1", "confidentiality"] == ("absent", None, None)
     assert got["c1", "liability"] == ("error", None, "RuntimeError: rate limit")
+    assert got["c0", "summary"] == ("error", None, "no answer")
+
+
+def test_a_batch_is_one_call(spark):
+    def model(requests):
+        return [str(len(requests))] * len(requests)
+
+    rows = prompts.answer(prompts.prompts(contracts(spark, 5)).coalesce(1), model).collect()
+    assert {r["value"] for r in rows} == {"20"}
+    short = prompts.answer(prompts.prompts(contracts(spark, 1)), lambda requests: ["x"][: len(requests) - 1]).collect()
+    assert {r["status"] for r in short} == {"error"}
+
+
+def test_answers_about_chunks_are_joined(spark):
+    rows = [("a", "liability", 1, "found", "two"), ("a", "liability", 0, "found", "one"), ("a", "liability", 2, "absent", None),
+            ("b", "liability", 0, "absent", None), ("c", "liability", 0, "found", "x"), ("c", "liability", 1, "error", None)]
+    frame = spark.createDataFrame(rows, "contract_id string, task string, chunk_no int, status string, value string")
+    got = {r["contract_id"]: (r["status"], r["value"]) for r in prompts.chunked_answers(frame.withColumn("attempt", F.lit(1))).collect()}
+    assert got == {"a": ("found", "one two"), "b": ("absent", None), "c": ("error", None)}
 
 
 def test_best_response_is_the_latest_success(spark):
@@ -86,7 +119,7 @@ def test_best_response_is_the_latest_success(spark):
         lambda: IngestOptions(min_text_length=10, max_text_length=10),
         lambda: ModelOptions(max_tokens_clause=0),
         lambda: ModelOptions(temperature_extraction=1.5),
-        lambda: ModelOptions(prompt_style="x"),
+        lambda: ModelOptions(library={"payment": ("a", "b")}),
         lambda: SearchOptions(max_results=0),
         lambda: OutputOptions(csv_path="same", json_path="same"),
     ],
@@ -112,10 +145,15 @@ PDF = {"pdf": [("plain", lambda content: content.decode())]}
 
 def test_whole_job_over_files(spark, folder):
     output = OutputOptions(str(folder / "csv"), str(folder / "json"), str(folder / "stages"))
-    done = job.run(spark, str(folder / "in"), Options(output=output), extractors=PDF)
+    (folder / "in" / "zero.pdf").write_bytes(b"")
+    (folder / "in" / "other.odt").write_bytes(b"x")
+    options = Options(ingest=IngestOptions(sequential_ids=True), output=output)
+    done = job.run(spark, str(folder / "in"), options, extractors=PDF)
     ids = {r["filename"]: r["contract_id"] for r in done.contracts.collect()}
-    assert ids == {"c.pdf": "contract_001", "a.docx": "contract_003", "b.docx": "contract_004"}
-    assert [(r["filename"], r["reason"]) for r in done.rejects.collect()] == [("d.pdf", "too_short")]
+    assert ids == {"c.pdf": "contract_001", "a.docx": "contract_004", "b.docx": "contract_005"}
+    assert sorted((r["filename"], r["reason"]) for r in done.rejects.collect()) == [
+        ("d.pdf", "too_short"), ("other.odt", "unsupported"), ("zero.pdf", "no_text")
+    ]
     assert done.clauses.count() == 9 and done.clauses.filter("status = 'found'").count() == 9
     saved = results.read_csv(spark, str(folder / "csv"))
     assert saved.count() == 3 and saved.filter("termination_clause like '%terminated%'").count() == 3
@@ -126,17 +164,20 @@ def test_whole_job_over_files(spark, folder):
     }
     # These summaries are shorter than asked for, nothing else is wrong.
     assert {r["rule"] for r in done.violations.collect()} == {"summary_length"}
+    tight = Options(ingest=IngestOptions(min_text_length=10, max_text_length=20), search=SearchOptions(enabled=False))
+    assert {r["rule"] for r in job.run(spark, str(folder / "in"), tight, extractors=PDF).violations.collect()} >= {"text_too_long"}
 
     asked = spark.createDataFrame([("q", "liable for damages")], "query_id string, text string")
     hits = job.search(done, asked, 2).orderBy("rank").collect()
     assert [h["rank"] for h in hits] == [1, 2] and hits[0]["clause_type"] == "liability"
-    assert job.search(done, asked, 50).count() <= 9
+    assert job.search(done, asked, 50).count() == 7
+    assert job.search(done, asked, 50, Options(search=SearchOptions(max_results=2))).count() == 2
     strict = Options(search=SearchOptions(similarity_threshold=0.99))
     assert job.search(done, asked, 5, strict).count() == 0
 
 
 def test_job_takes_the_head_of_the_listing_before_screening(spark, folder):
-    options = Options(ingest=IngestOptions(max_contracts=2), search=SearchOptions(enabled=False))
+    options = Options(ingest=IngestOptions(max_contracts=2, sequential_ids=True), search=SearchOptions(enabled=False))
     done = job.run(spark, str(folder / "in"), options, extractors=PDF)
     assert [r["filename"] for r in done.contracts.collect()] == ["c.pdf"]
     assert done.rejects.count() == 1
@@ -144,6 +185,32 @@ def test_job_takes_the_head_of_the_listing_before_screening(spark, folder):
     assert job.search(done, asked).count() == 0
 
 
+def test_job_reads_text_files_and_only_the_formats_asked_for(spark, tmp_path):
+    (tmp_path / "a.txt").write_text(AGREEMENT)
+    (tmp_path / "b.pdf").write_text(AGREEMENT)
+    options = Options(ingest=IngestOptions(supported_formats=("txt",)), search=SearchOptions(enabled=False))
+    done = job.run(spark, str(tmp_path), options)
+    assert [r["filename"] for r in done.contracts.collect()] == ["a.txt"]
+    assert [(r["filename"], r["reason"]) for r in done.rejects.collect()] == [("b.pdf", "unsupported")]
+
+
+def test_job_with_an_embedder_and_its_cache(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def embedder(texts):
+        calls.add(len(texts))
+        return [[float(t.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+    first = job.run(spark, contracts(spark, 3), embedder=embedder)
+    made = first.vectors.count()
+    assert calls.value == made == first.items.select("clause").distinct().count()
+    again = job.run(spark, contracts(spark, 3), embedder=embedder, vector_cache=first.vectors)
+    assert calls.value == made and again.vectors.count() == made
+    asked = spark.createDataFrame([("q", first.items.filter("clause_type = 'liability'").first()["clause"])], "query_id string, text string")
+    hits = job.search(first, asked, 3, embedder=embedder).orderBy("rank").collect()
+    assert [h["clause_type"] for h in hits] == ["liability"] * 3 and hits[0]["score"] == pytest.approx(1.0)
+
+
 def test_job_with_path_ids(spark, folder):
     options = Options(ingest=IngestOptions(sequential_ids=False), search=SearchOptions(enabled=False), validate=False)
     done = job.run(spark, str(folder / "in"), options, extractors=PDF)
@@ -161,15 +228,18 @@ def test_job_with_a_model_retries_and_records_failures(spark, folder):
     tries = folder / "tries"
     tries.mkdir()
 
-    def model(request):
+    def model(requests):
+        return [one(r) for r in requests]
+
+    def one(request):
         if request["task"] == "liability":
-            raise RuntimeError("down")
+            return None
         if request["task"] == "termination":
-            # Fails once per contract, then works.
-            mark = tries / str(abs(hash(request["prompt"])))
+            # Has no answer once per contract, then works.
+            mark = tries / hashlib.md5(request["prompt"].encode()).hexdigest()
             if not mark.exists():
                 mark.touch()
-                raise RuntimeError("flaky")
+                return None
             return "Either party may terminate with 30 days notice"
         if request["task"] == "confidentiality":
             return "No confidentiality clause found"

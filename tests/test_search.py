@@ -36,22 +36,29 @@ def matrices():
     return queries / np.linalg.norm(queries, axis=1, keepdims=True), items
 
 
-@pytest.mark.parametrize("max_queries", [100, 5])
-def test_nearest_equals_brute_force(spark, matrices, max_queries):
+@pytest.mark.parametrize("max_bytes", [1 << 20, 300])
+def test_nearest_equals_brute_force(spark, matrices, max_bytes):
     queries, items = matrices
-    hits = dense.nearest(
-        vectors(spark, queries, "query_id"), vectors(spark, items), 7, max_queries=max_queries, shard_rows=50
-    )
-    assert {tuple(r) for r in hits.collect()} == brute(queries, items, 7)
+    hits = dense.nearest(vectors(spark, queries, "query_id"), vectors(spark, items), 7, max_bytes)
+    assert rounded(hits) == brute(queries, items, 7)
+
+
+def rounded(hits):
+    return {(r["query_id"], r["rank"], r["item_id"], round(r["score"], 6) + 0.0) for r in hits.collect()}
+
+
+def test_rows_without_a_vector_take_no_part(spark):
+    index = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "item_id bigint, vector array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 1.0]), (2, None)], "query_id bigint, vector array<double>")
+    assert rounded(dense.nearest(asked, index, 5)) == {(1, 1, 1, 1.0)}
 
 
 def test_text_ids_and_k_beyond_the_index(spark, matrices):
     queries, items = matrices
     ids = [f"i{n:03d}" for n in range(4)]
-    for max_queries in (100, 1):
-        hits = dense.nearest(
-            vectors(spark, queries[:2], "query_id"), vectors(spark, items[:4], ids=ids), 50, max_queries=max_queries
-        ).collect()
+    for max_bytes in (1 << 20, 1):
+        asked = vectors(spark, queries[:2], "query_id")
+        hits = dense.nearest(asked, vectors(spark, items[:4], ids=ids), 50, max_bytes).collect()
         assert len(hits) == 8 and {h["item_id"] for h in hits} == set(ids)
 
 
@@ -60,7 +67,7 @@ def test_empty_index_or_no_queries(spark, matrices):
     q, x = vectors(spark, queries, "query_id"), vectors(spark, items)
     assert dense.nearest(q, x.filter("item_id < 0")).count() == 0
     assert dense.nearest(q.filter("query_id < 0"), x).count() == 0
-    assert dense.nearest(q, x.filter("item_id < 0"), max_queries=2).count() == 0
+    assert dense.nearest(q, x.filter("item_id < 0"), max_bytes=100).count() == 0
 
 
 def test_all_cells_give_the_exact_result_and_few_cells_a_part(spark, matrices):
@@ -69,10 +76,11 @@ def test_all_cells_give_the_exact_result_and_few_cells_a_part(spark, matrices):
     model = dense.fit_cells(x, 6)
     celled = dense.assign_cells(x, model)
     exact = dense.nearest(q, x, 5)
-    for max_queries in (100, 4):
-        every = dense.nearest_in_cells(q, celled, model, 5, probes=6, max_queries=max_queries, shard_rows=60)
-        assert {tuple(r) for r in every.collect()} == brute(queries, items, 5)
-        some = dense.nearest_in_cells(q, celled, model, 5, probes=2, max_queries=max_queries, shard_rows=60)
+    centres = np.array(model.clusterCenters())
+    for max_bytes in (1 << 20, 300):
+        every = dense.nearest_in_cells(q, celled, centres, 5, probes=6, max_bytes=max_bytes)
+        assert rounded(every) == brute(queries, items, 5)
+        some = dense.nearest_in_cells(q, celled, centres, 5, probes=2, max_bytes=max_bytes)
         shares = dense.recall(exact, some).collect()
         assert len(shares) == 17 and sum(s["recall"] for s in shares) / 17 > 0.5
 
@@ -83,7 +91,7 @@ def test_stored_cells_are_pruned(spark, matrices, tmp_path):
     model = dense.fit_cells(x, 6)
     path = str(tmp_path / "cells")
     dense.assign_cells(x, model).write.partitionBy("cell").parquet(path)
-    hits = dense.nearest_in_cells(vectors(spark, queries[:1], "query_id"), spark.read.parquet(path), model, 3, probes=1)
+    hits = dense.nearest_in_cells(vectors(spark, queries[:1], "query_id"), spark.read.parquet(path), np.array(model.clusterCenters()), 3, probes=1)
     assert "PartitionFilters: [isnotnull(cell" in hits._jdf.queryExecution().toString()
     assert hits.count() > 0
 
@@ -108,9 +116,10 @@ def test_mean_vectors(spark):
 
 
 def test_only_new_texts_are_embedded(spark):
-    texts = spark.createDataFrame([("old",), ("new",), ("new",), ("newer",)], "clause string")
+    rows = [(1, "old"), (2, "new"), (3, "new"), (4, "newer")]
+    texts = spark.createDataFrame(rows, "item_id bigint, clause string")
     cache = spark.createDataFrame([("old",)], "t string").select(F.sha2("t", 256).alias("digest"))
-    assert sorted(r["text"] for r in dense.uncached(texts, cache).collect()) == ["new", "newer"]
+    assert sorted(r["text"] for r in dense.uncached(texts, cache, "item_id").collect()) == ["new", "newer"]
 
 
 def _tfidf(queries, docs):
@@ -140,7 +149,7 @@ def _tfidf(queries, docs):
     return out
 
 
-@pytest.mark.parametrize("max_terms", [1_000, 1])
+@pytest.mark.parametrize("max_terms", [1_000, 2])
 def test_text_search_equals_brute_force(spark, max_terms):
     docs = [f"the party {'shall' if i % 3 else 'may'} end item{i} notice {'the ' * (i % 4)}" for i in range(30)]
     queries = ["the party shall end", "item7 unseenword notice", "nothing matches"]

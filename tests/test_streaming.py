@@ -38,10 +38,25 @@ def test_failing_batch_is_noted_and_the_next_one_runs(spark, tmp_path):
 
     guarded = arrivals.isolated(work, str(tmp_path / "failures"), retries=1)
     for batch_id in range(3):
-        guarded(spark.range(1), batch_id)
+        guarded(spark.range(1).selectExpr("concat('/in/', id) AS path"), batch_id)
     assert calls == [0, 1, 1, 2]
     (row,) = spark.read.parquet(str(tmp_path / "failures")).collect()
-    assert (row["batch"], row["attempts"], row["message"]) == (1, 2, "RuntimeError: bad batch")
+    assert (row["batch"], row["attempts"], row["message"], row["path"]) == (1, 2, "RuntimeError: bad batch", "/in/0")
+
+
+def test_failed_files_can_be_driven_again(spark, tmp_path):
+    source, failures, seen = tmp_path / "in", str(tmp_path / "failures"), []
+    source.mkdir()
+    (source / "a.pdf").write_text(AGREEMENT)
+    files = spark.read.format("binaryFile").load(str(source))
+
+    def broken(batch, batch_id):
+        raise RuntimeError("down")
+
+    arrivals.isolated(broken, failures, retries=0)(files, 7)
+    assert arrivals.redrive(spark, failures, broken, retries=0) == 0
+    assert arrivals.redrive(spark, failures, lambda batch, n: seen.append((n, batch.count()))) == 1
+    assert seen == [(7, 1)] and arrivals.redrive(spark, failures, broken) == 0
 
 
 def _stream(spark, folder, batches, schema):
