@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from clauseloom.catalog import QUERIES  # noqa: E402
 from clauseloom.session import configure  # noqa: E402
+from clauseloom.sources.stages import release  # noqa: E402
 
 HEADLINE = (
     "normalize_text",
@@ -47,6 +48,10 @@ HEADLINE = (
     "benchmark_search",
     "nearest_batch",
     "nearest_in_cells",
+    "chunked_prompts",
+    "model_answers",
+    "embedded_search",
+    "job_results",
     "rate_sliding",
 )
 
@@ -73,6 +78,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        release(spark)
     print(
         json.dumps(
             {
