@@ -166,7 +166,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     from clauseloom.operators.prompts import task_results, tasks
 
-    results = task_results(tasks(fixture.contracts(spark, sf_dir)), fixture.responses(spark, sf_dir))
+    contracts = fixture.stored_contracts(spark, sf_dir)
+    results = task_results(tasks(contracts), fixture.responses(contracts))
     shown = results.filter(F.col("task") != "summary").withColumnRenamed("shown", "clause")
     return clauses.indexable(shown, by_value=True).select("contract_id", "task", F.col("clause").alias("shown"))
 
@@ -308,7 +309,9 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return metrics.detection_accuracy(fixture.truth(spark, sf_dir), fixture.items(spark, sf_dir))
+    contracts = fixture.stored_contracts(spark, sf_dir)
+    found = clauses.indexable(clauses.clause_rows(clauses.find_clauses(contracts)))
+    return metrics.detection_accuracy(fixture.truth(contracts), found)
 
 
 @query(

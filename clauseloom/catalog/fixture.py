@@ -83,9 +83,9 @@ def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(items(spark, sf_dir), "items")
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def responses(contracts_table: DataFrame) -> DataFrame:
     """A model's answers: clauses, and the whole text as summary; some contracts failed, at various attempts."""
-    found = find_clauses(contracts(spark, sf_dir))
+    found = find_clauses(contracts_table)
     rows = [F.struct(F.lit(c.name).alias("task"), F.col(c.column).alias("value")) for c in CLAUSE_TYPES]
     rows.append(F.struct(F.lit("summary").alias("task"), F.col("text").alias("value")))
     failed = F.col("doc_id") % 11 == 0
@@ -98,12 +98,12 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def truth(contracts_table: DataFrame) -> DataFrame:
     """(contract_id, clause_type) as appended, for accepted documents."""
     kinds = F.array_compact(
         F.array(*[F.when(F.col("doc_id") % EVERY[c.name] == 0, c.name) for c in CLAUSE_TYPES])
     )
-    return contracts(spark, sf_dir).select("contract_id", F.explode(kinds).alias("clause_type"))
+    return contracts_table.select("contract_id", F.explode(kinds).alias("clause_type"))
 
 
 def sample_queries(spark: SparkSession) -> DataFrame:

@@ -18,9 +18,8 @@ _TYPES = " + ".join(f"CAST({k}_clause IS NOT NULL AS INTEGER)" for k in C.PATTER
 
 
 def _results(spark, sf_dir):
-    return prompts.task_results(
-        prompts.tasks(fixture.contracts(spark, sf_dir)), fixture.responses(spark, sf_dir)
-    )
+    contracts = fixture.stored_contracts(spark, sf_dir)
+    return prompts.task_results(prompts.tasks(contracts), fixture.responses(contracts))
 
 
 @query("tasks", C.sql("SELECT contract_id, task, max_tokens, temperature FROM tasks", "tasks"))
@@ -116,8 +115,8 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    task_rows = prompts.tasks(fixture.contracts(spark, sf_dir).select("contract_id"))
-    return prompts.pending_tasks(task_rows, fixture.responses(spark, sf_dir))
+    contracts = fixture.stored_contracts(spark, sf_dir)
+    return prompts.pending_tasks(prompts.tasks(contracts.select("contract_id")), fixture.responses(contracts))
 
 
 @query(

@@ -38,36 +38,44 @@ def sentence_offsets(contracts: DataFrame, id_column: str = "contract_id") -> Da
     return placed.select(id_column, "pos", start.cast("long").alias("start"), F.col("_s.length").alias("length"))
 
 
-def _spans(clause: ClauseType, merge: bool) -> Column:
-    """Character ranges (0-based first, exclusive last) around the hit sentences of one clause type."""
+def _hit_spans(clause: ClauseType) -> Column:
+    """Character ranges (0-based first, exclusive last) around the hit sentences of one clause type, in order.
+
+    Expects ``starts``, see ``_starts``: sentences are filtered first, so nothing grows with those that do not hit.
+    """
     total = F.length("text")
-    covered = F.aggregate("sentences", F.lit(0), lambda n, s: n + F.length(s))
-    start = F.struct(
-        F.lit(0).alias("pos"), (total - covered).alias("offset"), F.array().cast(_SPANS).alias("spans")
+    covered = F.get("starts", F.size("starts") - 1)
+    # Stops at the very start of a text belong to no sentence.
+    lead = total - (covered["start"] + covered["length"])
+    places = F.filter(
+        F.sequence(F.lit(0), F.size("starts") - 1),
+        lambda i: mentions_lowered(F.get("lowered", i), clause.keywords),
     )
 
-    def step(acc: Column, sentence: Column) -> Column:
-        end = acc["offset"] + F.length(sentence)
-        first = F.greatest(F.lit(0), acc["offset"] - clause.context_window)
-        last = F.least(total, end + clause.context_window)
-        new = F.struct(acc["pos"].alias("pos"), first.alias("first"), last.alias("last"))
-        grown = F.concat(acc["spans"], F.array(new))
-        if merge:
-            count = F.size(acc["spans"])
-            previous = F.get(acc["spans"], count - 1)
-            longer = F.struct(
-                previous["pos"].alias("pos"),
-                previous["first"].alias("first"),
-                F.greatest(previous["last"], last).alias("last"),
-            )
-            overlaps = F.coalesce(previous["last"] >= first, F.lit(False))
-            grown = F.when(overlaps, F.concat(F.slice(acc["spans"], 1, count - 1), F.array(longer))).otherwise(grown)
-        hit = mentions_lowered(F.get("lowered", acc["pos"]), clause.keywords)
-        spans = F.when(hit, grown).otherwise(acc["spans"])
-        return F.struct((acc["pos"] + 1).alias("pos"), end.alias("offset"), spans.alias("spans"))
-
-    spans = F.aggregate("sentences", start, step, lambda acc: acc["spans"])
-    return F.when(F.col(f"may_{clause.name}"), spans).otherwise(F.array().cast(_SPANS))
+    def span(i: Column) -> Column:
+        own = F.get("starts", i)
+        begin = lead + own["start"]
+        return F.struct(
+            i.cast("int").alias("pos"),
+            F.greatest(F.lit(0), begin - clause.context_window).cast("int").alias("first"),
+            F.least(total, begin + own["length"] + clause.context_window).cast("int").alias("last"),
+        )
+
+    has_any = F.col(f"may_{clause.name}") & (F.size("starts") > 0)
+    return F.when(has_any, F.transform(places, span)).otherwise(F.array().cast(_SPANS))
+
+
+def _merged(spans: Column) -> Column:
+    """Overlapping or touching spans joined: a span starts anew where it begins after the end of the one before.
+
+    Spans come in order, and a window is as wide for each hit, so ends rise with starts: no fold is needed. The next
+    start decides where a joined span ends.
+    """
+    opens = F.filter(spans, lambda s, i: (i == 0) | (F.get(spans, i - 1)["last"] < s["first"]))
+    closes = F.filter(spans, lambda s, i: F.coalesce(F.get(spans, i + 1)["first"] > s["last"], F.lit(True)))
+    return F.zip_with(
+        opens, closes, lambda o, c: F.struct(o["pos"].alias("pos"), o["first"].alias("first"), c["last"].alias("last"))
+    )
 
 
 def _tag(spans: str, name: str) -> Column:
@@ -81,8 +89,10 @@ def _tag(spans: str, name: str) -> Column:
 
 
 def _passages(contracts: DataFrame, id_column: str, merge: bool) -> DataFrame:
-    split = with_sentences(contracts)
-    spans = split.withColumns({f"_{c.name}": _spans(c, merge) for c in CLAUSE_TYPES})
+    split = with_sentences(contracts).withColumn("starts", _starts("sentences"))
+    spans = split.withColumns({f"_{c.name}": _hit_spans(c) for c in CLAUSE_TYPES})
+    if merge:
+        spans = spans.withColumns({f"_{c.name}": _merged(F.col(f"_{c.name}")) for c in CLAUSE_TYPES})
     tagged = F.flatten(F.array(*[_tag(f"_{c.name}", c.name) for c in CLAUSE_TYPES]))
     return spans.select(id_column, "text", F.inline(tagged)).select(
         id_column,
