@@ -154,13 +154,22 @@ def test_summary_is_in_order_and_not_too_long(spark):
     rows = {r["contract_id"]: r for r in summary.summarize(contracts(spark, *texts)).collect()}
     assert set(rows) == {"c0", "c1", "c2"}
     for r in rows.values():
-        assert 0 < len(r["summary"].split()) == r["words"] <= 150
-    assert len(rows["c1"]["summary"].split()) == 150
-    assert rows["c2"]["summary"] == "Short one."
+        assert 0 < len(r["summary"].split()) == r["words"]
+    assert rows["c0"]["words"] <= 150 and rows["c2"]["summary"] == "Short one."
+    # A sentence is never cut: the only one there is comes whole, and the length check tells of it.
+    assert rows["c1"]["summary"] == long_sentence
+    assert not summary.length_check(summary.summarize(contracts(spark, long_sentence))).first()["in_range"]
     positions = [texts[0].find(s.strip()) for s in re.findall(r"[^.]+\.", rows["c0"]["summary"])]
     assert positions == sorted(positions) and "terminated" in rows["c0"]["summary"]
 
 
+def test_summary_weighs_whole_sentences_and_loses_no_contract(spark):
+    tail = " ".join(f"plain{i}" for i in range(170)) + " terminate."
+    rows = {r["contract_id"]: r for r in summary.summarize(contracts(spark, f"{tail} Other words here.", "...", "")).collect()}
+    assert rows["c0"]["summary"].endswith("terminate.")
+    assert [(rows[c]["summary"], rows[c]["words"]) for c in ("c1", "c2")] == [("", 0), ("", 0)]
+
+
 def test_completeness(spark):
     summaries = spark.createDataFrame([("a", "We terminate."), ("b", "Nothing.")], "contract_id string, summary string")
     found = spark.createDataFrame(
