@@ -218,6 +218,69 @@ def test_templates_follow_their_labels(spark):
     assert len(found) == len(rows)
 
 
+def _verdicts(pages):
+    """The method of the url filter in plain Python: (page_id, verdict) of each page."""
+    rows = []
+    for page_id, url in pages:
+        found = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (found[1].lower(), found[2]) if found else ("", "")
+        fitting = [
+            (len(h + p), kind) for kind, h, p in url_filter.RULES
+            if (host == h or host.endswith("." + h)) and path.startswith(p)
+        ]
+        generalised = [re.sub("[0-9]+", "#", re.sub("[0-9a-f]{8,}(-[0-9a-f]{4,})*", "#", s)) for s in path.split("/")]
+        parts = [s for s in "/".join(generalised).split("/", url_filter.LEVELS - 1) if s]
+        rows.append([page_id, host, parts, max(fitting)[1] if fitting else None])
+    smoothing = url_filter.SMOOTHING
+    ruled = [r for r in rows if r[3]]
+    base = (sum(r[3] == "block" for r in ruled) + 0.25 * smoothing) / (len(ruled) + smoothing)
+
+    def grow(group, level, parent):
+        labelled = [r for r in group if r[3]]
+        purity = (sum(r[3] == "block" for r in labelled) + smoothing * parent) / (len(labelled) + smoothing)
+        branches = {}
+        for r in group:
+            if len(r[2]) > level:
+                branches.setdefault(r[2][level], []).append(r)
+            else:
+                yield r[0], r[3] or ("block" if purity >= url_filter.REJECT else "allow")
+        rare = {s for s, own in branches.items() if len(own) <= url_filter.RARE}
+        general = {}
+        for s, own in branches.items():
+            many = len(branches) > url_filter.MANY and 2 * len(rare) > len(branches)
+            general.setdefault("*" if many and s in rare else s, []).extend(own)
+        counts = {s: (sum(bool(r[3]) for r in own), sum(r[3] == "block" for r in own)) for s, own in general.items()}
+        clusters, before = [], None
+        for s in sorted((s for s in counts if counts[s][0]), key=lambda s: (counts[s][1] / counts[s][0], s)):
+            n, b = counts[s]
+            if before is not None:
+                pooled = (b + before[1]) / (n + before[0])
+                error = (max(pooled * (1 - pooled), 1e-12) * (1 / n + 1 / before[0])) ** 0.5
+                if abs(b / n - before[1] / before[0]) > url_filter.SIMILAR_Z * error:
+                    before = None
+            if before is None:
+                clusters.append([])
+            clusters[-1].append(s)
+            before = (n, b)
+        clusters += [[s] for s in counts if not counts[s][0]]
+        for cluster in clusters:
+            yield from grow([r for s in cluster for r in general[s]], level + 1, purity)
+
+    for host in {r[1] for r in rows}:
+        yield from grow([r for r in rows if r[1] == host], 0, base)
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_url_verdicts_against_brute_force(spark, folder):
+    pages = spark.read.parquet(f"/root/testdata/{folder}/pages.parquet").select("page_id", "url")
+    more = [(n, f"http://shop.net/{'de' if n % 2 else 'fr'}/{n}") for n in range(10**6, 10**6 + 60)]
+    more += [(n, f"https://mixed.com/{'de' if n % 3 else 'fr'}/item-{n}/x") for n in range(10**6 + 60, 10**6 + 160)]
+    more += [(n, f"https://mixed.com/en/{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}") for n in range(10**6 + 160, 10**6 + 260)]
+    pages = pages.unionByName(spark.createDataFrame(more, "page_id long, url string"))
+    found = sorted((r.page_id, r.verdict) for r in url_filter.judge(pages).collect())
+    assert found == sorted(_verdicts([(r.page_id, r.url) for r in pages.collect()]))
+
+
 @pytest.mark.parametrize("name", ["op2_chat_format", "op3_exact_dedup", "op5_secrets"])
 def test_queries_agree_with_sql(spark, sf_dir, name):
     assert not compare.differences(compare.duck(sf_dir), queries.QUERIES[name](spark, sf_dir), queries.ORACLES[name])
