@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauseloom.llm.common import Memo, once_per_worker, require_columns, whole_rows
+from clauseloom.llm.common import Memo, once_per_worker, require_columns, stage, whole_rows
 
 WORD = re.compile(r"[^\W\d_]+")
 JAVA_WORD = r"\p{L}+"
@@ -26,8 +26,9 @@ LONGEST_TERM = 40
 MAX_FUZZY = 60
 WINDOW = 60
 QUOTED = 0.3
-# Evidence counts in steps of 1/STEPS on a logarithmic scale when scores are fitted.
-STEPS = 4
+SHORT = 100
+# Evidence, times SCALE, counts in steps of 1/STEPS on a logarithmic scale when scores are fitted.
+SCALE, STEPS = 10, 4
 MAX_BIN = 40
 PRIOR_RATE, PRIOR_ROWS = 0.1, 10
 # Marks that open and close a quotation, and words that report one (en, de, fr, es).
@@ -143,7 +144,10 @@ class Reader:
         self.words = Memo(weigh, 250_000)
 
     def evidence(self, text: str) -> float:
-        """Sum of the weights of the terms in a text; a term in quotation counts ``QUOTED`` of its weight."""
+        """Weights of the terms in a text, summed; a term in quotation counts ``QUOTED`` of its weight.
+
+        Beyond ``SHORT`` words the sum is divided by the root of the length: a long text holds some term by chance.
+        """
         low = text.lower()
         words = WORD.findall(low)
         if not any(map(self.words.__getitem__, words)):
@@ -156,7 +160,7 @@ class Reader:
             if places is None:
                 places = [i for i, c in enumerate(low) if c in QUOTES]
             total += weight * (QUOTED if quoted(low, found.start(), found.end(), places) else 1.0)
-        return total
+        return total / math.sqrt(max(1.0, len(words) / SHORT))
 
 
 def quoted(text: str, start: int, end: int, places: list[int]) -> bool:
@@ -208,11 +212,12 @@ def learn_terms(labelled: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, fl
         return {}
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(JAVA_WORD), F.lit(0)))
     some = F.filter(words, lambda w: F.length(w).between(3, LONGEST_TERM))
-    counts = (
+    counts = stage(
         labelled.select("toxic", F.explode(some).alias("word"))
         .groupBy("word")
         .agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-        .filter(F.col("n") >= 3)
+        .filter(F.col("n") >= 3),
+        "word-counts",
     )
     rate = toxic / rows
     share = F.col("t") / F.col("n")
@@ -230,7 +235,7 @@ def learn_terms(labelled: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, fl
 
 
 def _bin(strength: Column) -> Column:
-    return F.least(F.floor(F.log1p(strength) * STEPS), F.lit(MAX_BIN)).cast("int")
+    return F.least(F.floor(F.log1p(strength * SCALE) * STEPS), F.lit(MAX_BIN)).cast("int")
 
 
 def fit_curve(counts: list[tuple[int, int, int]]) -> list[tuple[float, float]]:
@@ -261,7 +266,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
 
 def scored(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(row, score): the documents with a score from 0 to 1: the curve, straight between its points."""
-    place = F.least(F.log1p(evidence("text", lexicon.weights)) * STEPS, F.lit(float(MAX_BIN)))
+    place = F.least(F.log1p(evidence("text", lexicon.weights) * SCALE) * STEPS, F.lit(float(MAX_BIN)))
     (first, value), *rest = lexicon.curve
     column = F.lit(value)
     low, low_value = first, value
