@@ -19,7 +19,7 @@ EVERY = 50
 PROJECTED, CONFIDENCE, SEED = 8, 0.97, 7
 LEAF = 128
 # Vectors that one task indexes, and queries that it answers.
-SHARD, BLOCK = 60_000, 4_000
+SHARD, BLOCK = 10_000, 2_000
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -183,7 +183,8 @@ def nearest(
 
     def dealt(frame: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         """Each row to one part of its own kind, and a copy for every part of the other kind."""
-        part = F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).alias(own)
+        # Both sides need keys of one type: a cogroup hashes them as they are.
+        part = F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).cast("int").alias(own)
         copies = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
         return frame.select("vec_id", "embedding", F.size("embedding").alias("width"), part, copies)
 

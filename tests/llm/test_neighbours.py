@@ -37,6 +37,19 @@ def test_recall_and_scores(spark, sf_dir, shard, block):
     assert right >= 0.9 * len(found)
 
 
+def test_shards_meet_blocks_in_many_partitions(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = neighbours.nearest(table, shard=100, block=4).toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    right = 0
+    for query, ids, _ in _brute([(r.vec_id, r.embedding) for r in table.collect()]):
+        right += len(set(found[found.query_id == query].vec_id) & set(ids))
+    assert len(found) == 50 and right >= 45
+
+
 def test_awkward_vectors(spark):
     rows = [(0, [1.0, 0.0]), (3, [2.0, 0.0]), (2, [5.0, 0.0]), (1, [0.0, 1.0]), (50, [0.0, 0.0]), (100, None), (4, [float("nan"), 1.0]),
             (5, [None, 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [1.0, 0.0, 0.0]), (0, [1.0, 0.0])]
