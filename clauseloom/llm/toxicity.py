@@ -6,7 +6,6 @@ import bisect
 import math
 import re
 from collections.abc import Iterator
-from itertools import islice
 from typing import NamedTuple
 
 import pandas as pd
@@ -22,8 +21,6 @@ HELD_OUT, FOLDS, CUT = 2, 4, 0.3
 MAX_LABELLED = 40_000
 MAX_TERMS = 5_000
 LONGEST_TERM = 40
-# Misspellings are sought of so many terms, the strongest; of all others the exact word counts.
-MAX_FUZZY = 60
 WINDOW = 60
 QUOTED = 0.3
 SHORT = 100
@@ -47,98 +44,103 @@ class Lexicon(NamedTuple):
 
 
 class Trie:
-    """The strongest terms of a lexicon as a trie, searched with the Levenshtein automaton of a word.
+    """A lexicon as tries, searched with the Levenshtein automaton of a word.
 
-    The automaton reads the trie's paths letter by letter and leaves a path as soon as none of its states is alive, that
-    is, when no beginning of the word is within the allowed distance.
+    Cut into one part more than edits are allowed, a term keeps at least one part whole in every misspelling. Terms of a
+    length that share a part form one trie; the automaton reads those whose part the word has about where it belongs,
+    letter by letter, and leaves a path as soon as none of its states is alive, that is, when no beginning of the word
+    is within the allowed distance.
     """
 
-    def __init__(self, weights: dict[str, float], fuzzy: int | None = None) -> None:
-        self.root: dict = {}
+    def __init__(self, weights: dict[str, float]) -> None:
         self.weights = weights
-        # Part of a term -> lengths of the terms that have it at their start, at their end, or at a place inside.
-        self.heads: dict[int, dict[str, set[int]]] = {}
-        self.tails: dict[int, dict[str, set[int]]] = {}
-        self.inner: dict[tuple[int, int], dict[str, set[int]]] = {}
-        # Weights come strongest first.
-        for term in islice((t for t in weights if edits(len(t))), fuzzy):
-            node = self.root
-            for char in term:
-                node = node.setdefault(char, {})
-            node[""] = term
-            # Cut into one part more than edits are allowed, a term keeps at least one part whole.
-            parts, n = edits(len(term)) + 1, len(term)
-            cuts = [n * i // parts for i in range(parts + 1)]
-            for i, (start, end) in enumerate(zip(cuts, cuts[1:])):
-                if i == 0:
-                    table = self.heads.setdefault(end, {})
+        self.longest = max(map(len, weights), default=0) + 2
+        # Length of terms -> for each of their parts where it starts and ends, and the tries by the part.
+        self.parts: dict[int, list[tuple[int, int, dict[str, dict]]]] = {}
+        # Size of words -> where they are looked at, and the tries by what stands there.
+        self.looks: dict[int, list[tuple[int, int, dict[str, list[tuple[int, dict]]]]]] = {}
+        for term in weights:
+            n, count = len(term), edits(len(term)) + 1
+            if count == 1:
+                continue
+            if n not in self.parts:
+                self.parts[n] = [(n * i // count, n * (i + 1) // count, {}) for i in range(count)]
+            for start, end, tries in self.parts[n]:
+                node = tries.setdefault(term[start:end], {})
+                for char in term:
+                    node = node.setdefault(char, {})
+                node[""] = term
+
+    def look(self, size: int) -> list[tuple[int, int, dict[str, list[tuple[int, dict]]]]]:
+        """Places at which a word of ``size`` letters may have a part whole, with the edits allowed and the tries by it."""
+        reach, found = edits(size + 1), {}
+        for n in range(size - reach, size + reach + 1):
+            allowed = min(reach, edits(n))
+            if abs(n - size) > allowed:
+                continue
+            for start, end, tries in self.parts.get(n, ()):
+                if start == 0:
+                    shifts = (0,)
                 elif end == n:
-                    table = self.tails.setdefault(n - start, {})
-                else:
-                    table = self.inner.setdefault((start, end - start), {})
-                table.setdefault(term[start:end], set()).add(n)
-
-    def plausible(self, word: str) -> bool:
-        """Whether the word has a part, about where it belongs, that a term of about its length would keep whole."""
-        size = len(word)
-        for n, table in self.heads.items():
-            if (lengths := table.get(word[:n])) and any(abs(m - size) <= edits(m) for m in lengths):
-                return True
-        for n, table in self.tails.items():
-            if (lengths := table.get(word[-n:])) and any(abs(m - size) <= edits(m) for m in lengths):
-                return True
-        if size >= 10:  # only longer terms have a part inside
-            for (start, n), table in self.inner.items():
-                for at in range(start - 2, start + 3):
-                    if (lengths := table.get(word[at : at + n])) and any(abs(m - size) <= edits(m) for m in lengths):
-                        return True
-        return False
+                    shifts = (size - n,)
+                else:  # one edit on either side; with two on one side the part on the other is whole
+                    shifts = (-1, 0, 1)
+                for by in shifts:
+                    own = found.setdefault((start + by, end + by), {})
+                    for part, trie in tries.items():
+                        own.setdefault(part, []).append((allowed, trie))
+        return [(*place, own) for place, own in found.items()]
 
     def nearest(self, word: str) -> tuple[str, int] | None:
         """The term at the smallest distance within its allowance, the heavier of equals, and that distance."""
         if word in self.weights:
             return word, 0
-        reach = edits(len(word) + 1)
-        if not reach or not self.plausible(word):
+        size = len(word)
+        if size > self.longest:
+            return None
+        if size not in self.looks:
+            self.looks[size] = self.look(size)
+        near = [pair for start, end, tries in self.looks[size] for pair in tries.get(word[start:end], ())]
+        if not near:
             return None
         # The automaton as bits: bit i of row e says that i letters of the word may be read with e edits.
-        size = len(word)
         places: dict[str, int] = {}
         for i, char in enumerate(word):
             places[char] = places.get(char, 0) | 1 << i
         full = (2 << size) - 1
         best: tuple[int, float, str] | None = None
-        stack = [(self.root, 1, 3, 7 if reach > 1 else 0)]
-        while stack:
-            node, zero, one, two = stack.pop()
-            for char, child in node.items():
-                if char == "":
-                    distance = 0 if zero >> size else 1 if one >> size else 2 if two >> size else 3
-                    if distance <= min(reach, edits(len(child))):
-                        best = min(best or (9, 0.0, ""), (distance, -self.weights[child], child))
-                    continue
-                here = places.get(char, 0)
-                zero_ = (zero & here) << 1
-                one_ = ((one & here) << 1 | zero | zero << 1 | zero_ << 1) & full
-                two_ = ((two & here) << 1 | one | one << 1 | one_ << 1) & full if reach > 1 else 0
-                if zero_ or one_ or two_:
-                    stack.append((child, zero_, one_, two_))
+        for allowed, trie in near:
+            stack = [(trie, 1, 3, 7 if allowed > 1 else 0)]
+            while stack:
+                node, zero, one, two = stack.pop()
+                for char, child in node.items():
+                    if char == "":
+                        distance = 0 if zero >> size else 1 if one >> size else 2 if two >> size else 3
+                        if distance <= allowed:
+                            best = min(best or (9, 0.0, ""), (distance, -self.weights[child], child))
+                        continue
+                    here = places.get(char, 0)
+                    zero_ = (zero & here) << 1
+                    one_ = ((one & here) << 1 | zero | zero << 1 | zero_ << 1) & full
+                    two_ = ((two & here) << 1 | one | one << 1 | one_ << 1) & full if allowed > 1 else 0
+                    if zero_ or one_ or two_:
+                        stack.append((child, zero_, one_, two_))
         return None if best is None else (best[2], best[0])
 
 
 def edits(length: int) -> int:
     """Edits allowed for a term of a length: short words change their sense too easily."""
-    return 0 if length < 5 else 1 if length < 12 else 2
+    return 0 if length < 5 else 1 if length < 10 else 2
 
 
 class Reader:
     """Reads evidence out of texts."""
 
     def __init__(self, weights: dict[str, float]) -> None:
-        trie = Trie(weights, MAX_FUZZY)
+        trie = Trie(weights)
 
         def weigh(word: str) -> float:
-            found = trie.nearest(word) if len(word) <= LONGEST_TERM else None
+            found = trie.nearest(word)
             return weights[found[0]] * 0.5 ** found[1] if found else 0.0
 
         self.words = Memo(weigh, 250_000)

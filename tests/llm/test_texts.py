@@ -144,6 +144,20 @@ def test_automaton_agrees_with_edit_distance():
         assert (found and found[1]) == (min(near) if near else None)
 
 
+def test_misspellings_of_every_term_are_found():
+    rng = random.Random(4)
+    terms = {"".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 14))): 5.0 - n / 1000 for n in range(500)}
+    reader = toxicity.Reader(terms)
+    for term, weight in terms.items():
+        at = rng.randrange(len(term))
+        assert reader.words[term[:at] + "z" + term[at + 1 :]] == weight * 0.5
+
+
+def test_two_edits_from_ten_letters():
+    reader = toxicity.Reader({"disgusting": 2.0})
+    assert reader.words["dizgusding"] == reader.words["disgstingx"] == 0.5
+
+
 def test_quotation_weakens_evidence():
     reader = toxicity.Reader({"idiot": 2.0})
     assert reader.evidence("you idiot") == 2.0
