@@ -84,14 +84,17 @@ def _empty_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     rows = [
         (str(status.getPath()), datetime.fromtimestamp(status.getModificationTime() / 1_000), 0, bytearray())
         for status in found
-        if status.isFile() and status.getLen() == 0
+        if status.getLen() == 0 and status.isFile()
     ]
     return spark.createDataFrame(rows, FILE_SCHEMA)
 
 
 def other_files(spark: SparkSession, folder: str, formats: Sequence[str] = LISTED_FORMATS) -> DataFrame:
-    """(path, filename) of a folder's files in other formats; their contents are not read."""
-    every = spark.read.format("binaryFile").load(folder).select("path", T.file_name("path").alias("filename"))
+    """(path, filename) of a folder's files in other formats, empty ones too; their contents are not read."""
+    filled = spark.read.format("binaryFile").load(folder).select("path")
+    # Like the source, without hidden files.
+    empty = _empty_files(spark, folder, "[^_.]*").select("path")
+    every = filled.unionByName(empty).withColumn("filename", T.file_name("path"))
     return every.filter(~T.file_extension("filename").isin(*[f.lower() for f in formats]))
 
 

@@ -153,3 +153,10 @@ def test_stage_cuts_lineage_and_can_be_partitioned(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "stage").glob("kind=*")) == ["kind=0", "kind=1"]
     again = stage(frame, "numbers")
     assert again.count() == 10 and "Range" not in again._jdf.queryExecution().toString()
+
+
+def test_empty_files_in_other_formats_are_listed(spark, tmp_path):
+    for name, content in (("a.txt", b"x"), ("b.txt", b""), ("c.odt", b""), ("d.odt", b"x"), ("_SUCCESS", b""), ("none", b"")):
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "folder.odt").mkdir()
+    assert sorted(r.filename for r in files.other_files(spark, str(tmp_path)).collect()) == ["c.odt", "d.odt", "none"]
