@@ -139,7 +139,9 @@ def distinct_content(documents: DataFrame, unique: str) -> DataFrame:
     once, are listed and taken away; documents without a copy, and all texts, stay where they are unless there are too
     many losers to broadcast.
     """
-    marked = documents.select(F.sha2("text", 256).alias("_digest"), F.length("text").alias("_length"), unique)
+    # A null text is a text like any other here: it has a digest of its own, so that its copies meet in the join.
+    digest, length = F.coalesce(F.sha2("text", 256), F.lit("")), F.coalesce(F.length("text"), F.lit(-1))
+    marked = documents.select(digest.alias("_digest"), length.alias("_length"), unique)
     copied = (
         marked.groupBy("_digest", "_length")
         .agg(F.min(unique).alias("_first"), F.count("*").alias("_n"))

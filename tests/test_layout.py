@@ -93,3 +93,8 @@ def test_the_latest_batch_counts(spark):
     new = spark.createDataFrame([("a", 2), ("a", 3)], "contract_id string, v int")
     assert sorted(tuple(r) for r in ingest.combine([old, new]).collect()) == [("a", 3), ("b", 1)]
     assert sorted(tuple(r) for r in ingest.combine([new, old]).collect()) == [("a", 1), ("b", 1)]
+
+
+def test_copies_of_null_text_are_dropped_too(spark):
+    texts = spark.createDataFrame([(4, None), (2, None), (3, ""), (1, "x"), (5, None)], "id int, text string")
+    assert sorted(r["id"] for r in ingest.distinct_content(texts, "id").collect()) == [1, 2, 3]
