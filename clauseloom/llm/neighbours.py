@@ -162,6 +162,13 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & some)
 
 
+def in_shards(rows: DataFrame, shards: int) -> DataFrame:
+    """The stored rows with the ``shard`` each is dealt to; the salt keeps a repeated vec_id from filling one."""
+    salt = F.monotonically_increasing_id() % 1_024
+    # Both sides need keys of one type: a cogroup hashes them as they are.
+    return rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", salt), F.lit(shards)).cast("int"))
+
+
 def nearest(
     embeddings: DataFrame, k: int = K, every: int = EVERY, projected: int = PROJECTED, confidence: float = CONFIDENCE,
     shard: int = SHARD, block: int = BLOCK,
@@ -169,28 +176,28 @@ def nearest(
     """(query_id, rank, vec_id, score): for every vec_id divisible by ``every`` its ``k`` nearest rows by cosine.
 
     Nearest first, ties to the smaller vec_id, fewer than ``k`` if there are fewer. A query's own row, and rows that
-    share its vec_id, are no candidates; other repeated rows are candidates each. Rows without vec_id, and null,
+    share its vec_id, are no candidates; other repeated rows are candidates each. Of repeated query rows the one with
+    the least vector asks. Rows without vec_id, and null,
     zero or non-finite vectors, take no part; vectors of different length are not compared. Other columns are ignored.
 
-    Vectors are dealt by a hash of the id into shards of about ``shard``, queries into blocks of about ``block``, and
+    Vectors are dealt by a hash of the id and a salt into shards of about ``shard``, queries into blocks of about ``block``, and
     each shard meets each block in one task of bounded size, whatever the number of rows: equal vectors spread over
     all shards. Only the k best per query and shard go on.
     """
     rows = stage(usable(embeddings), "vectors")
-    queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     counts = rows.agg(F.count("*"), F.sum((F.col("vec_id") % every == 0).cast("long"))).first()
     shards, blocks = max(1, -(-counts[0] // shard)), max(1, -(-(counts[1] or 0) // block))
 
-    def dealt(frame: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        """Each row to one part of its own kind, and a copy for every part of the other kind."""
-        # Both sides need keys of one type: a cogroup hashes them as they are.
-        part = F.pmod(F.xxhash64("vec_id"), F.lit(n_own)).cast("int").alias(own)
+    def dealt(frame: DataFrame, own: str, other: str, n_other: int) -> DataFrame:
+        """Each row in one part of its own kind, and a copy for every part of the other kind."""
         copies = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
-        return frame.select("vec_id", "embedding", F.size("embedding").alias("width"), part, copies)
+        return frame.select("vec_id", "embedding", F.size("embedding").alias("width"), own, copies)
 
     keys = ("width", "shard", "block")
-    left = dealt(rows, "shard", shards, "block", blocks)
-    right = dealt(queries, "block", blocks, "shard", shards).withColumnRenamed("vec_id", "query_id")
+    left = dealt(in_shards(rows, shards), "shard", "block", blocks)
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    right = dealt(asked, "block", "shard", shards).withColumnRenamed("vec_id", "query_id")
     found = left.groupBy(*keys).cogroup(right.select("query_id", "embedding", *keys).groupBy(*keys)).applyInArrow(
         _search(k, projected, confidence), "query_id long, vec_id long, score double"
     )

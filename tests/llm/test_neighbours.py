@@ -83,3 +83,17 @@ def test_tree_bounds_hold():
     for node, (start, end) in enumerate(tree.span):
         gaps = ((points[tree.order[start:end]] - query) ** 2).sum(axis=1)
         assert tree.distances(query)[node] <= gaps.min() + 1e-12
+
+
+def test_a_repeated_id_is_spread_over_shards(spark):
+    rows = spark.range(3_000).selectExpr("IF(id < 1000, 7, id) AS vec_id", "array(1.0D, id) AS embedding")
+    sizes = [r["count"] for r in neighbours.in_shards(rows, 10).groupBy("shard").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 450
+
+
+def test_the_least_vector_of_a_repeated_query_asks(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])]
+    for given in (rows, rows[::-1]):
+        table = spark.createDataFrame(given, "vec_id long, embedding array<double>").coalesce(1)
+        found = neighbours.nearest(table).collect()
+        assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == [2, 1]
