@@ -10,6 +10,8 @@ from clauseloom.llm import (
     byte_bpe,
     chat_format,
     exact_dedup,
+    merkle,
+    minhash,
     neighbours,
     packing,
     secrets,
@@ -18,6 +20,7 @@ from clauseloom.llm import (
     token_counts,
     toxicity,
     url_filter,
+    whitening,
 )
 from clauseloom.llm.common import table
 
@@ -84,11 +87,26 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of every document by the share of shingles that texts have in common."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document, and whether the document as it is now still leads to the root."""
+    return merkle.proofs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_chat_format, op3_exact_dedup, op4_packing, op5_secrets, op6_url_filter, op7_toxicity,
-        op8_byte_bpe, op9_simhash, op10_neighbours,
+        op8_byte_bpe, op9_simhash, op10_neighbours, op11_minhash, op12_whitening, op13_merkle,
     )
 }
 ORACLES = {
@@ -96,5 +114,7 @@ ORACLES = {
         chat_format.START, chat_format.TEXT, chat_format.NEXT, chat_format.END, chat_format.CONTROLS
     ),
     "op3_exact_dedup": sql.EXACT_DEDUP,
+    "op11_minhash": sql.near_sets_sql(minhash.SHINGLE, minhash.PERCENT),
+    "op13_merkle": sql.MERKLE,
     "op5_secrets": sql.secrets_sql(secrets.RULES, len(secrets.BASE)),
 }

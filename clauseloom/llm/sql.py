@@ -62,3 +62,78 @@ SELECT conv_id, count(*) AS n_turns,
     ELSE length(role) + {extra('role')} + {len(start) + len(text) + len(end) + 1} END) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+
+def near_sets_sql(shingle: int, percent: int) -> str:
+    """Every two documents that share a shingle, their whole sets compared; groups by following links."""
+    words = " || ' ' || ".join(f"ws[i + {k}]" for k in range(shingle))
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex({lower}, '[\\x20\\x09-\\x0D]+'), lambda s: s <> '') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {shingle} THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - {shingle - 2}), lambda i: {words})) END AS items FROM w
+), sh AS (SELECT doc_id, len(items) AS n, unnest(items) AS s FROM sets),
+link AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, v FROM reach JOIN link ON link.u = reach.r
+), least AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, len(items) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM sets s JOIN least l ON l.doc_id = s.doc_id
+"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_CRC32 = """xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda d, i: xor(d >> 1, 3988292384 * (d & 1)))))"""
+
+# One tree per source and one (number -1) over them, level by level; then every leaf climbs with its siblings.
+MERKLE = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, {_leaf("text")} AS leaf, {_leaf("CASE WHEN even THEN replace(text, chr(10), '') ELSE text END")} AS given
+  FROM (SELECT *, coalesce({_CRC32} % 2 = 0, false) AS even FROM documents)
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, given) - 1 AS place,
+    count(*) OVER (PARTITION BY source) AS size FROM leaves
+), up AS (
+  SELECT tree, 0 AS level, place, size, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, level + 1, place // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM up WHERE size > 1
+  GROUP BY tree, level, place // 3, size
+), over_up AS (
+  SELECT -1 AS tree, 0 AS level, tree AS place, count(*) OVER () AS size, digest FROM up WHERE size = 1
+  UNION ALL
+  SELECT tree, level + 1, place // 3, (size + 2) // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM over_up WHERE size > 1
+  GROUP BY tree, level, place // 3, size
+), every AS (SELECT * FROM up UNION ALL SELECT * FROM over_up),
+sides AS (
+  SELECT tree, level, place, size, digest,
+    coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM every WINDOW run AS (PARTITION BY tree, level, place // 3 ORDER BY place)
+), climb AS (
+  SELECT row_number() OVER () AS r, doc_id, leaf, tree AS home, tree, 0 AS level, place, '' AS proof, given AS now FROM placed
+  UNION ALL
+  SELECT r, doc_id, leaf, home, CASE WHEN s.size > 1 THEN c.tree ELSE -1 END, CASE WHEN s.size > 1 THEN c.level + 1 ELSE 0 END,
+    CASE WHEN s.size > 1 THEN c.place // 3 ELSE c.tree END,
+    CASE WHEN s.size > 1 THEN proof || before || after ELSE proof END,
+    CASE WHEN s.size > 1 THEN sha256(before || now || after) ELSE now END
+  FROM climb c JOIN sides s ON s.tree = c.tree AND s.level = c.level AND s.place = c.place
+  WHERE s.size > 1 OR c.tree >= 0
+), ends AS (SELECT c.* FROM climb c JOIN sides s ON s.tree = c.tree AND s.level = c.level AND s.place = c.place WHERE c.tree = -1 AND s.size = 1)
+SELECT e.doc_id, e.leaf, u.digest AS subroot, o.digest AS root, sha256(proof) AS proof_sha256, now AS folded_root,
+  now = o.digest AS verified
+FROM ends e JOIN up u ON u.tree = e.home AND u.size = 1, (SELECT digest FROM over_up WHERE size = 1) o
+"""
