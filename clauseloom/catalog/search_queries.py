@@ -9,7 +9,8 @@ from clauseloom.catalog import ctes as C
 from clauseloom.catalog import fixture
 from clauseloom.catalog.registry import query
 from clauseloom.functions.vectors import inner_product
-from clauseloom.operators import dense, display, sparse
+from clauseloom.operators import dense, display, inverted, sparse
+from clauseloom.sources.stages import stage
 from clauseloom.taxonomy import CLAUSE_TYPES
 
 
@@ -33,7 +34,7 @@ def _shown(hits):
 
 
 def _sample_hits(spark, items, k=5):
-    return sparse.search(fixture.sample_queries(spark), items, k)
+    return inverted.search(fixture.sample_queries(spark), items, k)
 
 
 @query(
@@ -126,7 +127,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     asked = spark.createDataFrame([(c.name, c.exemplar) for c in CLAUSE_TYPES], "query_id string, text string")
-    hits = sparse.above(sparse.search(asked, fixture.stored_items(spark, sf_dir), 20), 0.5)
+    hits = sparse.above(inverted.search(asked, fixture.stored_items(spark, sf_dir), 20), 0.5)
     return _shown(hits)
 
 
@@ -191,6 +192,54 @@ def _(spark, sf_dir):
     return dense.recall(dense.nearest(asked, index, 5), found)
 
 
+def _stored_cells(spark, sf_dir):
+    """(index, celled, centres): the vectors stored by cell, around the label means."""
+    index, centres = _index(spark, sf_dir), _label_centres(spark, sf_dir)
+    return index, stage(dense.assign_to_centres(index, centres), "cells", "cell"), centres
+
+
+def _fiftieth(index):
+    return index.filter(F.col("item_id") % 50 == 0).withColumnRenamed("item_id", "query_id")
+
+
+@query(
+    "nearest_by_bound",
+    C.sql(
+        "SELECT query_id, rank, item_id, round(score, 6) AS score FROM exact_hits WHERE rank <= 5 AND query_id % 50 = 0",
+        "exact_hits",
+    ),
+)
+def _(spark, sf_dir):
+    index, celled, centres = _stored_cells(spark, sf_dir)
+    return _shown(dense.nearest_by_bound(_fiftieth(index), celled, centres, 5)[0])
+
+
+@query(
+    "bound_recall",
+    C.sql(
+        """SELECT query_id, count(*) AS hits, count(*) AS found, 1.0::DOUBLE AS recall FROM exact_hits
+        WHERE rank <= 5 AND query_id % 50 = 0 GROUP BY query_id""",
+        "exact_hits",
+    ),
+)
+def _(spark, sf_dir):
+    index, celled, centres = _stored_cells(spark, sf_dir)
+    asked = _fiftieth(index)
+    return dense.recall(dense.nearest(asked, index, 5), dense.nearest_by_bound(asked, celled, centres, 5)[0])
+
+
+@query(
+    "nearest_in_groups",
+    C.sql(
+        "SELECT query_id, rank, item_id, round(score, 6) AS score FROM exact_hits WHERE rank <= 5", "exact_hits"
+    ),
+)
+def _(spark, sf_dir):
+    # A bound that any number of queries passes: they meet the vectors in groups.
+    index = _index(spark, sf_dir)
+    return _shown(dense.nearest(_vector_queries(index), index, 5, max_bytes=0))
+
+
 @query(
     "uncached_texts",
     C.sql(
@@ -248,7 +297,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     asked = fixture.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    hits = sparse.search(asked, fixture.stored_items(spark, sf_dir), 5)
+    hits = inverted.search(asked, fixture.stored_items(spark, sf_dir), 5)
     return _shown(hits)
 
 

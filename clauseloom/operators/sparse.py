@@ -27,7 +27,8 @@ def term_weights(items: DataFrame, text: str = "clause") -> DataFrame:
     return document_frequency(items, text).withColumn("idf", inverse_frequency(F.col("df"), total))
 
 
-def _term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
+def term_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, n): how often each row's text has each term."""
     return rows.select(key, F.explode(T.terms(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
@@ -38,14 +39,14 @@ def _unit(weighted: DataFrame, key: str) -> DataFrame:
 
 def postings(items: DataFrame, weights: DataFrame, key: str = "item_id", text: str = "clause") -> DataFrame:
     """(item_id, term, weight): tf-idf weights scaled to unit length per item. This table is the index."""
-    counted = _term_counts(items, key, text)
+    counted = term_counts(items, key, text)
     weighted = lookup_join(counted, weights, "term", "df").withColumn("w", F.col("n") * F.col("idf"))
     return _unit(weighted, key)
 
 
 def query_postings(queries: DataFrame, weights: DataFrame, total: Column) -> DataFrame:
     """(query_id, term, weight) of query texts; terms the index has never seen count as the rarest."""
-    counted = _term_counts(queries, "query_id", "text")
+    counted = term_counts(queries, "query_id", "text")
     unseen = inverse_frequency(F.lit(0.0), total)
     weighted = lookup_join(counted, weights, "term", "df", how="left").withColumn(
         "w", F.col("n") * F.coalesce("idf", unseen)

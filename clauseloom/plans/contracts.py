@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.operators import clauses, dense, ingest, prompts, sparse, summary, validate
+from clauseloom.operators import clauses, dense, ingest, inverted, prompts, sparse, summary, validate
 from clauseloom.options import Options
 from clauseloom.sources import files as file_source
 from clauseloom.sources import results as result_sink
@@ -27,6 +27,7 @@ class Run:
     items: DataFrame | None = None
     term_weights: DataFrame | None = None
     postings: DataFrame | None = None
+    index: inverted.TermIndex | None = None
     vectors: DataFrame | None = None
     violations: DataFrame | None = None
 
@@ -157,11 +158,12 @@ def run(
     if output.json_path:
         result_sink.write_json(rows, output.json_path, output.include_full_text, output.include_metadata)
 
-    items = weights = postings = vectors = None
+    items = weights = postings = index = vectors = None
     if options.search.enabled:
         items = clauses.indexable(long).withColumn("item_id", F.concat_ws(":", "contract_id", "clause_type"))
         weights = store(sparse.term_weights(items), "term-weights")
-        postings = store(sparse.item_vectors(sparse.postings(items, weights)), "postings")
+        index = inverted.build(items, weights, store=store)
+        postings = index.vectors
         if embedder is not None:
             vectors = _embed(items, embedder, vector_cache, options, store)
     rules = validate.result_rules(longest_text=options.ingest.max_text_length)
@@ -174,6 +176,7 @@ def run(
         items=items,
         term_weights=weights,
         postings=postings,
+        index=index,
         vectors=vectors,
         violations=validate.violations(rows, rules, "contract_id") if options.validate else None,
     )
@@ -193,7 +196,7 @@ def search(
     if options.search.max_results is not None:
         k = min(k, options.search.max_results)
     if embedder is None:
-        hits = sparse.search(queries, finished.items, k, finished.postings, finished.term_weights)
+        hits = inverted.search(queries, finished.items, k, finished.index)
     else:
         asked = dense.unit_vectors(dense.embed(queries, embedder, "query_id", "text"), "query_id", "vector")
         digests = finished.items.select("item_id", F.sha2("clause", 256).alias("digest"))

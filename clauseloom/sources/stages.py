@@ -23,7 +23,7 @@ def save_stage(df: DataFrame, path: str, partition_by: str | None = None) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Store a table that several steps read in the shared checkpoint folder, and go on from the stored copy.
 
     This cuts the lineage: work after a lost executor restarts from files, and the regex work is done once. Readers
@@ -34,7 +34,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     if not _made:
         atexit.register(_release_at_exit)
     _made.append(folder)
-    return save_stage(df, folder)
+    return save_stage(df, folder, partition_by)
 
 
 def release(spark: SparkSession) -> int:

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseloom.functions.vectors import inner_product, l2_normalize
-from clauseloom.operators import dense, sparse
+from clauseloom.operators import dense, inverted, sparse
+from clauseloom.sources.stages import stage
 
 
 def vectors(spark, matrix, name="item_id", ids=None):
@@ -164,3 +165,74 @@ def test_caps_and_thresholds(spark):
     assert sparse.cap_results(hits, 20, 5).count() == 5
     assert sparse.cap_results(hits, 3, 5).count() == 3
     assert sparse.above(hits, 0.5).count() == 5
+
+
+@pytest.fixture(scope="module")
+def many_items(spark):
+    docs = [f"the party {'shall' if i % 3 else 'may'} end item{i} notice {'the ' * (i % 4)} rare{i % 50}" for i in range(600)]
+    rows = [(f"d{i:03d}", d) for i, d in enumerate(docs)]
+    return docs, spark.createDataFrame(rows, "item_id string, clause string")
+
+
+def test_index_search_equals_scoring_every_item_and_opens_few_blocks(spark, many_items):
+    docs, items = many_items
+    queries = ["the party shall end", "item7 unseenword notice", "nothing matches", "rare7 rare8 the the", "item3", "may rare1"]
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id int, text string")
+    index = inverted.build(items, block=8, buckets=16)
+    hits, opened = inverted.look_up(asked, index, 4)
+    want = sparse.search(asked, items, 4)
+    assert {tuple(r) for r in hits.collect()} == {tuple(r) for r in want.collect()}
+    # All blocks of the query's terms, against those opened.
+    mine = sparse.term_counts(asked, "query_id", "text").join(index.terms, "term")
+    every = {r["query_id"]: r["n"] for r in mine.groupBy("query_id").agg(F.sum("blocks").alias("n")).collect()}
+    used = {r["query_id"]: r["count"] for r in opened.groupBy("query_id").count().collect()}
+    assert opened.distinct().count() == opened.count()
+    assert used[4] == 1 and every[3] > 75 and used[3] < 10 and used[1] < every[1] / 4
+    assert all(used[q] <= every[q] for q in used)
+
+
+def test_index_reads_only_the_buckets_asked_for(spark, many_items):
+    _, items = many_items
+    index = inverted.build(items, block=8, buckets=16)
+    wanted = spark.createDataFrame([("item3",)], "term string")
+    read = inverted._only(index.blocks, wanted, "term", index.buckets)
+    assert "PartitionFilters: [isnotnull(bucket" in read._jdf.queryExecution().toString().replace("[bucket", "[isnotnull(bucket")
+    assert read.select("bucket").distinct().count() == 1 < index.blocks.select("bucket").distinct().count()
+    assert read.filter("term = 'item3'").count() == 1
+    # Postings fall within a term, and blocks hold no more than asked for.
+    for r in index.blocks.collect():
+        assert 0 < len(r["items"]) <= 8
+
+
+def test_plans_do_not_grow_with_queries(spark, many_items):
+    _, items = many_items
+    index = inverted.build(items, buckets=1)
+    plans = []
+    for n in (2, 2_000):
+        asked = spark.range(n).select(F.col("id").alias("query_id"), F.concat(F.lit("the party item"), "id").alias("text"))
+        plans.append(inverted.search(asked, items, 2, index)._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+    assert plans[0] == plans[1]
+    many = spark.range(300).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.rand(3)).alias("vector"))
+    vecs = spark.range(500).select(F.col("id").alias("item_id"), F.array(F.rand(5), F.lit(0.5)).alias("vector"))
+    vecs, many = stage(vecs, "vectors"), stage(many, "queries")
+    grouped = dense.nearest(many, vecs, 3, max_bytes=0)
+    assert grouped._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+    assert {tuple(r) for r in grouped.collect()} == {tuple(r) for r in dense.nearest(many, vecs, 3).collect()}
+
+
+def test_bounded_cells_give_the_exact_result_and_leave_cells_closed(spark):
+    rng = np.random.default_rng(4)
+    heads = rng.normal(size=(12, 6)) * 5
+    items = np.concatenate([h + rng.normal(size=(60, 6)) * 0.3 for h in heads] + [np.zeros((2, 6))])
+    queries = np.concatenate([items[::90] + 0.01, rng.normal(size=(3, 6)), np.zeros((1, 6))])
+    q, x = vectors(spark, queries, "query_id"), vectors(spark, items)
+    celled = stage(dense.assign_to_centres(x, heads), "cells", "cell")
+    hits, looks = dense.nearest_by_bound(q, celled, heads, 5, probes=1)
+    assert rounded(hits) == brute(queries, items, 5)
+    assert looks.distinct().count() == looks.count()
+    # Queries beside an item need few of the twelve cells.
+    assert looks.filter(F.col("query_id") < 8).count() < 8 * 6
+    more, _ = dense.nearest_by_bound(q, celled, heads, 1_000, probes=1)
+    assert more.groupBy("query_id").count().filter(F.col("count") == len(items)).count() == len(queries)
+    none, _ = dense.nearest_by_bound(q.filter("query_id < 0"), celled, heads)
+    assert none.count() == 0
