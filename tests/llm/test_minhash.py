@@ -136,12 +136,27 @@ def test_collision_correction_and_estimate():
 
 
 def test_bands_lose_no_pair_at_the_threshold():
-    rng = np.random.default_rng(4)
+    rng, orders = np.random.default_rng(4), minhash._orders()
     for n in (7, 20, 100, 1_000):
         apart = int(0.15 * n)
         for _ in range(300):
             both = rng.integers(0, 1 << 63, n - apart, dtype=np.uint64) * np.uint64(2)
             sets = [np.unique(np.concatenate([both, rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)]))
                     for size in (apart // 2, apart - apart // 2)]
-            one, two = (minhash.registers(s).view("<i8") for s in sets)
-            assert ((one == two) & (one != 0)).any()
+            one, two = (minhash.filled_up(minhash.registers(s), orders).view("<i8") for s in sets)
+            assert (one == two).any()
+
+
+def test_borrowed_registers_agree_as_often_as_sets_do():
+    rng, orders = np.random.default_rng(6), minhash._orders()
+    hits = []
+    for _ in range(400):
+        both = rng.integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2)
+        one, two = (
+            minhash.filled_up(minhash.registers(np.unique(np.append(both, rng.integers(0, 1 << 63, 4, dtype=np.uint64) * np.uint64(2)))), orders)
+            for _ in range(2)
+        )
+        assert one.all() and two.all()
+        hits.append((one == two).mean())
+    assert np.mean(hits) == pytest.approx(8 / 16, abs=0.03)
+    assert not minhash.filled_up(minhash.registers(np.empty(0, np.uint64)), orders).any()
