@@ -165,15 +165,15 @@ class WordCounts(Memo):
 class ChunkMap:
     """What a chunk of text does to the state before it.
 
-    A space that follows another character always leads to one and the same state. So ``head``, the text up to the
-    first such space, is all that depends on the state before; from there the chunk emits ``rest`` tokens and ends in
-    ``end``. A chunk without such a space is all head, and ``end`` is None. Maps compose, and composition is
-    associative.
+    A space that follows another character always leads to one and the same state. So ``head``, the pieces of text up
+    to the first such space, is all that depends on the state before; from there the chunk emits ``rest`` tokens and
+    ends in ``end``. A chunk without such a space is all head, and ``end`` is None. Maps compose, and composition is
+    associative; it lists pieces and does not copy text.
     """
 
     __slots__ = ("head", "rest", "end")
 
-    def __init__(self, head: str, rest: int, end: State | None) -> None:
+    def __init__(self, head: tuple[str, ...], rest: int, end: State | None) -> None:
         self.head, self.rest, self.end = head, rest, end
 
     @classmethod
@@ -182,7 +182,7 @@ class ChunkMap:
         lead = len(chunk) - len(chunk.lstrip(" "))
         cut = chunk.find(" ", lead + 1) if lead < len(chunk) else -1
         if cut < 0:
-            return cls(chunk, 0, None)
+            return cls((chunk,), 0, None)
         # The head's last character is the space: after it the state is the one that every text begins in.
         *full, last = chunk[cut + 1 :].split(" ")
         if "" in full:
@@ -191,47 +191,76 @@ class ChunkMap:
             rest = sum(map(words.__getitem__, full)) + len(full)
             state, tokens = machine.run(machine.start, last)
             rest += tokens
-        return cls(chunk[: cut + 1], rest, state)
+        return cls((chunk[: cut + 1],), rest, state)
 
     def then(self, after: ChunkMap, machine: Transducer) -> ChunkMap:
         """The map of this chunk followed by another."""
         if self.end is None:
             return ChunkMap(self.head + after.head, after.rest, after.end)
-        state, tokens = machine.run(self.end, after.head)
+        state, tokens = self.read(self.end, after.head, machine)
         return ChunkMap(self.head, self.rest + tokens + after.rest, state if after.end is None else after.end)
 
     def apply(self, state: State, machine: Transducer) -> tuple[State, int]:
-        after, tokens = machine.run(state, self.head)
+        after, tokens = self.read(state, self.head, machine)
         return (after if self.end is None else self.end), tokens + self.rest
 
+    @staticmethod
+    def read(state: State, pieces: tuple[str, ...], machine: Transducer) -> tuple[State, int]:
+        total = 0
+        for piece in pieces:
+            state, tokens = machine.run(state, piece)
+            total += tokens
+        return state, total
+
+
+def compose(maps: list[ChunkMap], machine: Transducer) -> list[list[ChunkMap]]:
+    """The maps, those of neighbouring pairs, of pairs of pairs, … up to one map of everything.
+
+    The compositions of a level do not depend on one another. A head is read once its left neighbour has an end, and
+    is then gone: all levels together read the text once.
+    """
+    levels = [maps]
+    while len(levels[-1]) > 1:
+        below = levels[-1]
+        pairs = [a.then(b, machine) for a, b in zip(below[::2], below[1::2])]
+        levels.append(pairs + below[len(pairs) * 2 :])
+    return levels
 
-def prefix_scan(maps: list[ChunkMap], machine: Transducer) -> list[ChunkMap]:
-    """The composition of the first 1, 2, 3, … maps, in a logarithmic number of rounds.
 
-    In each round every map is composed with the one that lies twice as far before it as in the round before; the
-    compositions of a round do not depend on one another.
+def states_before(levels: list[list[ChunkMap]], machine: Transducer) -> list[tuple[State, int]]:
+    """The way down of the scan: (state, tokens) before each chunk, from the composed maps of all that lies before.
+
+    A level applies the left map of each pair, so it reads the text at most once; there are logarithmically many.
     """
-    done, reach = list(maps), 1
-    while reach < len(done):
-        done = done[:reach] + [done[i - reach].then(done[i], machine) for i in range(reach, len(done))]
-        reach *= 2
-    return done
+    before = [(machine.start, 0)]
+    for below in reversed(levels[:-1]):
+        spread = []
+        for (state, tokens), left in zip(before, below[::2]):
+            after, more = left.apply(state, machine)
+            spread += [(state, tokens), (after, tokens + more)]
+        before = spread[: len(below)]
+    return before
+
+
+def _maps(text: str, words: WordCounts, size: int) -> list[ChunkMap]:
+    text = text.replace(SPACE, " ")
+    return [ChunkMap.of(text[i : i + size], words) for i in range(0, len(text), size)]
 
 
 def chunk_ends(text: str, words: WordCounts, size: int = CHUNK) -> list[int]:
     """Number of tokens up to the end of each chunk of ``size`` characters; empty for an empty text."""
-    if not text:
-        return []
-    machine = words.machine
-    text = text.replace(SPACE, " ")
-    maps = [ChunkMap.of(text[i : i + size], words) for i in range(0, len(text), size)]
+    maps, machine = _maps(text, words, size), words.machine
+    before = states_before(compose(maps, machine), machine) if maps else []
     # 1 for the space that the library puts in front.
-    return [1 + m.apply(machine.start, machine)[1] for m in prefix_scan(maps, machine)]
+    return [1 + tokens + m.apply(state, machine)[1] for (state, tokens), m in zip(before, maps)]
 
 
 def count_tokens(text: str, words: WordCounts, size: int = CHUNK) -> int:
-    ends = chunk_ends(text, words, size)
-    return ends[-1] if ends else 0
+    """Tokens of a text: the composition of all chunk maps, applied to the state that a text begins in."""
+    if not text:
+        return 0
+    machine = words.machine
+    return 1 + compose(_maps(text, words, size), machine)[-1][0].apply(machine.start, machine)[1]
 
 
 def read_scores(path: str) -> dict[str, float]:

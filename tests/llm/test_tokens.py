@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -66,7 +67,24 @@ def test_chunk_maps_compose_in_any_order():
         right = m.then(right, machine)
     for state in (machine.start, machine.empty):
         assert left.apply(state, machine) == right.apply(state, machine)
-        assert token_counts.prefix_scan(maps, machine)[-1].apply(state, machine) == left.apply(state, machine)
+        assert token_counts.compose(maps, machine)[-1][0].apply(state, machine) == left.apply(state, machine)
+    # The scan gives the state and the tokens before every chunk.
+    state, tokens = machine.start, 0
+    for found, m in zip(token_counts.states_before(token_counts.compose(maps, machine), machine), maps):
+        assert found == (state, tokens)
+        state, more = m.apply(state, machine)
+        tokens += more
+
+
+def test_long_texts_without_spaces_are_read_once(library):
+    words, rng = token_counts.compiled(PIECES), random.Random(4)
+    signs = "".join(rng.choice("日本語のテキストabcdefXYZ0123456789+/") for _ in range(100_000))
+    for text in (signs * 20, "a few words, then " + signs * 20):
+        start = time.perf_counter()
+        ends = token_counts.chunk_ends(text, words)
+        assert token_counts.count_tokens(text, words) == ends[-1] and time.perf_counter() - start < 30
+    part = text[:40_000]
+    assert token_counts.chunk_ends(part, words, 1_000)[-1] == len(library[0].encode(part))
 
 
 def test_states_can_be_forgotten(library, monkeypatch):
