@@ -17,8 +17,6 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-# Segments beyond the last level are judged as one.
-LEVELS = 8
 # A node with more different branches than this, most of them rare, holds a variable segment.
 MANY, RARE = 20, 2
 SIMILAR_Z = 1.96
@@ -110,7 +108,8 @@ def templates(pages: DataFrame) -> DataFrame:
         ),
         "url-shapes",
     )
-    total = shapes.agg(F.sum("labelled"), F.sum("blocked"), F.max(F.size(F.split("shape", "/")))).first()
+    parts = F.filter(F.split("shape", "/"), lambda s: s != "")
+    total = shapes.agg(F.sum("labelled"), F.sum("blocked"), F.max(F.size(parts))).first()
     base = ((total[1] or 0) + 0.25 * SMOOTHING) / ((total[0] or 0) + SMOOTHING)
 
     def smoothed(rows: DataFrame, parent: Column) -> DataFrame:
@@ -118,11 +117,9 @@ def templates(pages: DataFrame) -> DataFrame:
         share = (F.col("b") + SMOOTHING * parent) / (F.col("l") + SMOOTHING)
         return rows.join(sums, ["host", "prefix"]).withColumn("purity", share).drop("l", "b")
 
-    # The first part of a split path is empty.
-    parts = F.filter(F.split("shape", "/", LEVELS), lambda s: s != "")
     now = shapes.withColumn("parts", parts).withColumn("prefix", F.lit("")).withColumn("purity", F.lit(base))
     now = stage(smoothed(now, F.col("purity")), "url-level")
-    for level in range(min(LEVELS, total[2] or 0)):
+    for level in range(total[2] or 0):
         deeper = now.filter(F.size("parts") > level).withColumn("segment", F.get("parts", F.lit(level)))
         named = deeper.join(_merge_similar(deeper), ["host", "prefix", "segment"]).withColumn(
             "prefix", F.concat("prefix", F.lit("/"), "name")

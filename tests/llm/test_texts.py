@@ -243,7 +243,7 @@ def _verdicts(pages):
             if (host == h or host.endswith("." + h)) and path.startswith(p)
         ]
         generalised = [re.sub("[0-9]+", "#", re.sub("[0-9a-f]{8,}(-[0-9a-f]{4,})*", "#", s)) for s in path.split("/")]
-        parts = [s for s in "/".join(generalised).split("/", url_filter.LEVELS - 1) if s]
+        parts = [s for s in "/".join(generalised).split("/") if s]
         rows.append([page_id, host, parts, max(fitting)[1] if fitting else None])
     smoothing = url_filter.SMOOTHING
     ruled = [r for r in rows if r[3]]
