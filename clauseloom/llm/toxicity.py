@@ -17,10 +17,8 @@ from clauseloom.llm.common import Memo, once_per_worker, require_columns, stage,
 WORD = re.compile(r"[^\W\d_]+")
 JAVA_WORD = r"\p{L}+"
 HELD_OUT, FOLDS, CUT = 2, 4, 0.3
-# Bounds of what is fitted: labelled documents (chosen by a hash of their id) and terms of the lexicon.
+# Bound of what is fitted: labelled documents, chosen by a hash of their id. It bounds the terms as well.
 MAX_LABELLED = 40_000
-MAX_TERMS = 5_000
-LONGEST_TERM = 40
 WINDOW = 60
 QUOTED = 0.3
 SHORT = 100
@@ -202,7 +200,7 @@ def _labelled(documents: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
-def learn_terms(labelled: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
+def learn_terms(labelled: DataFrame) -> dict[str, float]:
     """Terms that are more frequent in toxic documents than chance over all words explains, with log-odds weights.
 
     A term's log-likelihood ratio has to exceed the logarithm of the number of words tried, so that with any size of
@@ -213,7 +211,7 @@ def learn_terms(labelled: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, fl
     if not 0 < toxic < rows:
         return {}
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(JAVA_WORD), F.lit(0)))
-    some = F.filter(words, lambda w: F.length(w).between(3, LONGEST_TERM))
+    some = F.filter(words, lambda w: F.length(w) >= 3)
     counts = stage(
         labelled.select("toxic", F.explode(some).alias("word"))
         .groupBy("word")
@@ -231,7 +229,6 @@ def learn_terms(labelled: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, fl
         .filter(ratio > math.log(max(2, tried)))
         .select("word", F.least(weight, F.lit(5.0)).alias("weight"), ratio.alias("ratio"))
         .orderBy(F.desc("ratio"), "word")
-        .limit(max_terms)
     )
     return {r["word"]: float(r["weight"]) for r in found.collect() if r["weight"] > 0}
 
@@ -257,10 +254,10 @@ def fit_curve(counts: list[tuple[int, int, int]]) -> list[tuple[float, float]]:
     return [((p[2] + p[3]) / 2, share(p)) for p in pools] or [(0.0, PRIOR_RATE)]
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Lexicon:
+def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Lexicon:
     """Learn terms and the score curve from labelled rows that are not held out; only words of texts are inputs."""
     labelled = _labelled(documents, labels, max_labelled)
-    weights = learn_terms(labelled, max_terms)
+    weights = learn_terms(labelled)
     read = labelled.select("toxic", evidence("text", weights).alias("strength"))
     bins = read.groupBy(_bin(F.col("strength")).alias("bin")).agg(F.count("*"), F.sum("toxic")).collect()
     return Lexicon(weights, fit_curve([tuple(r) for r in bins]))
