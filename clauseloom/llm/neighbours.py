@@ -86,15 +86,18 @@ class KdTree:
 class Shard:
     """An index over some vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projected: int = PROJECTED, seed: int = SEED) -> None:
+    def __init__(
+        self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, projected: int = PROJECTED, seed: int = SEED
+    ) -> None:
         self.matrix = projection(vectors.shape[1], projected, seed)
         lengths = np.sqrt((vectors * vectors).sum(axis=1))
         points = (vectors / lengths[:, None]) @ self.matrix
         self.tree = KdTree(points)
         order = self.tree.order
-        self.ids, self.vectors, self.lengths, self.points = ids[order], vectors[order], lengths[order], points[order]
+        self.ids, self.rows = ids[order], rows[order]
+        self.vectors, self.lengths, self.points = vectors[order], lengths[order], points[order]
 
-    def nearest(self, query_id: int, query: np.ndarray, k: int, quantile: float) -> list[tuple[float, int]]:
+    def nearest(self, own_row: int, query: np.ndarray, k: int, quantile: float) -> list[tuple[float, int]]:
         """(score, vec_id) of the ``k`` nearest found, best first; equal scores by smaller id.
 
         Tree nodes are opened in the order of their projected distance. All vectors not yet seen are projected at
@@ -120,7 +123,7 @@ class Shard:
             near = np.flatnonzero((gap * gap).sum(axis=1) <= bound) + start
             scores = (self.vectors[near] * query).sum(axis=1) / (self.lengths[near] * length)
             ids = self.ids[near]
-            useful = ids != query_id
+            useful = self.rows[near] != own_row
             if len(best) == k:
                 useful &= scores >= best[0][0]
             for score, vec_id in zip(scores[useful].tolist(), (-ids[useful]).tolist()):
@@ -136,17 +139,20 @@ class Shard:
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = pa.chunked_array(column.chunks, column.type).combine_chunks().flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    rows = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    # By a power of two, so exactly: squares of very small or large entries then stay within range, and cosines the same.
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, initial=0.0))[1][:, None])
 
 
 def _search(k: int, projected: int, confidence: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
         if vectors.num_rows and queries.num_rows:
-            shard = Shard(vectors["vec_id"].to_numpy(), _matrix(vectors["embedding"]), projected)
+            shard = Shard(vectors["vec_id"].to_numpy(), vectors["row"].to_numpy(), _matrix(vectors["embedding"]), projected)
             quantile = chi_square_quantile(confidence, projected)
-            for query_id, query in zip(queries["query_id"].to_pylist(), _matrix(queries["embedding"])):
-                out += [(query_id, i, s) for s, i in shard.nearest(query_id, query, k, quantile)]
+            asked = zip(queries["query_id"].to_pylist(), queries["row"].to_pylist(), _matrix(queries["embedding"]))
+            for query_id, row, query in asked:
+                out += [(query_id, i, s) for s, i in shard.nearest(row, query, k, quantile)]
         columns = zip(*out) if out else ([], [], [])
         return pa.table([pa.array(c, type=f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
 
@@ -164,7 +170,7 @@ def usable(embeddings: DataFrame) -> DataFrame:
 
 def in_shards(rows: DataFrame, shards: int) -> DataFrame:
     """The stored rows with the ``shard`` each is dealt to; the salt keeps a repeated vec_id from filling one."""
-    salt = F.monotonically_increasing_id() % 1_024
+    salt = F.col("row") % 1_024
     # Both sides need keys of one type: a cogroup hashes them as they are.
     return rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", salt), F.lit(shards)).cast("int"))
 
@@ -175,8 +181,8 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for every vec_id divisible by ``every`` its ``k`` nearest rows by cosine.
 
-    Nearest first, ties to the smaller vec_id, fewer than ``k`` if there are fewer. A query's own row, and rows that
-    share its vec_id, are no candidates; other repeated rows are candidates each. Of repeated query rows the one with
+    Nearest first, ties to the smaller vec_id, fewer than ``k`` if there are fewer. A query's own row is no candidate;
+    other rows, also those that share its vec_id, are candidates each. Of repeated query rows the one with
     the least vector asks. Rows without vec_id, and null,
     zero or non-finite vectors, take no part; vectors of different length are not compared. Other columns are ignored.
 
@@ -184,21 +190,22 @@ def nearest(
     each shard meets each block in one task of bounded size, whatever the number of rows: equal vectors spread over
     all shards. Only the k best per query and shard go on.
     """
-    rows = stage(usable(embeddings), "vectors")
-    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    rows = stage(usable(embeddings).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    asks = F.min(F.struct("embedding", "row")).alias("_least")
+    queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(asks).select("vec_id", "_least.*")
     counts = rows.agg(F.count("*"), F.sum((F.col("vec_id") % every == 0).cast("long"))).first()
     shards, blocks = max(1, -(-counts[0] // shard)), max(1, -(-(counts[1] or 0) // block))
 
     def dealt(frame: DataFrame, own: str, other: str, n_other: int) -> DataFrame:
         """Each row in one part of its own kind, and a copy for every part of the other kind."""
         copies = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
-        return frame.select("vec_id", "embedding", F.size("embedding").alias("width"), own, copies)
+        return frame.select("vec_id", "row", "embedding", F.size("embedding").alias("width"), own, copies)
 
     keys = ("width", "shard", "block")
     left = dealt(in_shards(rows, shards), "shard", "block", blocks)
     asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     right = dealt(asked, "block", "shard", shards).withColumnRenamed("vec_id", "query_id")
-    found = left.groupBy(*keys).cogroup(right.select("query_id", "embedding", *keys).groupBy(*keys)).applyInArrow(
+    found = left.groupBy(*keys).cogroup(right.select("query_id", "row", "embedding", *keys).groupBy(*keys)).applyInArrow(
         _search(k, projected, confidence), "query_id long, vec_id long, score double"
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

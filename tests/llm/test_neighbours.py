@@ -56,7 +56,7 @@ def test_awkward_vectors(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     found = neighbours.nearest(table.selectExpr("*", "1 AS width", "2 AS shard", "3 AS rank")).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [
-        (0, 1, 2, 1.0), (0, 2, 3, 1.0), (0, 3, 1, 0.0)
+        (0, 1, 0, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 1.0), (0, 4, 1, 0.0)  # the other row with the query's vec_id first
     ]
     assert neighbours.nearest(table.limit(0)).count() == 0
 
@@ -86,7 +86,7 @@ def test_tree_bounds_hold():
 
 
 def test_a_repeated_id_is_spread_over_shards(spark):
-    rows = spark.range(3_000).selectExpr("IF(id < 1000, 7, id) AS vec_id", "array(1.0D, id) AS embedding")
+    rows = spark.range(3_000).selectExpr("IF(id < 1000, 7, id) AS vec_id", "id AS row", "array(1.0D, id) AS embedding")
     sizes = [r["count"] for r in neighbours.in_shards(rows, 10).groupBy("shard").count().collect()]
     assert len(sizes) == 10 and max(sizes) < 450
 
@@ -96,4 +96,11 @@ def test_the_least_vector_of_a_repeated_query_asks(spark):
     for given in (rows, rows[::-1]):
         table = spark.createDataFrame(given, "vec_id long, embedding array<double>").coalesce(1)
         found = neighbours.nearest(table).collect()
-        assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == [2, 1]
+        assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == [2, 1, 50]
+
+
+def test_tiny_and_huge_entries_have_a_direction(spark):
+    rows = [(0, [1e-200, 1e-200]), (1, [3e200, 3e200]), (2, [1e-310, 0.0]), (3, [-1e300, -1e300])]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == [1, 2, 3]
+    assert [round(r.score, 9) for r in sorted(found, key=lambda r: r["rank"])] == [1.0, round(0.5**0.5, 9), -1.0]
