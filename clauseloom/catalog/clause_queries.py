@@ -8,7 +8,7 @@ from clauseloom.catalog import ctes as C
 from clauseloom.catalog import fixture
 from clauseloom.catalog.registry import query
 from clauseloom.functions import text as T
-from clauseloom.operators import clauses, ingest, metrics, passages, validate
+from clauseloom.operators import clauses, ingest, metrics, passages, typed, validate
 from clauseloom.taxonomy import CLAUSE_COLUMNS, CLAUSE_TYPES
 
 _COVERAGE = " ".join(
@@ -401,3 +401,49 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return fixture.contracts(spark, sf_dir).select("contract_id", F.size(T.terms("text")).alias("terms"))
+
+
+def _own_keywords(spark, sf_dir):
+    """(clause_type, keyword): a type per document, of its first two words and its first word of twelve letters or more."""
+    lowered = F.lower("text")
+    found = F.array(
+        F.regexp_extract(lowered, "^[^a-z]*([a-z]+ [a-z]+)", 1), F.regexp_extract(lowered, "(^|[^a-z])([a-z]{12,})", 2)
+    )
+    rows = fixture.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("type_"), "doc_id").alias("clause_type"), F.explode(found).alias("keyword")
+    )
+    return typed.compile_keywords(rows.filter("keyword <> ''"))
+
+
+@query(
+    "own_type_hits",
+    C.sql("SELECT DISTINCT contract_id, clause_type, pos, trim(sentence) AS sentence FROM own_matches", "own_matches"),
+)
+def _(spark, sf_dir):
+    return typed.hit_rows(fixture.contracts(spark, sf_dir), _own_keywords(spark, sf_dir))
+
+
+@query(
+    "own_type_counts",
+    C.sql(
+        """SELECT contract_id, clause_type, count(DISTINCT pos) AS hit_sentences, count(DISTINCT keyword) AS keywords,
+        count(*) AS matches FROM own_matches GROUP BY contract_id, clause_type""",
+        "own_matches",
+    ),
+)
+def _(spark, sf_dir):
+    return typed.keyword_counts(fixture.contracts(spark, sf_dir), _own_keywords(spark, sf_dir))
+
+
+@query(
+    "own_type_clauses",
+    C.sql(
+        """SELECT contract_id, filename, clause_type, string_agg(sentence, ' ' ORDER BY pos) AS clause, 'found' AS status
+        FROM (SELECT DISTINCT contract_id, clause_type, pos, trim(sentence) AS sentence FROM own_matches)
+        JOIN contracts USING (contract_id) GROUP BY contract_id, filename, clause_type""",
+        "own_matches",
+        "contracts",
+    ),
+)
+def _(spark, sf_dir):
+    return typed.find_clauses(fixture.contracts(spark, sf_dir), _own_keywords(spark, sf_dir))

@@ -105,6 +105,27 @@ _TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         f"""SELECT contract_id, CAST(unnest(range(len(parts))) AS INTEGER) AS pos, unnest(parts) AS sentence
         FROM (SELECT contract_id, regexp_extract_all(text, '{SENTENCE}') AS parts FROM contracts)""",
     ),
+    "own_keywords": (
+        (),
+        # A type per document: its first two words, and its first word of twelve letters or more.
+        """SELECT DISTINCT clause_type, keyword FROM (
+          SELECT 'type_' || doc_id AS clause_type, unnest([regexp_extract(lower(text), '^[^a-z]*([a-z]+ [a-z]+)', 1),
+            regexp_extract(lower(text), '(^|[^a-z])([a-z]{12,})', 2)]) AS keyword FROM documents) WHERE keyword <> ''""",
+    ),
+    "own_matches": (
+        ("sentences", "own_keywords"),
+        # Phrases by their whole first word, long words by their first twelve letters.
+        f"""SELECT m.contract_id, m.pos, m.sentence, k.clause_type, k.keyword FROM (
+          SELECT DISTINCT s.contract_id, s.pos, s.sentence, d.keyword
+          FROM (SELECT *, unnest(list_distinct(list_concat(words, list_transform(list_filter(words, lambda w: length(w) >= 12),
+                  lambda w: substring(w, 1, 12))))) AS key
+                FROM (SELECT *, regexp_extract_all(lower(sentence), '[{WORD}]+') AS words FROM sentences)) s
+          JOIN (SELECT DISTINCT keyword FROM own_keywords) d
+            ON s.key = CASE WHEN contains(d.keyword, ' ') THEN split_part(d.keyword, ' ', 1) ELSE substring(d.keyword, 1, 12) END
+          WHERE contains(lower(s.sentence), d.keyword) AND regexp_matches(lower(s.sentence),
+            '(^|[^{WORD}])' || d.keyword || CASE WHEN length(d.keyword) < 5 THEN '($|[^{WORD}])' ELSE '' END)) m
+        JOIN own_keywords k USING (keyword)""",
+    ),
     "hits": (
         ("sentences",),
         " UNION ALL ".join(

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.operators import clauses, dense, ingest, inverted, prompts, sparse, summary, validate
+from clauseloom.operators import clauses, dense, ingest, inverted, prompts, sparse, summary, typed, validate
 from clauseloom.options import Options
 from clauseloom.sources import files as file_source
 from clauseloom.sources import results as result_sink
@@ -107,12 +107,15 @@ def run(
     extractors: Mapping[str, Sequence[file_source.Extractor]] | None = None,
     embedder: dense.Embedder | None = None,
     vector_cache: DataFrame | None = None,
+    taxonomy: DataFrame | None = None,
 ) -> Run:
     """Load, screen, find clauses, summarise, write the sinks asked for, and index the clauses.
 
     With a ``model`` it answers prompts about every chunk of every text; without one, clauses are found by keyword and
     summaries are extractive. With an ``embedder`` clauses also get vectors, kept by digest; a ``vector_cache`` of an
-    earlier run (its ``vectors``) saves those already made. Rejected documents, also those without a byte or in a
+    earlier run (its ``vectors``) saves those already made. A ``taxonomy`` (clause_type, keyword) adds the caller's own
+    clause types, found by keyword in any case; they are in ``clauses`` and can be searched like the built-in ones, and
+    a type of a built-in name replaces it there. Rejected documents, also those without a byte or in a
     format not asked for, are stored with their reason. Raises ``ValueError`` if no document is accepted.
     """
     output = options.output
@@ -149,7 +152,14 @@ def run(
             "contract_id", "filename", F.col("task").alias("clause_type"), F.col("value").alias("clause"), "status"
         )
         wide = prompts.wide_results(results)
-    if output.stage_path or model is not None:
+    if taxonomy is not None:
+        compiled = typed.compile_keywords(taxonomy)
+        own = typed.find_clauses(contracts.select("contract_id", "filename", "text"), compiled)
+        names = compiled.select("clause_type").distinct()
+        long = long.join(names, "clause_type", "left_anti").select(*own.columns).unionByName(own)
+        # As many folders as types would be too many.
+        long = store(long, "clauses")
+    elif output.stage_path or model is not None:
         long = store(long, "clauses", "clause_type")
 
     rows = store(result_sink.result_rows(contracts, wide), "results")
