@@ -48,6 +48,8 @@ HEADLINE = (
     "benchmark_search",
     "nearest_batch",
     "nearest_in_cells",
+    "nearest_by_bound",
+    "own_type_hits",
     "chunked_prompts",
     "model_answers",
     "embedded_search",
