@@ -30,11 +30,16 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     still get column pruning and filter push-down, which a checkpoint of rows would not give. The folder stays until
     ``release`` or the end of this process.
     """
-    folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return save_stage(df, new_folder(df.sparkSession, name), partition_by)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared checkpoint folder, which ``release`` removes; it is not created yet."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_release_at_exit)
     _made.append(folder)
-    return save_stage(df, folder, partition_by)
+    return folder
 
 
 def release(spark: SparkSession) -> int:

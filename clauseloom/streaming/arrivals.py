@@ -1,4 +1,4 @@
-"""Structured Streaming: new files as they arrive, repeats dropped, and live processing rates."""
+"""Structured Streaming: new files and rows as they arrive, and live processing rates."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from clauseloom.functions import text as T
 from clauseloom.operators import ingest
@@ -15,6 +16,7 @@ from clauseloom.options import IngestOptions
 from clauseloom.sources.files import FILE_SCHEMA, LISTED_FORMATS, Extractor, extract_texts, file_glob
 
 BatchWork = Callable[[DataFrame, int], None]
+Reader = Callable[[SparkSession, list[str]], DataFrame]
 
 
 def arriving_files(
@@ -31,10 +33,16 @@ def arriving_files(
     )
 
 
+def arriving_rows(spark: SparkSession, folder: str, schema: StructType, max_files: int = 1_000) -> DataFrame:
+    """Stream of the rows of a folder's Parquet files, oldest file first, with the ``path`` of the file."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(folder)
+    return rows.withColumn("path", F.col("_metadata.file_path"))
+
+
 def isolated(work: BatchWork, failures: str, retries: int = 2) -> BatchWork:
     """Run ``work`` on each batch; if it keeps failing, note the batch and its files and let the stream go on.
 
-    The note holds a row per file, so ``redrive`` can take them up again: nothing is lost with the batch's offsets.
+    The note holds each file once, so ``redrive`` can take them up again: nothing is lost with the batch's offsets.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -50,20 +58,20 @@ def isolated(work: BatchWork, failures: str, retries: int = 2) -> BatchWork:
                         F.lit(batch_id).cast("long").alias("batch"), F.lit(attempt + 1).alias("attempts"),
                         F.lit(message).alias("message"), path.alias("path"),
                     )
-                    noted.write.mode("overwrite").parquet(f"{failures}/batch_id={batch_id}")
+                    noted.distinct().write.mode("overwrite").parquet(f"{failures}/batch_id={batch_id}")
 
     return run
 
 
-def _screen_batch(
-    target: str, extractors: Mapping[str, Sequence[Extractor]] | None, options: IngestOptions
+def screen_batch(
+    target: str, options: IngestOptions = IngestOptions(), texts: Callable[[DataFrame], DataFrame] | None = None
 ) -> BatchWork:
-    """Extract and screen one batch into its own folders, which it overwrites."""
+    """Screen one batch into its own folders, which it overwrites; ``texts`` makes its documents out of its rows."""
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        texts = extract_texts(batch, extractors).transform(ingest.stable_ids)
+        documents = batch if texts is None else texts(batch)
         screened_path = f"{target}/screened/batch_id={batch_id}"
-        ingest.screen(texts, options).write.mode("overwrite").parquet(screened_path)
+        ingest.screen(documents, options).write.mode("overwrite").parquet(screened_path)
         screened = batch.sparkSession.read.parquet(screened_path)
         ingest.accepted(screened).write.mode("overwrite").parquet(f"{target}/contracts/batch_id={batch_id}")
         ingest.rejected(screened).write.mode("overwrite").parquet(f"{target}/rejects/batch_id={batch_id}")
@@ -71,6 +79,22 @@ def _screen_batch(
     return work
 
 
+def _drain(
+    stream: DataFrame, screen: BatchWork, target: str, checkpoint: str, retries: int, then: BatchWork | None
+) -> StreamingQuery:
+    def work(batch: DataFrame, batch_id: int) -> None:
+        screen(batch, batch_id)
+        if then is not None:
+            then(batch.sparkSession.read.parquet(f"{target}/contracts/batch_id={batch_id}"), batch_id)
+
+    return (
+        stream.writeStream.foreachBatch(isolated(work, f"{target}/failures", retries))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def ingest_arrivals(
     files: DataFrame,
     target: str,
@@ -86,22 +110,37 @@ def ingest_arrivals(
     ``then`` goes on with each batch's contracts, for example to find clauses and index them; it must overwrite by
     batch number as well.
     """
-    screen = _screen_batch(target, extractors, options)
 
-    def work(batch: DataFrame, batch_id: int) -> None:
-        screen(batch, batch_id)
-        if then is not None:
-            then(batch.sparkSession.read.parquet(f"{target}/contracts/batch_id={batch_id}"), batch_id)
+    def texts(batch: DataFrame) -> DataFrame:
+        return extract_texts(batch, extractors).transform(ingest.stable_ids)
 
-    return (
-        files.writeStream.foreachBatch(isolated(work, f"{target}/failures", retries))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _drain(files, screen_batch(target, options, texts), target, checkpoint, retries, then)
+
+
+def ingest_rows(
+    documents: DataFrame,
+    target: str,
+    checkpoint: str,
+    options: IngestOptions = IngestOptions(),
+    retries: int = 2,
+    then: BatchWork | None = None,
+) -> StreamingQuery:
+    """The same for documents that arrive as rows with a ``text``, see ``arriving_rows``; their columns are kept."""
+    return _drain(documents, screen_batch(target, options), target, checkpoint, retries, then)
+
+
+def _files_again(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load(paths).withColumn("filename", T.file_name("path"))
+
+
+def rows_again(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The rows of Parquet files, as ``arriving_rows`` gave them."""
+    return spark.read.parquet(*paths).withColumn("path", F.col("_metadata.file_path"))
 
 
-def redrive(spark: SparkSession, failures: str, work: BatchWork, retries: int = 2) -> int:
+def redrive(
+    spark: SparkSession, failures: str, work: BatchWork, retries: int = 2, read: Reader = _files_again
+) -> int:
     """Run ``work`` again on the files of all batches noted in ``failures``; returns how many batches now succeed.
 
     A batch holds at most the files that one trigger takes, so its list of names is small. What fails again is noted
@@ -112,7 +151,7 @@ def redrive(spark: SparkSession, failures: str, work: BatchWork, retries: int =
     for (number,) in noted.select("batch").distinct().orderBy("batch").collect():
         folder = f"{failures}/batch_id={number}"
         paths = [r["path"] for r in spark.read.parquet(folder).select("path").distinct().collect()]
-        files = spark.read.format("binaryFile").load(paths).withColumn("filename", T.file_name("path"))
+        files = read(spark, paths)
         # The note is emptied first; the guard writes it again if the batch still fails.
         empty = spark.createDataFrame([], "batch long, attempts int, message string, path string")
         empty.write.mode("overwrite").parquet(folder)

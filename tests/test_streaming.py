@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from clauseloom.streaming import arrivals
+from clauseloom.streaming import arrivals, repeats
 from test_clauses import AGREEMENT
 
 TEXT = {"pdf": [("plain", lambda content: content.decode())]}
@@ -96,3 +96,47 @@ def test_live_rate_equals_batch_and_drops_late_rows(spark, tmp_path):
     _run(arrivals.live_rate(stream, "ts"), "rates", "append")
     got = {r["start"]: r["rows"] for r in spark.table("rates").select(F.date_format("start", "HH:mm").alias("start"), "rows").collect()}
     assert got == {"00:00": 2, "00:01": 2, "01:00": 1, "01:01": 1}
+
+
+def _contents(spark, tmp_path, batches, schema, **options):
+    stream = _stream(spark, tmp_path / "s", batches, schema)
+    passed = repeats.drop_repeated_content(stream, "text", "n", "at", **options)
+    target, state = str(tmp_path / "out"), str(tmp_path / "state")
+    query = passed.writeStream.format("parquet").option("checkpointLocation", state)
+    query.trigger(availableNow=True).start(target).awaitTermination(120)
+    return spark.read.parquet(target)
+
+
+def test_content_passes_once_until_it_is_forgotten(spark, tmp_path):
+    t, hour = dt.datetime(2024, 1, 1), dt.timedelta(hours=1)
+    batches = [
+        [(3, "a", t + hour / 2), (2, "a", t), (1, "a", t), (4, None, t), (5, "b", t)],
+        [(6, "a", t + hour), (7, None, t + hour), (8, "c", t + hour)],  # remembered
+        [(9, "x", t + 20 * hour)],  # the watermark passes, timers forget what is older
+        [(10, "a", t + 21 * hour), (11, "b", None), (12, "a", t + 21 * hour)],
+    ]
+    got = _contents(spark, tmp_path, batches, "n long, text string, at timestamp", keep_hours=5)
+    assert sorted((r["n"], r["text"]) for r in got.collect()) == [(1, "a"), (4, None), (5, "b"), (8, "c"), (9, "x"), (10, "a")]
+
+
+def test_passing_rows_keep_their_values(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1, 0, 0, 0, 123456)
+    row = (2**62 + 1, "ü\n\"", at, None, float("inf"), [1, None], {"k": "v"}, 2**60 + 1)
+    schema = "n long, text string, at timestamp, gone int, d double, l array<int>, m map<string,string>, `_row` long"
+    source = tmp_path / "s"
+    spark.createDataFrame([row, row], schema).write.parquet(str(source / "part0"))
+    stream = spark.readStream.schema(schema).parquet(str(source / "part*"))
+    passed = repeats.drop_repeated_content(stream, "text", "n", "at")
+    _run(passed, "kept_values", "append")
+    assert [tuple(r) for r in spark.table("kept_values").collect()] == [row]
+
+
+def test_a_content_that_fills_the_stream_is_held_row_by_row(spark, tmp_path):
+    rows = spark.range(30_000).selectExpr(
+        "id AS n", "if(id % 10 < 9, 'same', concat('t', id)) AS text", "timestamp'2024-01-01' AS at"
+    )
+    rows.repartition(4).write.parquet(str(tmp_path / "s" / "part0"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "s" / "part*"))
+    _run(repeats.drop_repeated_content(stream, "text", "n", "at"), "hot_content", "append")
+    assert spark.table("hot_content").filter("text = 'same'").count() == 1
+    assert spark.table("hot_content").count() == 3_001
