@@ -207,20 +207,23 @@ def _members(documents: DataFrame, shingle: int, max_bits: int, limit: int) -> D
     if not 1 <= max_bits <= 4:
         raise ValueError("max_bits must be from 1 to 4")
     prints = stage(fingerprints(documents, shingle), "fingerprints")
+    # A fingerprint is its own node number, so that rows without doc_id are nodes like any other.
     nodes = stage(
-        prints.filter(F.col("doc_id").isNotNull()).groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "nodes"
+        prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("id", F.col("fingerprint")), "nodes"
     )
     found = links(nodes, max_bits, limit)
     roots = components(reduce(DataFrame.unionByName, found))
-    group = nodes.join(roots, nodes["id"] == roots["node"], "left").select(
-        "fingerprint", F.coalesce("root", "id").alias("component_id")
+    rooted = nodes.join(roots, nodes["id"] == roots["node"], "left").select(
+        "fingerprint", "least", F.coalesce("root", "id").alias("root")
     )
-    joined = prints.join(group, "fingerprint", "left")
-    return joined.select(
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    group = rooted.join(least, "root").select("fingerprint", "root", "component_id")
+    return prints.join(group, "fingerprint", "left").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
+        "component_id",
         "raw",
+        "root",
     )
 
 
@@ -232,19 +235,24 @@ def near_duplicates(
     ``component_id`` is the smallest doc_id that links lead to, the document's own included. Whole texts are read,
     repeated shingles count each time. Texts with fewer words than a shingle have one shingle, texts without words
     (null, empty, blank) the fingerprint zero, which links like any other. Rows that repeat a doc_id are rows of
-    their own; a row without doc_id gets a fingerprint and no component. Other columns are ignored, an empty table
-    gives no rows.
+    their own; a row without doc_id links like any other and gets the component_id of its group, null if no row of it
+    has a doc_id. Other columns are ignored, an empty table gives no rows.
 
     Equal fingerprints are one node, so copies are never paired. Texts are read once and not shuffled.
     """
-    return _members(documents, shingle, max_bits, limit).drop("raw")
+    return _members(documents, shingle, max_bits, limit).drop("raw", "root")
 
 
 def representatives(documents: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with all columns; rows without doc_id stay."""
+    """One document of each group, with all columns: the one with the smallest doc_id.
+
+    Of rows that repeat this doc_id with other texts one stays, and one of a group whose rows all lack a doc_id, each
+    time the one with the smallest hash of its text. Null and empty texts form a group with others of fingerprint zero.
+    Columns may have any names; an empty table gives no rows.
+    """
     members = _members(documents, shingle, max_bits, ROUTE_LIMIT)
-    # Of rows that repeat the doc_id with other texts one stays.
-    stays = members.filter(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id")))
-    return keep_rows(documents, stays.groupBy("doc_id", "component_id").agg(F.min("raw").alias("raw"))
-                     .filter(F.col("component_id").isNotNull()).select("doc_id", "raw")
-                     .unionByName(stays.filter(F.col("component_id").isNull()).select("doc_id", "raw")))
+    place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "raw")
+    # Groups whose smallest doc_id is the same share a document that is there with several texts.
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("root")))
+    first = members.groupBy(group.alias("group")).agg(F.min(place).alias("first"))
+    return keep_rows(documents, first.select("first.doc_id", "first.raw"))

@@ -66,7 +66,7 @@ def _groups(prints, ids):
             p = root[p]
         return p
 
-    distinct = sorted({p for p, i in zip(prints, ids) if i is not None})
+    distinct = sorted(set(prints))
     for n, a in enumerate(distinct):
         for b in distinct[:n]:
             if (a ^ b).bit_count() <= 2:
@@ -75,7 +75,7 @@ def _groups(prints, ids):
     for p, i in zip(prints, ids):
         if i is not None:
             low[find(p)] = min(low.get(find(p), i), i)
-    return [None if i is None else low[find(p)] for p, i in zip(prints, ids)]
+    return [low.get(find(p)) for p in prints]
 
 
 @pytest.mark.parametrize("limit", [simhash.ROUTE_LIMIT, 2])
@@ -100,8 +100,41 @@ def test_representatives(documents):
     groups = _groups([_fingerprint(r.text) for r in given], [r.doc_id for r in given])
     ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
     assert ids == sorted({g for g in groups if g is not None})
-    # Rows without doc_id stay, of those that repeat one.
-    assert kept.filter("doc_id IS NULL").count() == 2
+    # Rows without doc_id belong to the group of their fingerprint; none is the first of it here.
+    assert kept.count() == len(set(groups) - {None}) + kept.filter("doc_id IS NULL").count()
+
+
+def test_rows_without_doc_id_link_like_any_other(spark):
+    rows = [(1, "a b c d e f"), (None, "a b c d e f"), (None, "u v w x"), (None, "u v w x"), (None, "U V W X"), (7, None)]
+    documents = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, root int")
+    found = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(documents).collect()}
+    alone, group = (f"{_fingerprint(t):016x}" for t in ("u v w x", "a b c d e f"))
+    assert found[None, group] == found[1, group] == 1 and found[None, alone] is None and found[7, "0" * 16] == 7
+    kept = simhash.representatives(documents).collect()
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in kept) == [(0, "u v w x"), (1, "a b c d e f"), (7, "")]
+
+
+def test_a_row_without_doc_id_connects_two_others(spark):
+    rng, size = np.random.default_rng(1), simhash.SHINGLE
+    prints, low = {}, None
+    # Texts are looked for whose fingerprints form a path a - b - c with a and c apart.
+    for _ in range(400):
+        words = [f"w{n}" for n in rng.integers(0, 50, 300)]
+        for at in range(0, 300, 3):
+            text = " ".join(words[:at] + ["x"] + words[at + 1 :])
+            prints[text] = simhash.fingerprint(simhash.shingle_hashes(text.encode(), size)) & (2**64 - 1)
+        values = list(prints.items())
+        for t, p in values:
+            close = [(u, q) for u, q in values if 0 < (p ^ q).bit_count() <= 2]
+            apart = [(u, v) for u, q in close for v, r in close if (q ^ r).bit_count() > 2]
+            if apart:
+                low = (apart[0][0], t, apart[0][1])
+                break
+        if low:
+            break
+        prints = {}
+    documents = spark.createDataFrame([(1, low[0]), (None, low[1]), (2, low[2])], "doc_id long, text string")
+    assert [r.component_id for r in simhash.near_duplicates(documents).collect()] == [1, 1, 1]
 
 
 def test_trie_self_join_finds_all_pairs():
