@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from clauseloom.catalog import ctes as C
 from clauseloom.catalog import fixture
 from clauseloom.catalog.registry import query
-from clauseloom.operators import display, metrics, prompts, summary
+from clauseloom.operators import display, metrics, prompts, sketches, summary
 from clauseloom.operators.clauses import find_clauses
+from clauseloom.sources.stages import stage
 from clauseloom.taxonomy import CLAUSE_NAMES
 
 _MENTIONED = " + ".join(
@@ -219,3 +220,31 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rates = metrics.windowed_rate(fixture.table(spark, sf_dir, "events"), "ts", "5 minutes", "1 minute")
     return rates.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "rows")
+
+
+@query(
+    "merged_sketches",
+    """SELECT event_type, count(*) AS rows, count(DISTINCT user_id) AS users, true AS users_near,
+      true AS median_near, true AS p90_near FROM events GROUP BY event_type""",
+)
+def _(spark, sf_dir):
+    """Sketches per event type and day are stored, then merged per type and held against the exact figures."""
+    events = fixture.table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    amount = F.round(F.col("value") * 100)
+    stored = stage(sketches.sketch(events, ["event_type", "day"], F.col("user_id"), amount), "sketches")
+    merged = sketches.read(sketches.merge(stored, ["event_type"])).withColumnRenamed("rows", "merged_rows")
+    measured = events.join(merged, "event_type")
+    below = [F.avg((amount <= F.col("quantiles")[n]).cast("double")) for n in (0, 1)]
+    under = [F.avg((amount < F.col("quantiles")[n]).cast("double")) for n in (0, 1)]
+    exact = measured.groupBy("event_type").agg(
+        F.first("merged_rows").alias("rows"), F.count_distinct("user_id").alias("users"),
+        F.first("distinct").alias("estimate"), *[b.alias(f"below{n}") for n, b in enumerate(below)],
+        *[u.alias(f"under{n}") for n, u in enumerate(under)],
+    )
+    # Three standard errors of the distinct count, twice the stated rank error of the quantiles.
+    near = [(F.col(f"below{n}") >= r - 0.03) & (F.col(f"under{n}") <= r + 0.03) for n, r in enumerate((0.5, 0.9))]
+    return exact.select(
+        "event_type", "rows", "users",
+        (F.abs(F.col("estimate") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * 0.05)).alias("users_near"),
+        near[0].alias("median_near"), near[1].alias("p90_near"),
+    )
