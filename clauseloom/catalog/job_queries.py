@@ -194,6 +194,20 @@ def _(spark, sf_dir):
     return job.run(spark, fixture.raw(spark, sf_dir), options).results.select(*results.CSV_COLUMNS)
 
 
+@query(
+    "job_funnel",
+    C.sql(
+        """SELECT outcome, (SELECT count(*) FROM screened WHERE coalesce(reason, 'loaded') = outcome) AS documents
+        FROM (VALUES ('loaded'), ('no_text'), ('too_short'), ('unsupported')) AS outcomes(outcome)""",
+        "screened",
+    ),
+)
+def _(spark, sf_dir):
+    options = Options(search=SearchOptions(enabled=False), validate=False)
+    funnel = job.run(spark, fixture.raw(spark, sf_dir), options).funnel
+    return spark.createDataFrame(sorted(funnel.items()), "outcome string, documents long")
+
+
 @query(
     "search_all",
     C.sql(

@@ -12,6 +12,9 @@ from clauseloom.functions import text as T
 from clauseloom.operators.layout import number_rows, row_barrier
 from clauseloom.options import IngestOptions
 
+# Why ``screen`` rejects a document.
+REASONS = ("no_text", "too_short")
+
 
 def screen(documents: DataFrame, options: IngestOptions = IngestOptions()) -> DataFrame:
     """Normalise ``text`` and give each document a ``reason`` for rejection, null if it is accepted.

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from clauseloom.functions import text as T
@@ -21,6 +21,18 @@ def load_funnel(screened: DataFrame) -> DataFrame:
     )
 
 
+def observed_funnel(screened: DataFrame, reasons: Sequence[str]) -> tuple[DataFrame, Observation]:
+    """The table itself, and counts of ``loaded`` and of each reason that are there once it has been written.
+
+    They are taken while the rows pass. Observe right before the write: its tasks count once each, however often
+    executors are lost.
+    """
+    counts = Observation()
+    columns = [F.count_if(F.col("reason").isNull()).alias("loaded")]
+    columns += [F.count_if(F.col("reason").eqNullSafe(F.lit(r))).alias(r) for r in reasons]
+    return screened.observe(counts, *columns), counts
+
+
 def found_counts(wide: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per group and clause type: contracts seen and contracts with the clause. One row per contract goes in."""
     counts = wide.groupBy(*by).agg(

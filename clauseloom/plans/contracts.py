@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.operators import clauses, dense, ingest, inverted, prompts, sparse, summary, typed, validate
+from clauseloom.operators import clauses, dense, ingest, inverted, metrics, prompts, sparse, summary, typed, validate
 from clauseloom.options import Options
 from clauseloom.sources import files as file_source
 from clauseloom.sources import results as result_sink
@@ -17,7 +17,10 @@ from clauseloom.sources.stages import save_stage, stage
 
 @dataclass(frozen=True)
 class Run:
-    """Tables of a finished run; each is stored or derived from stored tables."""
+    """Tables of a finished run; each is stored or derived from stored tables.
+
+    ``funnel`` holds documents per outcome, ``loaded`` or a reason for rejection; it adds up to the listing.
+    """
 
     contracts: DataFrame
     rejects: DataFrame
@@ -30,6 +33,7 @@ class Run:
     index: inverted.TermIndex | None = None
     vectors: DataFrame | None = None
     violations: DataFrame | None = None
+    funnel: Mapping[str, int] = field(default_factory=dict)
 
 
 def load(
@@ -125,13 +129,17 @@ def run(
             return save_stage(df, f"{output.stage_path.rstrip('/')}/{name}", partition_by)
         return stage(df, name)
 
-    screened = store(ingest.screen(load(spark, source, options, extractors), options.ingest), "screened")
+    documents = ingest.screen(load(spark, source, options, extractors), options.ingest)
+    documents, screening = metrics.observed_funnel(documents, ingest.REASONS)
+    screened = store(documents, "screened")
     contracts = ingest.accepted(screened)
     rejects = ingest.rejected(screened)
     unsupported = _unsupported(spark, source, options)
     if unsupported is not None:
         rejects = rejects.unionByName(unsupported, allowMissingColumns=True)
+    rejects, rejecting = metrics.observed_funnel(rejects, ["unsupported"])
     rejects = store(rejects, "rejects")
+    funnel = {**screening.get, "unsupported": rejecting.get["unsupported"]}
     if contracts.isEmpty():
         raise ValueError("no contracts loaded")
 
@@ -189,6 +197,7 @@ def run(
         index=index,
         vectors=vectors,
         violations=validate.violations(rows, rules, "contract_id") if options.validate else None,
+        funnel=funnel,
     )
 
 

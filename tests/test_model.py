@@ -192,6 +192,19 @@ def test_job_reads_text_files_and_only_the_formats_asked_for(spark, tmp_path):
     done = job.run(spark, str(tmp_path), options)
     assert [r["filename"] for r in done.contracts.collect()] == ["a.txt"]
     assert [(r["filename"], r["reason"]) for r in done.rejects.collect()] == [("b.pdf", "unsupported")]
+    assert done.funnel == {"loaded": 1, "no_text": 0, "too_short": 0, "unsupported": 1}
+
+
+def test_funnel_of_a_run_adds_up_to_the_listing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, text in {"a.txt": AGREEMENT, "b.TXT": AGREEMENT, "c.txt": "short", "d.txt": "", "e.odt": "x", "f.odt": ""}.items():
+        (tmp_path / "in" / name).write_text(text)
+    options = Options(search=SearchOptions(enabled=False))
+    done = job.run(spark, str(tmp_path / "in"), options)
+    assert done.funnel == {"loaded": 2, "no_text": 1, "too_short": 1, "unsupported": 2}
+    assert done.contracts.count() + done.rejects.count() == sum(done.funnel.values()) == 6
+    shuffled = spark.createDataFrame([(f"c{n}", "a.txt", AGREEMENT) for n in range(50)], "contract_id string, filename string, text string")
+    assert job.run(spark, shuffled.repartition(7, "contract_id"), options).funnel["loaded"] == 50
 
 
 def test_job_with_an_embedder_and_its_cache(spark):
