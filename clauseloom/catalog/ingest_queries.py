@@ -144,7 +144,7 @@ def _(spark, sf_dir):
     C.sql("SELECT contract_id, filename FROM contracts", "contracts"),
 )
 def _(spark, sf_dir):
-    batch = fixture.contracts(spark, sf_dir).select("contract_id", "filename")
+    batch = fixture.stored_contracts(spark, sf_dir).select("contract_id", "filename")
     return ingest.combine([batch, batch])
 
 

@@ -13,8 +13,8 @@ from clauseloom.operators import clauses, dense, ingest, prompts, sparse
 from clauseloom.options import Options, SearchOptions
 from clauseloom.plans import contracts as job
 from clauseloom.session import checkpoint_dir
-from clauseloom.sources import files, results
-from clauseloom.sources.stages import save_stage, stage
+from clauseloom.sources import files, listing, results
+from clauseloom.sources.stages import new_folder, save_stage, stage
 
 _SHOWN = ", ".join(f"coalesce({c}_clause, 'No {c} clause found') AS {c}_clause" for c in C.PATTERNS)
 
@@ -69,6 +69,24 @@ def _(spark, sf_dir):
     return files.extract_texts(given).select("filename", F.md5("text").alias("text_md5"), "extractor_used")
 
 
+@query(
+    "folder_bytes",
+    """SELECT coalesce(source, '') AS source, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes,
+    0::BIGINT AS hidden FROM documents GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    """All texts written as files, a folder per source; the listing of the folders gives their sizes."""
+    target = new_folder(spark, "listed")
+    given = fixture.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("s-"), F.coalesce("source", F.lit(""))).alias("source"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    given.write.partitionBy("source").text(target)
+    listed = listing.list_folders(spark, f"{target}/source=*")
+    folder = F.url_decode(F.regexp_extract("path", "/source=s-([^/]*)/[^/]*$", 1))
+    hidden = F.count_if(F.col("filename").rlike("^[_.]"))
+    return listed.groupBy(folder.alias("source")).agg(F.sum("length").alias("bytes"), hidden.alias("hidden"))
+
+
 @query(
     "custom_step",
     C.sql("SELECT contract_id, contains(lower(text), 'terminat') AS has_termination FROM contracts", "contracts"),

@@ -177,6 +177,27 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "typed_metadata",
+    """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS kind, value > 10 AS large,
+    CAST(length(props) AS INTEGER) AS size, value, 'BIGINT,STRING,BOOLEAN,BIGINT,DOUBLE' AS kinds FROM events""",
+)
+def _(spark, sf_dir):
+    """Keys of the events' own JSON, caller's keys and counted ones in one map; all keep their types."""
+    own = R.typed_metadata(
+        kind=F.col("event_type"), large=F.col("value") > 10, size=F.lit("to be replaced"), value=F.col("value")
+    )
+    system = R.typed_metadata(size=F.length("props"))
+    events = fixture.table(spark, sf_dir, "events")
+    merged = events.select("event_id", R.merge_typed(R.merge_typed(R.typed_from_json("props"), own), system).alias("m"))
+    types = {"k": "bigint", "kind": "string", "large": "boolean", "size": "int", "value": "double"}
+    return merged.select(
+        "event_id",
+        *[R.typed_value("m", key, kind).alias(key) for key, kind in types.items()],
+        F.concat_ws(",", *[R.kind_of("m", key) for key in types]).alias("kinds"),
+    )
+
+
 @query(
     "metadata_records",
     C.sql(

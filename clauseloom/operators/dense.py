@@ -374,7 +374,9 @@ def uncached(texts: DataFrame, cache: DataFrame, key: str, text: str = "clause")
     """Distinct texts, by digest, that the cache (``digest``, …) does not hold: the ones still to embed.
 
     Digests are folded to the lowest ``key`` and compared first; only the texts of the keys that remain are fetched.
+    A cache far larger than the texts is read but not shuffled: its digests pass a semi-join with those asked for.
     """
     folded = texts.select(F.sha2(text, 256).alias("digest"), key).groupBy("digest").agg(F.min(key).alias(key))
-    new = folded.join(cache.select("digest"), "digest", "left_anti")
+    held = cache.select("digest").join(folded.select("digest"), "digest", "left_semi")
+    new = folded.join(held, "digest", "left_anti")
     return texts.select(key, F.col(text).alias("text")).join(new, key).select("digest", "text")

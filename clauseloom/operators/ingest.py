@@ -126,13 +126,27 @@ def chunks(contracts: DataFrame, size: int = 4_000, id_column: str = "contract_i
 def combine(parts: Sequence[DataFrame], key: Sequence[str] = ("contract_id",)) -> DataFrame:
     """Union of batch outputs, one row per key: of a batch that was run twice the later output counts.
 
-    The latest part wins, and within one part the greatest row, so the result does not depend on task order.
+    The latest part wins, and within one part the greatest row, so the result does not depend on task order. Only keys
+    and part numbers are grouped; rows move only if their key comes more than once, so parts should be stored tables,
+    which are read twice for their keys and once or twice for their rows. A null is a key like any other.
     """
     numbered = [p.withColumn("_part", F.lit(n)) for n, p in enumerate(parts)]
     together = reduce(lambda a, b: a.unionByName(b), numbered)
-    body = F.struct(*[c for c in together.columns if c != "_part"])
-    latest = together.groupBy(*key).agg(F.max_by(body, F.struct("_part", body)).alias("_latest"))
-    return latest.select("_latest.*")
+    columns = [c for c in together.columns if c != "_part"]
+    counted = together.groupBy(*key, "_part").agg(F.count("*").alias("_rows"))
+    # Of a key, as many entries as there are parts.
+    seen = counted.groupBy(*key).agg(F.collect_list(F.struct("_part", "_rows")).alias("_seen"))
+    entries = seen.select(*key, F.array_max("_seen")["_part"].alias("_last"), F.inline("_seen"))
+    odd = entries.filter("_part < _last OR _rows > 1").select(
+        *[F.col(c).alias(f"_odd_{n}") for n, c in enumerate(key)], F.col("_part").alias("_odd_part"), "_last"
+    )
+    same = F.col("_part") == F.col("_odd_part")
+    for n, c in enumerate(key):
+        same &= F.col(c).eqNullSafe(F.col(f"_odd_{n}"))
+    plain = together.join(odd, same, "left_anti").select(*columns)
+    repeated = together.join(odd.filter("_odd_part = _last"), same, "left_semi")
+    greatest = repeated.groupBy(*key).agg(F.max(F.struct(*columns)).alias("_greatest")).select("_greatest.*")
+    return plain.unionByName(greatest)
 
 
 def distinct_content(documents: DataFrame, unique: str) -> DataFrame:

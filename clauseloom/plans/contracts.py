@@ -13,6 +13,7 @@ from clauseloom.options import Options
 from clauseloom.sources import files as file_source
 from clauseloom.sources import results as result_sink
 from clauseloom.sources.stages import save_stage, stage
+from clauseloom.sources.vector_store import add_vectors, read_vectors
 
 
 @dataclass(frozen=True)
@@ -93,14 +94,26 @@ def _ask(contracts: DataFrame, model: prompts.Model, options: Options, store) ->
     return responses
 
 
-def _embed(items: DataFrame, embedder: dense.Embedder, cache: DataFrame | None, options: Options, store) -> DataFrame:
+def _embed(
+    items: DataFrame, embedder: dense.Embedder, cache: DataFrame | str | None, options: Options, store
+) -> DataFrame:
     """(digest, vector) of every clause text, of unit length; texts in the cache are not embedded again."""
-    known = cache if cache is not None and options.search.cache_embeddings else None
-    none = items.sparkSession.createDataFrame([], "digest string, vector array<double>")
-    new = dense.uncached(items, none if known is None else known, "item_id")
+    spark = items.sparkSession
+    known = cache if options.search.cache_embeddings else None
+    if isinstance(known, str):
+        held = read_vectors(spark, known)
+    elif known is not None:
+        held = known.select("digest", "vector")
+    else:
+        held = spark.createDataFrame([], "digest string, vector array<double>")
+    new = dense.uncached(items, held, "item_id")
     vectors = dense.unit_vectors(dense.embed(new, embedder, "digest", "text"), "digest", "vector")
     made = vectors.select(F.col("item_id").alias("digest"), "vector")
-    return store(made if known is None else made.unionByName(known.select("digest", "vector")), "vectors")
+    if isinstance(known, str):
+        return add_vectors(known, made)
+    # Only what is new is stored; the cache stays where the caller has it.
+    made = store(made, "vectors")
+    return made if known is None else made.unionByName(held)
 
 
 def run(
@@ -110,14 +123,14 @@ def run(
     model: prompts.Model | None = None,
     extractors: Mapping[str, Sequence[file_source.Extractor]] | None = None,
     embedder: dense.Embedder | None = None,
-    vector_cache: DataFrame | None = None,
+    vector_cache: DataFrame | str | None = None,
     taxonomy: DataFrame | None = None,
 ) -> Run:
     """Load, screen, find clauses, summarise, write the sinks asked for, and index the clauses.
 
     With a ``model`` it answers prompts about every chunk of every text; without one, clauses are found by keyword and
-    summaries are extractive. With an ``embedder`` clauses also get vectors, kept by digest; a ``vector_cache`` of an
-    earlier run (its ``vectors``) saves those already made. A ``taxonomy`` (clause_type, keyword) adds the caller's own
+    summaries are extractive. With an ``embedder`` clauses also get vectors, kept by digest; a ``vector_cache``
+    saves those already made: the ``vectors`` of an earlier run, or the folder of a store that this run adds to. A ``taxonomy`` (clause_type, keyword) adds the caller's own
     clause types, found by keyword in any case; they are in ``clauses`` and can be searched like the built-in ones, and
     a type of a built-in name replaces it there. Rejected documents, also those without a byte or in a
     format not asked for, are stored with their reason. Raises ``ValueError`` if no document is accepted.

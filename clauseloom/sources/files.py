@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from datetime import datetime
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseloom.functions import text as T
+from clauseloom.sources.listing import list_folders
 
 # Name and function of one way to get text out of a file's bytes.
 Extractor = tuple[str, Callable[[bytes], str]]
@@ -63,7 +63,7 @@ def read_files(
     """Files of a folder (not of its subfolders) with their bytes.
 
     A missing folder is an error, an empty one an empty table. The source leaves files of zero bytes out; they are
-    added from the folder's own listing, so that they can be rejected like any other document without text.
+    added from a listing made in tasks, so that they can be rejected like any other document without text.
     """
     glob = file_glob(formats, ignore_case)
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
@@ -73,29 +73,21 @@ def read_files(
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"folder {folder} not found") from error
         raise
-    return files.unionByName(_empty_files(spark, folder, glob)).withColumn("filename", T.file_name("path"))
+    return files.unionByName(_empty_files(spark, folder, formats, ignore_case)).withColumn("filename", T.file_name("path"))
 
 
-def _empty_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    """Files of zero bytes of a folder, listed by the Hadoop filesystem; only their names pass through the driver."""
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(folder, glob)
-    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
-    rows = [
-        (str(status.getPath()), datetime.fromtimestamp(status.getModificationTime() / 1_000), 0, bytearray())
-        for status in found
-        if status.getLen() == 0 and status.isFile()
-    ]
-    return spark.createDataFrame(rows, FILE_SCHEMA)
+def _empty_files(spark: SparkSession, folder: str, formats: Sequence[str], ignore_case: bool) -> DataFrame:
+    """Files of zero bytes of a folder, as the reader of whole files would give them."""
+    suffix = T.file_extension("filename") if ignore_case else F.regexp_extract("filename", r"[^.]\.([^.]+)$", 1)
+    wanted = [f.lower() if ignore_case else f for f in formats]
+    empty = list_folders(spark, folder).filter((F.col("length") == 0) & suffix.isin(*wanted))
+    return empty.select("path", "modificationTime", "length", F.lit(b"").alias("content"))
 
 
 def other_files(spark: SparkSession, folder: str, formats: Sequence[str] = LISTED_FORMATS) -> DataFrame:
-    """(path, filename) of a folder's files in other formats, empty ones too; their contents are not read."""
-    filled = spark.read.format("binaryFile").load(folder).select("path")
-    # Like the source, without hidden files.
-    empty = _empty_files(spark, folder, "[^_.]*").select("path")
-    every = filled.unionByName(empty).withColumn("filename", T.file_name("path"))
-    return every.filter(~T.file_extension("filename").isin(*[f.lower() for f in formats]))
+    """(path, filename) of a folder's files in other formats, empty ones too; no file is opened."""
+    others = ~T.file_extension("filename").isin(*[f.lower() for f in formats])
+    return list_folders(spark, folder).filter(others).select("path", "filename")
 
 
 def list_files(

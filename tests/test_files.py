@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseloom.operators import metrics
-from clauseloom.sources import files, results
+from clauseloom.sources import files, listing, results
 from clauseloom.sources.stages import save_stage, stage
 
 _NS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -160,3 +160,22 @@ def test_empty_files_in_other_formats_are_listed(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     (tmp_path / "folder.odt").mkdir()
     assert sorted(r.filename for r in files.other_files(spark, str(tmp_path)).collect()) == ["c.odt", "d.odt", "none"]
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    for name in ("one", "two", "none"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "one" / "a b%20ü.txt").write_bytes(b"four")
+    (tmp_path / "one" / ".hidden").write_bytes(b"x")
+    (tmp_path / "one" / "sub").mkdir()
+    (tmp_path / "two" / "b").write_bytes(b"")
+    found = listing.list_folders(spark, f"{tmp_path}/*")
+    assert found.rdd.getNumPartitions() == 3
+    assert sorted((r.filename, r.length) for r in found.collect()) == [("a b%20ü.txt", 4), ("b", 0)]
+    read = {r.path: r.modificationTime for r in spark.read.format("binaryFile").load(f"{tmp_path}/one").collect()}
+    assert {r.path: r.modificationTime for r in found.filter("length > 0").collect()} == read
+    assert listing.list_folders(spark, f"{tmp_path}/none").isEmpty()
+    with pytest.raises(FileNotFoundError):
+        listing.list_folders(spark, f"{tmp_path}/nowhere")
+    with pytest.raises(FileNotFoundError):
+        files.other_files(spark, f"{tmp_path}/nowhere")

@@ -98,3 +98,29 @@ def test_the_latest_batch_counts(spark):
 def test_copies_of_null_text_are_dropped_too(spark):
     texts = spark.createDataFrame([(4, None), (2, None), (3, ""), (1, "x"), (5, None)], "id int, text string")
     assert sorted(r["id"] for r in ingest.distinct_content(texts, "id").collect()) == [1, 2, 3]
+
+
+def test_batches_with_null_keys_and_many_repeats(spark):
+    schema = "k string, n int, v string"
+    first = spark.createDataFrame([(None, 1, "old"), ("a", None, "x"), ("a", None, "y"), ("b", 1, "only")], schema)
+    second = spark.createDataFrame([(None, 1, "new"), ("c", 2, "only")], schema)
+    none = spark.createDataFrame([], schema)
+    rows = sorted(map(tuple, ingest.combine([first, second, none], ["k", "n"]).collect()), key=str)
+    assert rows == sorted([(None, 1, "new"), ("a", None, "y"), ("b", 1, "only"), ("c", 2, "only")], key=str)
+    assert ingest.combine([none, none], ["k", "n"]).isEmpty()
+    again = ingest.combine([first, first, second, first], ["k", "n"])
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(
+        [(None, 1, "old"), ("a", None, "y"), ("b", 1, "only"), ("c", 2, "only")], key=str
+    )
+
+
+def test_texts_stay_where_they_are_when_batches_are_combined(spark, tmp_path):
+    for n in (0, 1):
+        rows = spark.range(n * 900, n * 900 + 1_000).select(F.col("id").alias("contract_id"), F.lit("t" * 500).alias("text"))
+        rows.write.parquet(f"{tmp_path}/{n}")
+    parts = [spark.read.parquet(f"{tmp_path}/{n}") for n in (0, 1)]
+    combined = ingest.combine(parts)
+    assert combined.count() == 1_900 and combined.select("contract_id").distinct().count() == 1_900
+    plan = combined._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "Aggregate" in line and "count(1)" in line]
+    assert grouped and not any("text" in line for line in grouped)

@@ -224,6 +224,34 @@ def test_job_with_an_embedder_and_its_cache(spark):
     assert [h["clause_type"] for h in hits] == ["liability"] * 3 and hits[0]["score"] == pytest.approx(1.0)
 
 
+def test_a_store_of_vectors_only_grows(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    folder = str(tmp_path / "store")
+
+    def embedder(texts):
+        calls.add(len(texts))
+        return [[float(t.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+    def files():
+        return {str(f): f.stat().st_mtime_ns for f in (tmp_path / "store").rglob("*.parquet")}
+
+    first = job.run(spark, contracts(spark, 3), embedder=embedder, vector_cache=folder)
+    made, before = calls.value, files()
+    assert made == first.vectors.count() == first.items.select("clause").distinct().count()
+    again = job.run(spark, contracts(spark, 3), embedder=embedder, vector_cache=folder)
+    assert calls.value == made == again.vectors.count() and before.items() <= files().items()
+    text = "This agreement starts today. Either party may terminate this agreement on ninety days of written notice to all. " * 3
+    other = spark.createDataFrame([("x", "x.txt", text)], "contract_id string, filename string, text string")
+    more = job.run(spark, other, embedder=embedder, vector_cache=folder)
+    new = calls.value - made
+    assert new == more.items.select("clause").distinct().count() > 0
+    assert more.vectors.count() == more.vectors.select("digest").distinct().count() == made + new
+    assert before.items() <= files().items()
+    asked = spark.createDataFrame([("q", more.items.first()["clause"])], "query_id string, text string")
+    hits = job.search(more, asked, 3, embedder=embedder)
+    assert {h["contract_id"] for h in hits.collect()} == {"x"}
+
+
 def test_job_with_path_ids(spark, folder):
     options = Options(ingest=IngestOptions(sequential_ids=False), search=SearchOptions(enabled=False), validate=False)
     done = job.run(spark, str(folder / "in"), options, extractors=PDF)

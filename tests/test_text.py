@@ -130,3 +130,24 @@ def test_metadata_json_round_trip(spark):
     record = R.extraction_metadata("text", F.timestamp_seconds(F.lit(0)))
     back = frame.select(R.from_json(R.to_json(record)).alias("m")).first()["m"]
     assert (back["text_length"], back["word_count"]) == (7, 2) and back["processed_at"] is not None
+
+
+def test_typed_metadata_keeps_types(spark):
+    rows = spark.createDataFrame(
+        [(1, '{"n": 7, "on": true, "tags": ["x", "y"], "none": null}'), (2, "no json"), (3, None), (4, "[1]"), (5, "{}")],
+        "id int, props string",
+    )
+    system = R.typed_metadata(n=F.when(F.col("id") != 1, F.col("id")), stamp=F.lit("s"))
+    merged = rows.select("id", R.merge_typed(R.typed_from_json("props"), system).alias("m"))
+    found = {
+        r["id"]: tuple(r)[1:]
+        for r in merged.select(
+            "id", R.typed_value("m", "n", "int"), R.typed_value("m", "on", "boolean"), R.typed_value("m", "on", "array<int>"),
+            R.typed_value("m", "tags", "array<string>"), R.kind_of("m", "tags"), R.kind_of("m", "on"), R.kind_of("m", "none"),
+            R.typed_value("m", "stamp", "string"),
+        ).collect()
+    }
+    assert found[1] == (7, True, None, ["x", "y"], "ARRAY<STRING>", "BOOLEAN", "VOID", "s")
+    assert all(found[i] == (i, None, None, None, None, None, None, "s") for i in (2, 3, 4, 5))
+    empty = rows.select(R.merge_typed(R.typed_from_json("props"), R.typed_metadata()).alias("m"))
+    assert [None if r["n"] is None else r["n"] for r in empty.select(F.size("m").alias("n")).collect()] == [4, 0, 0, 0, 0]
