@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clauseloom.operators.clauses import clause_rows, find_clauses, indexable
 from clauseloom.operators.ingest import load_contracts, screen
 from clauseloom.operators.layout import spread
-from clauseloom.sources.stages import stage
+from clauseloom.sources.stages import stage, stage_by_key
 from clauseloom.taxonomy import CLAUSE_TYPES, SAMPLE_QUERIES
 
 # Every how many documents a clause type is appended.
@@ -78,6 +78,11 @@ def stored_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(contracts(spark, sf_dir), "contracts")
 
 
+def contracts_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts as a stage table laid out by contract, for work that joins their texts by it."""
+    return stage_by_key(contracts(spark, sf_dir), "contracts", "contract_id")
+
+
 def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses found as a stage table."""
     return stage(items(spark, sf_dir), "items")

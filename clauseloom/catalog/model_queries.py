@@ -135,7 +135,7 @@ def _(spark, sf_dir):
 
 @query("summaries", C.sql("SELECT contract_id, summary, words FROM summaries", "summaries"))
 def _(spark, sf_dir):
-    return summary.summarize(fixture.stored_contracts(spark, sf_dir))
+    return summary.summarize(fixture.contracts_by_key(spark, sf_dir))
 
 
 @query(
@@ -147,7 +147,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return summary.length_check(summary.summarize(fixture.stored_contracts(spark, sf_dir))).select(
+    return summary.length_check(summary.summarize(fixture.contracts_by_key(spark, sf_dir))).select(
         "contract_id", "words", "in_range"
     )
 
@@ -162,7 +162,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    return metrics.summary_quality(summary.length_check(summary.summarize(fixture.stored_contracts(spark, sf_dir))))
+    return metrics.summary_quality(summary.length_check(summary.summarize(fixture.contracts_by_key(spark, sf_dir))))
 
 
 @query(
@@ -176,7 +176,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    contracts = fixture.stored_contracts(spark, sf_dir)
+    contracts = fixture.contracts_by_key(spark, sf_dir)
     scores = summary.completeness(summary.summarize(contracts), find_clauses(contracts))
     return scores.withColumn("completeness", F.round("completeness", 6))
 

@@ -36,21 +36,19 @@ def document_frequency(rows: DataFrame, text: str, name: str = "df") -> DataFram
 def _lookup_sums(measured: DataFrame, idf: DataFrame) -> DataFrame:
     """(contract_id, pos, words, bonus, total, terms): the sum of ``idf`` over each sentence's terms.
 
-    Sentences are split into terms once. Frequent terms, a bounded list, are looked up where they are and summed per
-    sentence; what is stored of a sentence is that sum and its rare terms, and only those are shuffled by term.
+    Frequent terms, a bounded list, are looked up where they are and summed per sentence, so that sums leave the task and
+    not terms. The rare terms are found in a pass of their own, and only they are shuffled by term.
     """
     keys = ["contract_id", "pos", "words", "bonus"]
     near = F.broadcast(frequent(idf, "df", FREQUENT).select("term", "idf"))
-    looked_up = measured.select(*keys, F.explode(T.terms("sentence")).alias("term")).join(near, "term", "left")
-    partial = stage(
-        looked_up.groupBy(*keys).agg(
-            F.coalesce(F.sum("idf"), F.lit(0.0)).alias("total"),
-            F.count("*").alias("terms"),
-            F.collect_list(F.when(F.col("idf").isNull(), F.col("term"))).alias("rare"),
-        ),
-        "sentence-sums",
+    partial = (
+        measured.select(*keys, F.explode(T.terms("sentence")).alias("term"))
+        .join(near, "term", "left")
+        .groupBy(*keys)
+        .agg(F.coalesce(F.sum("idf"), F.lit(0.0)).alias("total"), F.count("*").alias("terms"))
     )
-    rare = partial.select("contract_id", "pos", F.explode("rare").alias("term")).join(idf.select("term", "idf"), "term")
+    every = measured.select("contract_id", "pos", F.explode(T.terms("sentence")).alias("term"))
+    rare = every.join(near.select("term"), "term", "left_anti").join(idf.select("term", "idf"), "term")
     rest = rare.groupBy("contract_id", "pos").agg(F.sum("idf").alias("more"))
     return partial.join(rest, ["contract_id", "pos"], "left").select(
         *keys, (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), "terms"
@@ -63,8 +61,9 @@ def summarize(contracts: DataFrame, max_words: int = MAX_WORDS, hit_bonus: float
     A sentence scores the mean inverse document frequency of its terms plus ``hit_bonus`` per clause type it
     mentions. Sentences are taken whole, by score, while their words add up to at most ``max_words``, then put back
     into document order; the best one is taken whatever its length, and ``length_check`` tells of it. A contract
-    without any scorable sentence has an empty summary. Expects normalised text, from a stored table (see
-    ``stages.stage``): it is read several times.
+    without any scorable sentence has an empty summary. Expects normalised text, from a stored table: it is read several
+    times. From one laid out by contract (see ``stages.stage_by_key``) no text is moved: terms are summed and chosen
+    positions joined where the texts are.
     """
     n_contracts = contracts.agg(F.count("*")).scalar()
     frequency = stage(document_frequency(contracts, "text"), "document-frequency")
@@ -91,7 +90,8 @@ def summarize(contracts: DataFrame, max_words: int = MAX_WORDS, hit_bonus: float
     # At most ``max_words`` positions are chosen, for a sentence has at least one word.
     clean = F.transform(T.sentences("text"), lambda s: F.array_join(F.filter(F.split(s, " +"), lambda w: w != ""), " "))
     picked = F.filter(clean, lambda _, i: F.array_contains("chosen", i))
-    texts = contracts.select("contract_id", "text").join(chosen, "contract_id", "left")
+    # Positions are few beside the texts: hashing them keeps the texts from being sorted.
+    texts = contracts.select("contract_id", "text").join(chosen.hint("shuffle_hash"), "contract_id", "left")
     return texts.select(
         "contract_id",
         F.coalesce(F.array_join(picked, " "), F.lit("")).alias("summary"),

@@ -12,7 +12,7 @@ from clauseloom.operators import clauses, dense, ingest, inverted, metrics, prom
 from clauseloom.options import Options
 from clauseloom.sources import files as file_source
 from clauseloom.sources import results as result_sink
-from clauseloom.sources.stages import save_stage, stage
+from clauseloom.sources.stages import deal, save_stage, stage, stage_by_key
 from clauseloom.sources.vector_store import add_vectors, read_vectors
 
 
@@ -142,9 +142,16 @@ def run(
             return save_stage(df, f"{output.stage_path.rstrip('/')}/{name}", partition_by)
         return stage(df, name)
 
-    documents = ingest.screen(load(spark, source, options, extractors), options.ingest)
+    # Summaries join texts by contract; a folder of the caller's holds plain files, without a catalog. Rows are dealt
+    # before they are counted: tasks before a shuffle can run again, and would count twice.
+    laid_out = model is None and not output.stage_path
+    documents = load(spark, source, options, extractors)
+    documents = ingest.screen(deal(documents, "contract_id") if laid_out else documents, options.ingest)
     documents, screening = metrics.observed_funnel(documents, ingest.REASONS)
-    screened = store(documents, "screened")
+    if laid_out:
+        screened = stage_by_key(documents, "screened", "contract_id", dealt=True)
+    else:
+        screened = store(documents, "screened")
     contracts = ingest.accepted(screened)
     rejects = ingest.rejected(screened)
     unsupported = _unsupported(spark, source, options)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseloom.operators import clauses, metrics, passages, summary, validate
+from clauseloom.sources.stages import stage, stage_by_key
 from clauseloom.taxonomy import CLAUSE_TYPES, clause_type
 
 AGREEMENT = (
@@ -194,3 +195,22 @@ def test_violations_name_the_rule(spark):
     )
     got = {tuple(r) for r in validate.violations(rows, validate.clause_rules(), "contract_id").collect()}
     assert got == {("a", "found_without_text"), ("b", "filename_missing"), ("c", "text_without_found")}
+
+
+def test_summaries_move_no_text_of_contracts_laid_out_by_id(spark):
+    rows = spark.range(300).select(
+        F.format_string("c%d", F.col("id") % 290).alias("contract_id"),
+        F.concat(F.repeat(F.lit("The parties agree. "), 3), F.lit("Word"), F.col("id").cast("string"), F.lit(" ends it.")).alias("text"),
+    )
+    plain = rows.dropDuplicates(["contract_id"])
+    laid_out = stage_by_key(plain, "laid-out", "contract_id")
+    summaries = summary.summarize(laid_out)
+    wanted = sorted(map(tuple, summary.summarize(stage(laid_out, "plain")).collect()))
+    assert sorted(map(tuple, summaries.collect())) == wanted and len(wanted) == 290
+    lines = summaries._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    texts = [line for line in lines if "Scan parquet" in line and "text#" in line]
+    assert texts and all("Bucketed: true" in line for line in texts)
+    join = next(i for i, line in enumerate(lines) if "ShuffledHashJoin" in line and "LeftOuter" in line)
+    # The side of the texts comes first: nothing but the scan lies below it.
+    assert not any("Exchange" in line for line in lines[join + 1 : join + 4] if line.lstrip(" :").startswith(":-"))
+    assert "Scan parquet" in "".join(lines[join + 1 : join + 4])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.operators import metrics
 from clauseloom.sources import files, listing, results
-from clauseloom.sources.stages import save_stage, stage
+from clauseloom.sources.stages import save_stage, stage, stage_by_key
 
 _NS = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
@@ -179,3 +179,12 @@ def test_folders_are_listed_by_tasks(spark, tmp_path):
         listing.list_folders(spark, f"{tmp_path}/nowhere")
     with pytest.raises(FileNotFoundError):
         files.other_files(spark, f"{tmp_path}/nowhere")
+
+
+def test_a_stage_laid_out_by_key_needs_no_exchange(spark):
+    rows = spark.range(100).select((F.col("id") % 7).cast("string").alias("k"), "id")
+    stored = stage_by_key(rows, "by-key", "k", buckets=4)
+    grouped = stored.groupBy("k").count()
+    assert {r["k"]: r["count"] for r in grouped.collect()} == {str(k): 15 if k < 2 else 14 for k in range(7)}
+    assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
+    assert len(stored.inputFiles()) <= 4
