@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from clauseloom.operators import prompts
+from clauseloom.operators import prompts, summary
 from clauseloom.options import IngestOptions, ModelOptions, Options, OutputOptions, SearchOptions
 from clauseloom.plans import contracts as job
 from clauseloom.sources import results
@@ -302,3 +302,15 @@ def test_custom_steps_chain(spark):
         lambda df: df.withColumn("has_termination", F.lower("text").contains("terminat"))
     )
     assert flagged.filter("has_termination").count() == 2
+
+
+def test_a_summary_splits_each_text_into_terms_twice(spark, monkeypatch):
+    texts = ["Rent is due monthly. Rent is due. The tenant pays a rare levy.", "... !", None, "Ödön pays rent. Rent", "!! Rent is due."]
+    contracts = spark.createDataFrame(list(enumerate(texts)), "contract_id int, text string")
+    want = {tuple(r) for r in summary.summarize(contracts, max_words=4).collect()}
+    assert {r[1] for r in want} == {"Rent is due.", "The tenant pays a rare levy.", "", "Ödön pays rent. Rent"}
+    split, calls = summary.T.lowered_terms, []
+    monkeypatch.setattr(summary.T, "lowered_terms", lambda lowered: calls.append(1) or split(lowered))
+    monkeypatch.setattr(summary, "FREQUENT", 5)  # most terms are rare now and looked up by a shuffle
+    assert {tuple(r) for r in summary.summarize(contracts, max_words=4).collect()} == want
+    assert len(calls) == 2
