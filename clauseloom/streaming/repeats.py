@@ -21,42 +21,55 @@ AS_JSON = {
 }
 
 
+# Leading hex digits of a digest that make its bucket: 4,096 buckets, whatever the number of contents.
+_BUCKET_DIGITS = 3
+# Parts of the time to remember in which what is due is cleared at once.
+_CLEARINGS = 8
+
+
 class FirstOfContent(StatefulProcessor):
-    """Per digest: lets the first row through, remembers the digest for ``keep_ms`` of event time, drops the rest.
+    """Per bucket of digests: lets the first row of each through, remembers it for ``keep_ms`` of event time, drops the rest.
 
-    The state of a digest is one number, the time at which a timer forgets it.
+    The state of a digest is one number, the time from which it is forgotten. A bucket's rows are handled together, so a
+    content costs a look-up and an entry and no call of its own; timers clear what is due, a few for a bucket.
     """
 
     def __init__(self, keep_ms: int) -> None:
         self.keep_ms = keep_ms
+        self.grain = max(1, keep_ms // _CLEARINGS)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.until = handle.getValueState("until", "until long")
+        self.until = handle.getMapState("until", "digest string", "until long")
+
+    def _remembered(self, digest: str, now: int) -> bool:
+        known = self.until.getValue((digest,))
+        return known is not None and known[0] > now  # timers fire after a batch's rows, and later than what is due
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        known = self.until.exists()
-        if known:
-            (until,) = self.until.get()
-            if until <= timerValues.getCurrentWatermarkInMs():  # timers fire after a batch's rows: this one is due
-                self.handle.deleteTimer(until)
-                known = False
+        now = timerValues.getCurrentWatermarkInMs()
+        known: dict[str, bool] = {}
         first = None
-        for frame in rows:  # a digest may bring very many rows: one is held at a time
-            if known:
-                continue
-            least = frame.sort_values(["millis", "place"], kind="stable").iloc[[0]]
-            mark = (least["millis"].iloc[0], least["place"].iloc[0])
-            if first is None or mark < first[0]:
-                first = mark, least
-        if first is not None:
-            until = int(first[0][0]) + self.keep_ms
-            self.until.update((until,))
-            self.handle.registerTimer(until)
-            yield first[1][["body", "at"]]
+        for frame in rows:  # a digest may bring very many rows: one of each is held at a time
+            for digest in frame["digest"].unique():
+                if digest not in known:
+                    known[digest] = self._remembered(digest, now)
+            new = frame[~frame["digest"].map(known).astype(bool)]
+            every = new if first is None else pd.concat([first, new])
+            first = every.sort_values(["millis", "place"], kind="stable").drop_duplicates("digest")
+        if first is None or first.empty:
+            return
+        due = first["millis"] + self.keep_ms
+        for digest, until in zip(first["digest"], due):
+            self.until.updateValue((digest,), (int(until),))
+        for clearing in (-(-due // self.grain) * self.grain).unique():
+            self.handle.registerTimer(int(clearing))
+        yield first[["body", "at"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        self.until.clear()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for digest in [k[0] for k, until in self.until.iterator() if until[0] <= now]:
+            self.until.removeKey((digest,))
         return iter(())
 
     def close(self) -> None:
@@ -83,7 +96,7 @@ def drop_repeated_content(
 
     Of equal contents in one batch the row with the least ``stamp``, then ``order`` (a whole number), passes. A content is remembered
     from the passing row's stamp on, across batches and restarts, until the watermark (``delay`` behind the latest
-    stamp) has gone ``keep_hours`` further: then a timer removes its state, and the next row with it passes again. A
+    stamp) has gone ``keep_hours`` further: then the next row with it passes again, and a timer removes its state. A
     null content is a content of its own; rows without a stamp are dropped, as there is no telling when to forget
     them; rows behind the watermark are late and dropped as well.
 
@@ -99,7 +112,8 @@ def drop_repeated_content(
         F.to_json(F.struct(*[F.col(c) for c in stream.columns]), AS_JSON).alias("body"),
     )
     fewer = marked.mapInArrow(_first_per_arrow_batch, marked.schema).withWatermark("at", delay)
-    passed = fewer.groupBy("digest").transformWithStateInPandas(
+    dealt = fewer.withColumn("bucket", F.substring("digest", 1, _BUCKET_DIGITS))
+    passed = dealt.groupBy("bucket").transformWithStateInPandas(
         FirstOfContent(keep_hours * 3_600_000), "body string, at timestamp", "Append", "EventTime"
     )
     return passed.select(F.from_json("body", stream.schema, AS_JSON).alias("body")).select("body.*")

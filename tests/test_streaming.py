@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from clauseloom.streaming import arrivals, repeats
@@ -140,3 +141,48 @@ def test_a_content_that_fills_the_stream_is_held_row_by_row(spark, tmp_path):
     _run(repeats.drop_repeated_content(stream, "text", "n", "at"), "hot_content", "append")
     assert spark.table("hot_content").filter("text = 'same'").count() == 1
     assert spark.table("hot_content").count() == 3_001
+
+
+def test_contents_are_handled_by_bucket_and_forgotten_one_by_one(spark, tmp_path):
+    t, hour = dt.datetime(2024, 1, 1), dt.timedelta(hours=1)
+    texts = [f"text {i}" for i in range(6_000)]
+    batches = [
+        [(i, text, t + (i % 3) * hour) for i, text in enumerate(texts)],
+        [(9_000, "late mark", t + hour * 8)],
+        [(10_000 + i, text, t + hour * 8) for i, text in enumerate(texts)],  # the watermark is at 7 h: those of 0 to 2 h are due
+        [(20_000 + i, text, t + hour * 8) for i, text in enumerate(texts)],
+    ]
+    got = _contents(spark, tmp_path, batches, "n long, text string, at timestamp", keep_hours=6)
+    passed = [r["n"] for r in got.collect()]
+    # Due at 7 h are those of 0 and 1 h, not those of 2 h.
+    want = [*range(6_000), 9_000, *(10_000 + i for i in range(6_000) if i % 3 < 2)]
+    assert sorted(passed) == want
+
+
+class _Calls:
+    """A state that counts how it is used, in place of the session's."""
+
+    def __init__(self):
+        self.held, self.timers = {}, set()
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def getValue(self, key):  # noqa: N802
+        return self.held.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.held[key] = value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+
+def test_a_bucket_of_many_contents_takes_one_call_and_few_timers():
+    state, processor = _Calls(), repeats.FirstOfContent(8_000)
+    processor.init(state)
+    state.getCurrentWatermarkInMs = lambda: 0
+    frame = pd.DataFrame({"digest": [f"abc{i % 500}" for i in range(1_000)], "millis": range(1_000), "place": 0, "body": "{}", "at": None})
+    (passed,) = processor.handleInputRows(("abc",), iter([frame, frame]), state)
+    assert len(passed) == len(state.held) == 500 and state.timers == {8_000, 9_000}
+    assert list(processor.handleInputRows(("abc",), iter([frame]), state)) == []
