@@ -2,7 +2,8 @@
 
 A search opens the first block of each query term, scores what it finds there exactly, and takes the k-th best score as
 the one to reach. Then it opens only those further blocks that an item of such a score, not seen yet, could be in.
-Hits are those of scoring every item; terms, blocks and items without a part in the search are not read.
+Hits are those of scoring every item; terms, blocks and items without a part in the search are not read. The items of
+opened blocks meet the queries in groups of bounded size, so no pair of query and item is shuffled, sorted or hashed.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,9 @@ BLOCK_POSTINGS = 128
 # Postings of a bucket of the index: what a search reads at least for a term or an item.
 BUCKET_POSTINGS = 1_000_000
 MAX_BUCKETS = 4_096
+# Items, queries and terms of queries of one group in which opened items are scored.
+GROUP_ITEMS, GROUP_QUERIES, GROUP_TERMS = 5_000, 1_000, 5_000
+SLICE_ROWS = 500
 SCORE_DIGITS = 12
 # Blocks are opened a little below the bound, so that rounding never closes one.
 SLACK = 1e-9
@@ -105,6 +112,71 @@ def _scored(candidates: DataFrame, asked: DataFrame, index: TermIndex) -> DataFr
     )
 
 
+def _group_scores(found: pa.Table, wanted: pa.Table) -> np.ndarray:
+    """Items by queries of one group: inner products over the terms they share, -inf where they share none."""
+    asked = wanted["terms"].combine_chunks()
+    known = asked.flatten().dictionary_encode()
+    codes = known.indices.to_numpy()
+    by_term = np.argsort(codes, kind="stable")
+    # The queries of each term, one after the other, with their weights.
+    query = np.repeat(np.arange(len(asked)), pc.list_value_length(asked).to_numpy())[by_term]
+    query_weight = wanted["weights"].combine_chunks().flatten().to_numpy()[by_term]
+    begin = np.searchsorted(codes[by_term], np.arange(len(known.dictionary) + 1))
+    scores = np.full((len(found), len(asked)), -np.inf)
+    for at in range(0, len(found), SLICE_ROWS):
+        part = found.slice(at, SLICE_ROWS)
+        terms = part["terms"].combine_chunks()
+        place = pc.index_in(terms.flatten(), value_set=known.dictionary)
+        shared = pc.is_valid(place).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(terms)), pc.list_value_length(terms).to_numpy())[shared]
+        weight = part["weights"].combine_chunks().flatten().to_numpy()[shared]
+        place = place.drop_null().to_numpy()
+        # A posting of an item meets every query with its term.
+        n = begin[place + 1] - begin[place]
+        met = np.repeat(begin[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pair = np.repeat(owner, n) * len(asked) + query[met]
+        size = len(terms) * len(asked)
+        sums = np.bincount(pair, np.repeat(weight, n) * query_weight[met], size)
+        scores[at : at + len(terms)] = np.where(np.bincount(pair, minlength=size) > 0, sums, -np.inf).reshape(len(terms), -1)
+    return np.round(scores, SCORE_DIGITS) + 0.0
+
+
+def _best(items: DataFrame, asked: DataFrame, total: int, k: int) -> DataFrame:
+    """(query_id, item_id, score): the k best items of each query in each group of items, the lower id first.
+
+    ``items`` is (item_id, terms, weights). They and the queries are dealt to groups, and every group of one meets every
+    group of the other: one plan for any number of queries, and only the best of a group leave its task.
+    """
+    wanted = stage(item_vectors(asked.filter(F.col("query_id").isNotNull()), "query_id"), "asked-vectors")
+    size = wanted.agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("terms")).first()
+    parts = {
+        "item_part": max(1, -(-total // GROUP_ITEMS)),
+        "query_part": max(1, -(-size["n"] // GROUP_QUERIES), -(-(size["terms"] or 0) // GROUP_TERMS)),
+    }
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(parts[other] - 1))).alias(other)
+        return rows.select(key, "terms", "weights", _bucket(key, parts[own]).alias(own), every)
+
+    types = {c: df.schema[c].dataType.simpleString() for df, c in ((wanted, "query_id"), (items, "item_id"))}
+
+    def score(found: pa.Table, queries: pa.Table) -> pa.Table:
+        found = found.take(pc.sort_indices(found["item_id"]))
+        scores = _group_scores(found, queries)
+        # A stable sort: equal scores stay in the order of the ids.
+        first = np.argsort(-scores, axis=0, kind="stable")[:k]
+        best = np.take_along_axis(scores, first, axis=0)
+        rows, columns = np.nonzero(best > -np.inf)
+        made = [queries["query_id"].take(pa.array(columns)), found["item_id"].take(pa.array(first[rows, columns]))]
+        return pa.table([*made, pa.array(best[rows, columns], pa.float64())], ["query_id", "item_id", "score"])
+
+    left = dealt(items, "item_id", "item_part", "query_part").groupBy(*parts)
+    right = dealt(wanted, "query_id", "query_part", "item_part").groupBy(*parts)
+    return left.cogroup(right).applyInArrow(
+        score, f"query_id {types['query_id']}, item_id {types['item_id']}, score double"
+    )
+
+
 def _shares(asked: DataFrame, scored: DataFrame, k: int) -> DataFrame:
     """``asked`` with ``share``: blocks of a term that can add less than this need not be opened.
 
@@ -155,12 +227,15 @@ def look_up(queries: DataFrame, index: TermIndex, k: int = 5) -> tuple[DataFrame
     first = stage(_scored(seen, asked, index), "first-scores")
     shares = stage(_shares(asked, first, k), "shares")
     reaches = (F.col("weight") * F.col("_block") >= F.col("share") - SLACK) & (F.col("seq") != F.col("first"))
-    more = shares.join(blocks, "term").filter(reaches)
-    others = more.select("query_id", F.explode("items").alias("item_id")).distinct()
-    second = _scored(others.join(first, ["query_id", "item_id"], "left_anti"), asked, index)
-    order = [F.desc("score"), F.col("item_id")]
-    hits = top_per_group(first.unionByName(second), ["query_id"], order, k)
-    return hits.select("query_id", "rank", "item_id", "score"), opened.unionByName(more.select("query_id", "term", "seq"))
+    more = shares.join(blocks, "term").filter(reaches).select("query_id", "term", "seq")
+    every = opened.unionByName(more)
+    # Items, not pairs: one that is in a block opened by some query is scored with all of them.
+    read = blocks.join(every.select("term", "seq").distinct(), ["term", "seq"], "left_semi")
+    ids = stage(read.select(F.explode("items").alias("item_id")).distinct(), "opened-items")
+    vectors = _only(index.vectors, ids, "item_id", index.buckets).select("item_id", "terms", "weights")
+    found = _best(vectors.join(ids, "item_id", "left_semi"), asked, index.total, k)
+    hits = top_per_group(found, ["query_id"], [F.desc("score"), F.col("item_id")], k)
+    return hits.select("query_id", "rank", "item_id", "score"), every
 
 
 def search(queries: DataFrame, items: DataFrame, k: int = 5, index: TermIndex | None = None) -> DataFrame:

@@ -191,6 +191,23 @@ def test_index_search_equals_scoring_every_item_and_opens_few_blocks(spark, many
     assert all(used[q] <= every[q] for q in used)
 
 
+def test_index_search_scores_items_in_groups_and_handles_no_pairs(spark, many_items, monkeypatch):
+    docs, items = many_items
+    monkeypatch.setattr(inverted, "GROUP_ITEMS", 70)
+    monkeypatch.setattr(inverted, "GROUP_QUERIES", 2)
+    monkeypatch.setattr(inverted, "SLICE_ROWS", 9)
+    queries = ["the party shall end", "item7 unseenword notice", "nothing matches", "rare7 rare8 the the", "party", "may rare1"]
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id int, text string")
+    index = inverted.build(items, block=8, buckets=1)
+    hits = inverted.search(asked, items, 4, index)
+    assert {tuple(r) for r in hits.collect()} == {tuple(r) for r in sparse.search(asked, items, 4).collect()}
+    # What is hashed and shuffled by query are the best of a group, never all pairs of a query and an item.
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[query_id" not in plan and "LeftAnti" not in plan
+    assert inverted.search(asked.filter("query_id = 2"), items, 4, index).count() == 0
+    assert inverted.search(asked.filter("query_id < 0"), items, 4, index).count() == 0
+
+
 def test_index_reads_only_the_buckets_asked_for(spark, many_items):
     _, items = many_items
     index = inverted.build(items, block=8, buckets=16)
