@@ -8,19 +8,22 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseloom.functions import text as T
 from clauseloom.operators.clauses import mentions, mentions_lowered
-from clauseloom.operators.layout import frequent
 from clauseloom.sources.stages import stage
 from clauseloom.taxonomy import CLAUSE_TYPES
 
 MIN_WORDS = 100
 MAX_WORDS = 150
-# Terms that hold at least one in this many of all (document, term) pairs are looked up without a shuffle.
+# As many of the most frequent terms are looked up without a shuffle.
 FREQUENT = 100_000
+# Bytes of text that are split at a time.
+SLICE_BYTES = 2 << 20
+# What a character is: inside a term, white space, or the end of a sentence.
+_TERM, _SPACE, _STOP = 1, 2, 3
 
 
 def inverse_frequency(df: Column, total: Column) -> Column:
@@ -28,52 +31,168 @@ def inverse_frequency(df: Column, total: Column) -> Column:
     return F.log((F.lit(1.0) + total) / (F.lit(1.0) + df)) + 1.0
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each term is in the rows of an Arrow batch, so that rows per term and batch leave the task."""
-    for rows in batches:
-        counts = pc.value_counts(rows.column(0).flatten())
-        yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], ["term", "n"])
+def _kinds(spark: SparkSession) -> np.ndarray:
+    """For each code point whether a text in lower case has it inside a term, as white space or as a stop.
+
+    Spark's own expressions say so, one character each: what tasks split by this table is split as ``text.terms`` does.
+    """
+    points = spark.range(0x110000).filter(~F.col("id").between(0xD800, 0xDFFF))
+    char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    told = points.select("id", (F.size(T.lowered_terms(char)) > 0).alias("word"), char.rlike(f"[{T.WHITESPACE}]").alias("space"))
+    found = told.filter("word OR space").toArrow()
+    kinds = np.zeros(0x200000, np.uint8)  # as many as four bytes of UTF-8 can say
+    kinds[found["id"].to_numpy()] = np.where(found["word"].to_numpy(), _TERM, _SPACE)
+    kinds[[ord(c) for c in ".!?"]] = _STOP
+    return kinds
+
+
+class _Split:
+    """Some texts of an Arrow batch, all in lower case, with the terms in them: places are in bytes from the first text on."""
+
+    def __init__(self, texts: pa.Array, kinds: np.ndarray) -> None:
+        texts = texts.cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        self.data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        self.bounds = ends - ends[0]
+        self.kinds = kinds[self.data]
+        # A character of several bytes has its kind at each of them.
+        lead = np.flatnonzero(self.data >= 0xC0)
+        point = self.data[lead].astype(np.int64)
+        size = 2 + (point >= 0xE0) + (point >= 0xF0)
+        point &= 0x7F >> size
+        for n in range(1, 4):
+            longer = size > n
+            point[longer] = point[longer] << 6 | self.data[lead[longer] + n] & 0x3F
+        for n in range(4):
+            longer = size > n
+            self.kinds[lead[longer] + n] = kinds[point[longer]]
+        term = self.kinds == _TERM
+        self.starts = np.flatnonzero(self.runs(term, self.bounds))
+        begin = np.append(np.cumsum(term, dtype=np.int32)[self.starts] - 1, np.count_nonzero(term)).astype(np.int32)
+        held = pa.py_buffer(begin), pa.py_buffer(self.data[term])
+        terms = pa.StringArray.from_buffers(len(self.starts), *held).dictionary_encode()
+        self.codes, self.terms = terms.indices.to_numpy(), terms.dictionary
+
+    def runs(self, inside: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where a run of ``inside`` begins; one that goes on over a bound begins again."""
+        after = np.zeros(len(inside), bool)
+        after[1:] = inside[:-1]
+        after[bounds[bounds < len(inside)]] = False
+        return inside & ~after
+
+    def owners(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each term the one of the given pieces, which hold all terms, that it is in."""
+        return np.repeat(np.arange(len(begin)), np.searchsorted(self.starts, end) - np.searchsorted(self.starts, begin))
+
+    def sentences(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, begin, end) of the sentences, as ``text.sentences`` has them."""
+        begin = np.flatnonzero(self.runs(self.kinds != _STOP, self.bounds))
+        text = np.searchsorted(self.bounds, begin, side="right") - 1
+        end = np.minimum(np.append(begin[1:], len(self.data)), self.bounds[text + 1])
+        return text, begin, end
+
+    def words(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Number of white-space separated words of each piece."""
+        at = np.flatnonzero(self.runs(self.kinds != _SPACE, begin))
+        return (np.searchsorted(at, end) - np.searchsorted(at, begin)).astype(np.int32)
+
+
+def _slices(rows: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts have about ``SLICE_BYTES`` together; a longer text is a part of its own."""
+    ends = np.cumsum(pc.binary_length(rows.column(text)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(rows):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        yield rows.slice(at, upto - at)
+        at = upto
 
 
 def document_frequency(rows: DataFrame, text: str, name: str = "df") -> DataFrame:
     """Number of rows whose text holds each term; one output row per term."""
-    own = rows.select(F.array_distinct(T.terms(text)).alias("terms"))
-    return own.mapInArrow(_counted, "term string, n long").groupBy("term").agg(F.sum("n").alias(name))
+    shared = rows.sparkSession.sparkContext.broadcast(_kinds(rows.sparkSession))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows per term and Arrow batch leave the task.
+        for batch in batches:
+            made = []
+            for part in _slices(batch, 0):
+                own = _Split(part.column(0), shared.value)
+                pairs = np.sort(own.owners(own.bounds[:-1], own.bounds[1:]) * len(own.terms) + own.codes)
+                pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
+                n = np.bincount(pairs % max(len(own.terms), 1), minlength=len(own.terms))
+                made.append(pa.table([own.terms, pa.array(n, pa.int64())], ["term", "n"]))
+            if made:
+                counts = pa.concat_tables(made).group_by("term").aggregate([("n", "sum")])
+                yield from counts.select(["term", "n_sum"]).rename_columns(["term", "n"]).to_batches()
+
+    lowered = rows.select(F.coalesce(F.lower(text), F.lit("")).alias("text"))
+    return lowered.mapInArrow(counted, "term string, n long").groupBy("term").agg(F.sum("n").alias(name))
+
+
+def _most_frequent(idf: DataFrame, limit: int) -> pa.Table:
+    """(term, idf) of the most frequent terms, by steps of their counts as many as ``limit`` allows."""
+    stepped = idf.withColumn("_step", F.floor(F.log2("df") * 8))
+    least, n = None, 0
+    # Eight steps for each doubling of the counts: a few hundred rows.
+    for row in sorted(stepped.groupBy("_step").agg(F.count("*").alias("n")).collect(), reverse=True):
+        n += row["n"]
+        if n > limit:
+            break
+        least = row["_step"]
+    return stepped.filter(F.col("_step") >= least if least is not None else F.lit(False)).select("term", "idf").toArrow()
 
 
-def _lookup_sums(measured: DataFrame, idf: DataFrame) -> DataFrame:
+def _sentence_sums(contracts: DataFrame, idf: DataFrame, hit_bonus: float) -> DataFrame:
     """(contract_id, pos, words, bonus, total, terms): the sum of ``idf`` over each sentence's terms, rows dealt by contract.
 
-    Frequent terms, a bounded list, are looked up where the sentence is, a batch of sentences at a time. A sentence
-    leaves the task as one row, with its sum and its rare terms; only those are shuffled by term.
+    Frequent terms, a bounded list, are looked up where the sentence is, some texts at a time. A sentence leaves the
+    task as one row, with its sum and its rare terms, and with its text only if that holds a keyword of a clause type;
+    rare terms alone are shuffled by term.
     """
     keys = ["contract_id", "pos", "words", "bonus"]
-    near = frequent(idf, "df", FREQUENT).select("term", "idf").collect()
-    shared = measured.sparkSession.sparkContext.broadcast(([r["term"] for r in near], [r["idf"] for r in near]))
+    spark = contracts.sparkSession
+    near = _most_frequent(idf, FREQUENT)
+    shared = spark.sparkContext.broadcast((near["term"].to_pylist(), near["idf"].to_pylist(), _kinds(spark)))
+    keywords = sorted({k for c in CLAUSE_TYPES for k in c.keywords})
+    columns = ["contract_id", "pos", "words", "said", "total", "terms", "rare"]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, weights = pa.array(shared.value[0], pa.string()), np.array([*shared.value[1], 0.0])
-        for rows in batches:
-            given = rows.column(len(keys))
-            flat = given.flatten()
-            at = pc.index_in(flat, value_set=terms.cast(flat.type)).fill_null(len(terms)).to_numpy(zero_copy_only=False)
-            lengths = pc.list_value_length(given).to_numpy(zero_copy_only=False).astype(np.int64)
-            owner = np.repeat(np.arange(len(rows)), lengths)
-            rare = at == len(terms)
-            ends = np.cumsum(np.bincount(owner[rare], minlength=len(rows)))
-            offsets = pa.array(np.concatenate(([0], ends)), pa.int32())
-            others = pa.ListArray.from_arrays(offsets, flat.filter(pa.array(rare)).cast(pa.string()))
-            total = pa.array(np.bincount(owner, weights[at], minlength=len(rows)), pa.float64())
-            made = [*rows.columns[: len(keys)], total, pa.array(lengths), others]
-            yield pa.RecordBatch.from_arrays(made, [*keys, "total", "terms", "rare"])
-
-    split = measured.select(*keys, T.lowered_terms("lowered").alias("terms"))
-    types = ", ".join(f"{c} {split.schema[c].dataType.simpleString()}" for c in keys)
+        known, weights, kinds = pa.array(shared.value[0], pa.string()), np.array([*shared.value[1], 0.0]), shared.value[2]
+        for part in (p for batch in batches for p in _slices(batch, 1)):
+            own = _Split(part.column(1), kinds)
+            text, begin, end = own.sentences()
+            if not len(text):
+                continue
+            pos = np.arange(len(text)) - np.searchsorted(text, text)
+            at = pc.index_in(own.terms, value_set=known).fill_null(len(known)).to_numpy(zero_copy_only=False)[own.codes]
+            owner = own.owners(begin, end)
+            total = np.bincount(owner, weights[at], len(text)).astype(float)  # without any term they are integers
+            terms = np.bincount(owner, minlength=len(text))
+            rare = at == len(known)
+            offsets = np.append(0, np.cumsum(np.bincount(owner[rare], minlength=len(text))))
+            others = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), own.terms.take(pa.array(own.codes[rare])))
+            # One string a sentence; stops before a text's first sentence go with the sentence before, and hold no keyword.
+            buffers = [pa.py_buffer(np.append(begin, len(own.data))), pa.py_buffer(own.data)]
+            sentences = pa.LargeStringArray.from_buffers(len(text), *buffers)
+            said = np.zeros(len(text), bool)
+            for keyword in keywords:
+                said |= pc.match_substring(sentences, keyword).to_numpy(zero_copy_only=False)
+            made = [part.column(0).take(pa.array(text)), pa.array(pos, pa.int32()), pa.array(own.words(begin, end))]
+            made += [sentences.take(pa.array(np.arange(len(text)), mask=~said)).cast(pa.string())]
+            made += [pa.array(total, pa.float64()), pa.array(terms, pa.int64()), others]
+            yield pa.RecordBatch.from_arrays(made, columns)
+
+    lowered = contracts.select("contract_id", F.coalesce(F.lower("text"), F.lit("")).alias("text"))
+    key = contracts.schema["contract_id"].dataType.simpleString()
+    split = lowered.mapInArrow(
+        summed, f"contract_id {key}, pos int, words int, said string, total double, terms long, rare array<string>"
+    )
+    hits = reduce(lambda a, b: a + b, [mentions_lowered(F.col("said"), c.keywords).cast("int") for c in CLAUSE_TYPES])
+    bonus = F.when(F.col("said").isNotNull(), hits * F.lit(hit_bonus)).otherwise(F.lit(0 * hit_bonus)).alias("bonus")
     # Stored, as the sentences are read for their sums and for their rare terms.
-    sums = stage(split.mapInArrow(summed, f"{types}, total double, terms long, rare array<string>"), "sentence-sums")
+    sums = stage(split.select("contract_id", "pos", "words", bonus, "total", "terms", "rare"), "sentence-sums")
     rare = sums.select(*keys, F.explode("rare").alias("term")).join(idf.select("term", "idf"), "term")
     rest = rare.select(*keys, F.col("idf").alias("total"), F.lit(0).cast("long").alias("terms"))
-    # Sentences without a term are dropped here: a filter on the terms themselves would split every sentence twice.
     every = sums.select(*keys, "total", "terms").filter("terms > 0").unionByName(rest).repartition("contract_id")
     return every.groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("terms").alias("terms"))
 
@@ -91,16 +210,7 @@ def summarize(contracts: DataFrame, max_words: int = MAX_WORDS, hit_bonus: float
     n_contracts = contracts.agg(F.count("*")).scalar()
     frequency = stage(document_frequency(contracts, "text"), "document-frequency")
     idf = frequency.withColumn("idf", inverse_frequency(F.col("df"), n_contracts))
-    hits = reduce(lambda a, b: a + b, [mentions_lowered(F.col("lowered"), c.keywords).cast("int") for c in CLAUSE_TYPES])
-    split = contracts.select("contract_id", F.posexplode(T.sentences("text")).alias("pos", "sentence"))
-    measured = split.withColumn("lowered", F.lower("sentence")).select(
-        "contract_id",
-        "pos",
-        T.word_count("sentence").alias("words"),
-        (hits * F.lit(hit_bonus)).alias("bonus"),
-        "lowered",
-    )
-    scored = _lookup_sums(measured, idf).withColumn("score", F.round(F.col("total") / F.col("terms") + F.col("bonus"), 6))
+    scored = _sentence_sums(contracts, idf, hit_bonus).withColumn("score", F.round(F.col("total") / F.col("terms") + F.col("bonus"), 6))
     best_first = Window.partitionBy("contract_id").orderBy(F.desc("score"), "pos")
     running = F.sum("words").over(best_first.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     chosen = (

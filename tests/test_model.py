@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,3 +315,36 @@ def test_a_summary_splits_each_text_into_terms_twice(spark, monkeypatch):
     monkeypatch.setattr(summary, "FREQUENT", 5)  # most terms are rare now and looked up by a shuffle
     assert {tuple(r) for r in summary.summarize(contracts, max_words=4).collect()} == want
     assert len(calls) == 2
+
+
+def test_texts_split_in_tasks_are_split_as_spark_splits_them(spark, monkeypatch):
+    chars = list("abcXYZ019_ .!?,;\n\t\xa0 éßÖİΣЖ漢字😀٣Ⅷ²—’\x85\x1c\u200bǅ𝒳")
+    texts = ["".join(chars[(i * 7 + n * n * (i + 3)) % len(chars)] for n in range(i % 90)) for i in range(400)]
+    texts += ["...", "!! x.", " . . .", "a b.c d..e", ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", F.lower("text").alias("text"))
+    T = summary.T
+    pieces = frame.select("*", T.lowered_terms("text").alias("terms"), T.sentences("text").alias("sentences"))
+    rows = pieces.withColumn("words", F.transform("sentences", lambda x: T.word_count(x))).orderBy("id").collect()
+    kinds = summary._kinds(spark)
+    monkeypatch.setattr(summary, "SLICE_BYTES", 300)
+    batch = pa.RecordBatch.from_arrays([pa.array([r["text"] for r in rows])], ["text"])
+    terms, sentences, words = [], [], []
+    for part in summary._slices(batch, 0):
+        own, first = summary._Split(part.column(0), kinds), len(terms)
+        for made in (terms, sentences, words):
+            made += [[] for _ in range(len(part))]
+        for n, term in zip(own.owners(own.bounds[:-1], own.bounds[1:]), own.codes):
+            terms[first + n].append(own.terms[int(term)].as_py())
+        for n, begin, end, count in zip(*own.sentences(), own.words(*own.sentences()[1:])):
+            sentences[first + n].append(own.data[begin:end].tobytes().decode())
+            words[first + n].append(int(count))
+    assert terms == [r["terms"] for r in rows]
+    assert sentences == [r["sentences"] for r in rows] and words == [r["words"] for r in rows]
+
+
+def test_as_many_frequent_terms_as_allowed_are_looked_up_without_a_shuffle(spark):
+    # No term holds a hundredth of all pairs, yet a hundred of them may stay where they are.
+    idf = spark.range(1_000).select(F.format_string("t%d", "id").alias("term"), (F.col("id") % 500 + 1).alias("df"), F.lit(1.0).alias("idf"))
+    near = summary._most_frequent(idf, 100)["term"].to_pylist()
+    assert 50 < len(near) <= 100 and {"t499", "t999"} <= set(near)
+    assert len(summary._most_frequent(idf, 1)) == 0 and len(summary._most_frequent(idf, 1_000)) == 1_000
